@@ -101,7 +101,9 @@ def knn_approx(
         )
     if not parts:
         return _no_hits(lean.drop("list_id"), vector, query, queries)
-    hits = topk_per_query(reduce(DataFrame.unionByName, parts), k, query, key)
+    hits = topk_per_query(
+        reduce(DataFrame.unionByName, parts), k, query, key, score=F.desc("_order")
+    )
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
     return hits.select(query, "rank", key, "score")

@@ -90,7 +90,8 @@ def exact_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float], sortable: int = SORTABLE
 ) -> list[float | None]:
     """Linearly interpolated quantiles, exact at any size."""
-    n = df.agg(F.count(F.when(~F.isnan(F.col(column).cast("double")), 1)).alias("n")).first()["n"]
+    value = F.col(column).cast("double")
+    n = df.agg(F.count_if(value.isNotNull() & ~F.isnan(value)).alias("n")).first()["n"]
     if n == 0:
         return [None] * len(probabilities)
     spots = [quantile_ranks(n, q) for q in probabilities]

@@ -65,14 +65,15 @@ def score_matrix(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarr
     if metric == "dot":
         return docs @ queries.T
     if metric == "l2":
-        squares = (docs**2).sum(1)[:, None] + (queries**2).sum(1)[None, :]
-        return -np.sqrt(np.maximum(squares - 2 * docs @ queries.T, 0))
+        # Differences, not |a|^2 + |b|^2 - 2ab, which loses the digits of close vectors.
+        gaps = [((docs - q) ** 2).sum(axis=1) for q in queries]
+        return -np.sqrt(np.stack(gaps, axis=1))
     raise ValueError(f"unknown metric {metric!r}")
 
 
 def _best(hits: pa.Table, k: int, key: str) -> pa.Table:
     """k best hits per query of one partition's candidates."""
-    hits = hits.sort_by([("query", "ascending"), ("score", "descending"), (key, "ascending")])
+    hits = hits.sort_by([("query", "ascending"), ("order", "descending"), (key, "ascending")])
     query = hits.column("query").to_numpy()
     first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.array([], bool)
     begin = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
@@ -98,25 +99,26 @@ def _local_topk(
         for start in range(0, whole.num_rows, BATCH_ROWS):
             part = whole.slice(start, BATCH_ROWS)
             docs = _matrix(part.column(vector), queries.shape[1])
-            scores = np.round(score_matrix(docs, queries, metric), SCORE_DIGITS)
+            scores = score_matrix(docs, queries, metric)
+            order = np.round(scores, SCORE_DIGITS)
             if probes is not None:
                 lists = part.column("list_id").to_numpy(zero_copy_only=False)
-                scores = np.where(probes[:, lists].T, scores, -np.inf)
+                order = np.where(probes[:, lists].T, order, -np.inf)
             floor = bar
             if len(docs) > k:
-                floor = np.maximum(bar, np.partition(scores, -k, axis=0)[-k])
-            rows, cols = np.nonzero((scores >= floor) & (scores > -np.inf))
+                floor = np.maximum(bar, np.partition(order, -k, axis=0)[-k])
+            rows, cols = np.nonzero((order >= floor) & (order > -np.inf))
             if not len(rows):
                 continue
             payload = pa.Table.from_batches([part.drop_columns([vector])]).take(rows)
-            fresh = payload.append_column("query", pa.array(cols)).append_column(
-                "score", pa.array(scores[rows, cols])
-            )
+            fresh = payload.append_column("query", pa.array(cols))
+            fresh = fresh.append_column("score", pa.array(scores[rows, cols]))
+            fresh = fresh.append_column("order", pa.array(order[rows, cols]))
             kept = _best(fresh if kept is None else pa.concat_tables([kept, fresh]), k, key)
             counts = np.bincount(kept.column("query").to_numpy(), minlength=len(queries))
             worst = np.full(len(queries), np.inf)
             np.minimum.at(
-                worst, kept.column("query").to_numpy(), kept.column("score").to_numpy()
+                worst, kept.column("query").to_numpy(), kept.column("order").to_numpy()
             )
             bar = np.where(counts >= k, worst, -np.inf)
     return kept
@@ -188,7 +190,9 @@ def knn_exact(
     ]
     if not parts:
         return _no_hits(lean, vector, query, queries)
-    hits = topk_per_query(reduce(DataFrame.unionByName, parts), k, query, key)
+    hits = topk_per_query(
+        reduce(DataFrame.unionByName, parts), k, query, key, score=F.desc("_order")
+    )
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
     if filter_mode == "post":
@@ -224,7 +228,12 @@ def _search_slice(
     dropped = {vector, "list_id"} if probes is not None else {vector}
     payload = [f for f in docs.schema.fields if f.name not in dropped]
     schema = StructType(
-        [StructField(query, query_field.dataType), *payload, StructField("score", DoubleType())]
+        [
+            StructField(query, query_field.dataType),
+            *payload,
+            StructField("score", DoubleType()),
+            StructField("_order", DoubleType()),
+        ]
     )
     shared = docs.sparkSession.sparkContext.broadcast((ids, matrix, probes))
     names = [f.name for f in payload]
@@ -234,8 +243,8 @@ def _search_slice(
         best = _local_topk(batches, query_matrix, k, metric, key, vector, query_probes)
         if best is not None:
             labels = pa.array(query_ids).take(best.column("query").combine_chunks())
-            hits = pa.table([labels, *[best.column(n) for n in names], best.column("score")],
-                            [query, *names, "score"])
+            columns = [best.column(n) for n in [*names, "score", "order"]]
+            hits = pa.table([labels, *columns], [query, *names, "score", "_order"])
             yield from hits.combine_chunks().to_batches()
 
     return fits.mapInArrow(run, schema)

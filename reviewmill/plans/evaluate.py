@@ -58,7 +58,7 @@ def score_semantic(answers: DataFrame, gold: DataFrame, embedder: Embedder) -> D
 
 def p95_rank(n: int) -> int:
     """1-based rank of the latency reported as p95; not the ceiling that percentiles use."""
-    return max(1, n * 95 // 100)
+    return max(1, int(n * 0.95))
 
 
 def p95_value(df: DataFrame, column: str, sortable: int = SORTABLE) -> float | None:

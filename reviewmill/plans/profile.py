@@ -81,7 +81,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 25) -> DataFram
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         value = F.col(column).cast("double")
-        place = F.least(F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
+        place = F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins))
+        place = F.when(place > bins, F.lit(bins)).otherwise(place)
         cells.append(
             F.struct(
                 F.lit(column).alias("column"),
