@@ -61,7 +61,7 @@ def _documents(spark, sf):
 )
 def sentence_split(spark, sf):
     split = chunks.sentence_split(norm_ws(F.col("text")))
-    return _documents(spark, sf).select("doc_id", F.posexplode(split).alias("pos", "sentence"))
+    return _documents(spark, sf).select("doc_id", F.posexplode_outer(split).alias("pos", "sentence"))
 
 
 @query(
@@ -71,7 +71,8 @@ def sentence_split(spark, sf):
 )
 def chunk_pack(spark, sf):
     packed = chunks.chunk_pack(chunks.sentence_split(norm_ws(F.col("text"))))
-    return _documents(spark, sf).select("doc_id", F.posexplode(packed).alias("chunk_no", "chunk_text"))
+    exploded = F.posexplode_outer(packed).alias("chunk_no", "chunk_text")
+    return _documents(spark, sf).select("doc_id", exploded).filter("chunk_no IS NOT NULL")
 
 
 @query("chunk_overlap", _DOC_CHUNKS + " SELECT k AS doc_id, chunk_no, chunk_text FROM chunked")

@@ -64,7 +64,7 @@ def chunk_overlap(
     def widen(chunk: Column, i: Column) -> Column:
         before = F.get(packed, i - 1)
         joined = F.when(i == 0, chunk).otherwise(F.concat(before, F.lit(" "), chunk))
-        return F.right(joined, F.lit(target + overlap))
+        return F.substr(joined, F.lit(-(target + overlap)))
 
     return F.when(F.size(packed) > 1, F.transform(packed, widen)).otherwise(packed)
 
@@ -88,7 +88,9 @@ def explode_chunks(
 ) -> DataFrame:
     """One row per non-empty chunk, with ``chunk_no`` and ``chunk_text``.
 
-    The steps are separate projections, so that each is evaluated once per row.
+    The steps are separate projections, so that each is evaluated once per row. The explode is
+    an outer one: for an inner one the optimizer adds a filter on the array's size and pushes
+    it, with a copy of the whole fold, below the projections.
     """
     sentences = sentence_split(norm_ws(F.col(text)))
     if split_long:
@@ -101,6 +103,6 @@ def explode_chunks(
     )
     others = [c for c in df.columns if c != text]
     return (
-        worked.select(*others, F.posexplode("_chunks").alias("chunk_no", "chunk_text"))
+        worked.select(*others, F.posexplode_outer("_chunks").alias("chunk_no", "chunk_text"))
         .filter(F.col("chunk_text") != "")
     )

@@ -22,8 +22,12 @@ from reviewmill.operators.vector_table import VectorTable
 from reviewmill.plans.index import embed_projection
 from reviewmill.plans.standardize import apply_scales, coerce_types, derive, final_projection
 from reviewmill.sizes import broadcast_if_small
+from reviewmill.sources.files import POSITION_BITS
 from reviewmill.sources.headers import map_columns
 
+# Where a streamed row came from; used for its order inside a micro-batch.
+PLACE = ["_path", "_block"]
+
 
 def read_reviews(
     spark: SparkSession, folder: str, headers: Sequence[str], delimiter: str = ",",
@@ -50,10 +54,7 @@ def read_reviews(
         (F.lit(source) if source else F.col("_metadata.file_name")).alias("source_file"),
         F.col("_metadata.file_modification_time").alias("arrived"),
         F.col("_metadata.file_path").alias("_path"),
-        (
-            F.col("_metadata.file_block_start")
-            + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        ).alias("_position"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.lit("rating_raw" in mapping).alias("has_rating"),
     )
 
@@ -65,9 +66,11 @@ def with_batch_order(batch: DataFrame) -> DataFrame:
     ranks = batch.sparkSession.createDataFrame(
         [(p, i) for i, p in enumerate(paths)], "_path string, _rank long"
     )
-    ranked = batch.join(F.broadcast(ranks), "_path")
-    order = F.shiftleft("_rank", 41).bitwiseOR(F.col("_position")).alias("ord")
-    return ranked.select(*[c for c in batch.columns if c not in ("_path", "_position")], order)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = batch.withColumn("_position", F.col("_block") + row)
+    ranked = placed.join(F.broadcast(ranks), "_path")
+    order = F.shiftleft("_rank", POSITION_BITS).bitwiseOR(F.col("_position")).alias("ord")
+    return ranked.select(*[c for c in batch.columns if c not in PLACE], order)
 
 
 def _run(stream: DataFrame, checkpoint: str, each) -> None:
@@ -97,7 +100,7 @@ def _seen(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame
 
 def stream_intake(stream: DataFrame, out: str, checkpoint: str, **coercion) -> None:
     """Typed rows appended as files arrive. Ratings are scaled when read (``read_scaled``)."""
-    typed = coerce_types(stream.drop("_path", "_position"), **coercion)
+    typed = coerce_types(stream.drop(*PLACE), **coercion)
     query = (
         typed.writeStream.format("parquet")
         .option("path", out)
@@ -219,7 +222,7 @@ def stream_counts(stream: DataFrame, out: str, checkpoint: str) -> dict[str, int
     spark.streams.addListener(listener)
     try:
         query = (
-            counted.drop("_path", "_position").writeStream.format("parquet")
+            counted.drop(*PLACE).writeStream.format("parquet")
             .option("path", out)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)

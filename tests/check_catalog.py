@@ -39,7 +39,7 @@ def main() -> int:
         except Exception as problem:  # noqa: BLE001
             problems, note = [str(problem)[:600]], "ERROR"
             if wanted:
-                traceback.print_exc()
+                print(traceback.format_exc()[-1500:])
         bad += bool(problems)
         print(f"{name:28s} {note:12s} {time.time() - start:6.2f}s", *problems, sep="  ", flush=True)
     print(f"{bad} bad")
