@@ -76,10 +76,12 @@ def chunk_texts(
     split_long: bool = False,
 ) -> Column:
     """All chunks of a text; missing or blank text has none."""
-    sentences = sentence_split(norm_ws(F.coalesce(text, F.lit(""))))
+    normalized = norm_ws(F.coalesce(text, F.lit("")))
+    sentences = sentence_split(normalized)
     if split_long:
         sentences = hard_split(sentences, target)
-    return chunk_overlap(chunk_pack(sentences, target), target, overlap)
+    chunks = chunk_overlap(chunk_pack(sentences, target), target, overlap)
+    return F.when(normalized != "", chunks).otherwise(F.array().cast("array<string>"))
 
 
 def explode_chunks(

@@ -65,7 +65,7 @@ def _slices(part: DataFrame, before: int, wanted: list[int], low: float, high: f
     # Bucketizer slices are [a, b); a single frequent value gets the slice [v, next(v)).
     edges = sorted({c for c in cuts if low < c <= high})
     edges = sorted(set(edges) | {math.nextafter(c, math.inf) for c in edges if c < high} | {math.nextafter(low, math.inf)})
-    splits = [float("-inf"), *edges, float("inf")]
+    splits = [-math.inf, *[e for e in edges if math.isfinite(e)], math.inf]
     slicer = Bucketizer(splits=splits, inputCol="v", outputCol="slice")
     sizes = dict(
         slicer.transform(part).groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()

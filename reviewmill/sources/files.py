@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,19 +66,20 @@ class ReviewSource:
         return [normalize_header(h) for h in self.raw_headers]
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Path and size of every file below a folder, from the listing alone."""
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder, sorted, from the listing alone; no file is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.load(folder).select("path", "length")
+    return sorted(unquote(path) for path in reader.load(folder).inputFiles())
 
 
 def discover_files(spark: SparkSession, folder: str) -> DataFrame:
     """Review files in path order; other suffixes are left out, none at all is an error."""
-    wanted = F.lit(False)
-    for suffix in SUFFIXES:
-        wanted = wanted | F.col("path").endswith(suffix)
-    found = list_files(spark, folder).filter(wanted).orderBy("path")
-    if found.isEmpty():
+    return spark.createDataFrame([(p,) for p in _review_paths(spark, folder)], "path string")
+
+
+def _review_paths(spark: SparkSession, folder: str) -> list[str]:
+    found = [p for p in list_files(spark, folder) if p.endswith(SUFFIXES)]
+    if not found:
         raise FileNotFoundError(f"no {' or '.join(SUFFIXES)} files in {folder}")
     return found
 
@@ -100,7 +102,7 @@ def list_sources(spark: SparkSession, folder: str, by: str = "file") -> list[Rev
 
     Only the listing reaches the driver. Every part has a rank, the high bits of its ordinals.
     """
-    paths = [row["path"] for row in discover_files(spark, folder).toLocalIterator()]
+    paths = _review_paths(spark, folder)
     if len(paths) > MAX_FILES:
         raise ValueError(f"{len(paths)} files; merge them below {MAX_FILES} first")
     sources: dict[str, ReviewSource] = {}
@@ -330,8 +332,12 @@ def _scan_layout(
             }
         )
     else:
+        # The scan reports paths percent-encoded.
+        encoded = {_bare(unquote(p)): _bare(p) for p in rows.inputFiles()}
         listed = [
-            (_bare(p), s.first_rank + i, s.name) for s in group for i, p in enumerate(s.parts)
+            (encoded.get(_bare(p), _bare(p)), s.first_rank + i, s.name)
+            for s in group
+            for i, p in enumerate(s.parts)
         ]
         if len({path for path, _, _ in listed}) < len(listed):
             raise ValueError("two input files have the same path on different stores")

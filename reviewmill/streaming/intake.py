@@ -9,7 +9,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -51,7 +51,7 @@ def read_reviews(
     ]
     return reader.csv(folder).select(
         *cells,
-        (F.lit(source) if source else F.col("_metadata.file_name")).alias("source_file"),
+        (F.lit(source) if source else _decoded(F.col("_metadata.file_name"))).alias("source_file"),
         F.col("_metadata.file_modification_time").alias("arrived"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -59,6 +59,11 @@ def read_reviews(
     )
 
 
+def _decoded(name: Column) -> Column:
+    """A percent-encoded file name as written; a plus sign is itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def with_batch_order(batch: DataFrame) -> DataFrame:
     """``ord`` inside a micro-batch: file by path, then position."""
     # One row per file of the batch, which the source limits.
