@@ -30,9 +30,10 @@ def main() -> None:
     if args.command == "etl":
         jobs.run_etl(spark, args.raw, args.out, args.metadata, args.run_id, args.at)
     elif args.command == "rows":
-        jobs.run_row_index(spark, spark.read.parquet(args.processed), args.table, args.batch_id).show()
+        processed = spark.read.parquet(args.processed)
+        print(jobs.run_row_index(spark, processed, args.table, args.batch_id))
     else:
-        jobs.run_chunk_index(spark, spark.read.parquet(args.processed), args.out).show()
+        print(jobs.run_chunk_index(spark.read.parquet(args.processed), args.out))
 
 
 if __name__ == "__main__":

@@ -19,6 +19,7 @@ from reviewmill.operators.vector_table import (
 )
 from reviewmill.plans import evaluate, index
 from reviewmill.session import scratch_dir
+from reviewmill.sizes import spread
 
 DIM = 256
 EMBEDDER = HashingEmbedder(DIM)
@@ -51,7 +52,7 @@ _DOC_CHUNKS = "WITH " + ",\n".join(chunk_ctes("documents", "doc_id", "text"))
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(
@@ -300,9 +301,8 @@ def _upserted(spark, sf) -> VectorTable:
     store = VectorTable(spark, scratch_dir(spark, "vectors"), buckets=8, dim=DIM)
     for name, batch in zip(("others", "english"), _batches(spark, sf)):
         docs = batch.withColumns({"restaurant_name": F.lit(None).cast("string"), "rating": F.lit(0).cast("float")})
-        vectors_of = with_vectors(docs, EMBEDDER)
-        store.upsert(vectors_of, name, seq="ord")
-        store.upsert(vectors_of, name, seq="ord")
+        store.upsert(docs, name, seq="ord", embedder=EMBEDDER)
+        store.upsert(docs, name, seq="ord", embedder=EMBEDDER)
     return store
 
 

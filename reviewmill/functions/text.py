@@ -15,11 +15,19 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a character class that Java and RE2 both read.
+# The same set as a character class, for engines without properties.
 SPACE_CLASS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# Whitespace other than the plain space. One property test per character: several times faster
+# than a class of ranges, and plain spaces, most of the matches, are left alone.
+ODD_SPACE = r"(?U)[\s\x1c-\x1f&&[^ ]]"
+
+
+def collapse_spaces(c: Column) -> Column:
+    """Every whitespace run as one plain space."""
+    return F.regexp_replace(F.regexp_replace(c, ODD_SPACE, " "), " {2,}", " ")
 
 
 def null_literals(c: Column, spellings: Iterable[str] = NULL_SPELLINGS) -> Column:
@@ -44,12 +52,12 @@ def clean_text(c: Column, fill: str | None = None) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return F.trim(F.regexp_replace(c, SPACE_CLASS + "+", " "))
+    return F.trim(collapse_spaces(c))
 
 
 def norm_text_dupkey(c: Column) -> Column:
     """Lower case with whitespace runs as one space, ends kept."""
-    return F.regexp_replace(F.lower(c), SPACE_CLASS + "+", " ")
+    return collapse_spaces(F.lower(c))
 
 
 def mentions_any(c: Column, words: Iterable[str] = WAIT_WORDS) -> Column:

@@ -27,31 +27,46 @@ def hard_split(sentences: Column, target: int) -> Column:
     return F.flatten(F.transform(sentences, pieces))
 
 
-def chunk_pack(sentences: Column, target: int = CHUNK_CHARS) -> Column:
-    """Greedy packing of sentences into chunks below ``target`` characters.
+def chunk_starts(sentences: Column, target: int = CHUNK_CHARS) -> Column:
+    """Position of the first sentence of each chunk.
 
-    The chunk being filled starts with the joining space of its first sentence, and that space
-    counts. A sentence too long for any chunk stands alone; if it comes first, the chunk before
-    it is empty.
+    Greedy: a sentence joins the chunk while that stays below ``target`` characters. The chunk
+    counts a joining space before each sentence, but not before one that opened it by not
+    fitting. A first sentence too long for any chunk leaves an empty chunk before it. The fold
+    carries lengths only; no text is copied until the chunks are cut.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    lengths = F.transform(sentences, lambda s: F.length(s))
+    start = F.struct(
+        F.array(F.lit(0)).alias("starts"), F.lit(0).alias("open"), F.lit(0).alias("next")
+    )
 
-    def add(state: Column, sentence: Column) -> Column:
-        fits = F.length(state["open"]) + F.length(sentence) + 1 < target
-        grown = F.struct(
-            state["done"].alias("done"), F.concat(state["open"], F.lit(" "), sentence).alias("open")
-        )
-        closed = F.struct(
-            F.concat(state["done"], F.array(F.trim(state["open"]))).alias("done"),
-            sentence.alias("open"),
+    def add(state: Column, length: Column) -> Column:
+        grown = state["open"] + length + 1
+        fits = grown < target
+        return F.struct(
+            F.when(fits, state["starts"])
+            .otherwise(F.concat(state["starts"], F.array(state["next"])))
+            .alias("starts"),
+            F.when(fits, grown).otherwise(length).alias("open"),
+            (state["next"] + 1).alias("next"),
         )
-        return F.when(fits, grown).otherwise(closed)
 
-    def close(state: Column) -> Column:
-        last = F.array(F.trim(state["open"]))
-        return F.when(state["open"] != "", F.concat(state["done"], last)).otherwise(state["done"])
+    return F.aggregate(lengths, start, add, lambda state: state["starts"])
+
+
+def chunk_join(sentences: Column, starts: Column) -> Column:
+    """The text of each chunk."""
 
-    return F.aggregate(sentences, empty, add, close)
+    def cut(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), F.size(sentences))
+        return F.array_join(F.slice(sentences, start + 1, end - start), " ")
+
+    return F.transform(starts, cut)
+
+
+def chunk_pack(sentences: Column, target: int = CHUNK_CHARS) -> Column:
+    """Sentences of a text that is not blank, packed into chunks."""
+    return chunk_join(sentences, chunk_starts(sentences, target))
 
 
 def chunk_overlap(
@@ -100,7 +115,8 @@ def explode_chunks(
     worked = (
         df.filter(F.col(text).isNotNull() & (F.length(text) > 0))
         .withColumn("_sentences", sentences)
-        .withColumn("_packed", chunk_pack(F.col("_sentences"), target))
+        .withColumn("_starts", chunk_starts(F.col("_sentences"), target))
+        .withColumn("_packed", chunk_join(F.col("_sentences"), F.col("_starts")))
         .withColumn("_chunks", chunk_overlap(F.col("_packed"), target, overlap))
     )
     others = [c for c in df.columns if c != text]

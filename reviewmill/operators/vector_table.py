@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.fixed import VECTOR_DIM
+from reviewmill.operators.embed import Embedder, embed_batches
 
 ROW_SCHEMA = (
     "review_id string, location string, restaurant_name string, rating float, text string, "
@@ -41,9 +43,10 @@ def merge_latest(
 class VectorTable:
     """Keyed rows in buckets by key hash.
 
-    An upsert writes new folders for the buckets it touches and then one manifest, the list of
-    current folders. Readers see the old manifest until the new one is complete, and a batch
-    that is already in the manifest is not applied again.
+    An upsert writes the batch's rows, then the untouched rows of the buckets it meets, into new
+    folders, and last a manifest that lists the current folders of every bucket. Readers see the
+    old manifest until the new one is complete, buckets without new rows are not rewritten, and a
+    batch named in the manifest is not applied again. One writer at a time.
     """
 
     def __init__(
@@ -53,80 +56,88 @@ class VectorTable:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         self.buckets, self.dim = buckets, dim
 
-    def _manifests(self) -> str:
-        return f"{self.path}/manifests"
-
     def ensure(self) -> None:
         """Create the empty table if it is absent."""
-        if self._manifest() is None:
-            self._commit({"version": 0, "batches": [], "folders": {}, "dim": self.dim})
-
-    def _manifest(self) -> dict | None:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        try:
-            listed = files.option("pathGlobFilter", "*.txt").load(self._manifests())
-            newest = listed.select("path").orderBy(F.desc("path")).first()
-        except Exception as problem:  # noqa: BLE001 - only a missing folder is expected
-            if "PATH_NOT_FOUND" in str(problem):
-                return None
-            raise
-        if newest is None:
-            return None
-        return json.loads(self.spark.read.text(newest["path"], wholetext=True).first()["value"])
-
-    def _commit(self, manifest: dict) -> None:
-        target = f"{self._manifests()}/{manifest['version']:010d}"
+        self._commit({"version": 0, "batches": [], "folders": {}, "dim": self.dim}, mode="ignore")
+
+    def _manifest(self) -> dict:
+        self.ensure()
+        reader = self.spark.read.option("recursiveFileLookup", "true").format("text")
+        newest = max(reader.load(f"{self.path}/manifests").inputFiles())
+        return json.loads(self.spark.read.text(newest).first()["value"])
+
+    def _commit(self, manifest: dict, mode: str = "errorifexists") -> None:
+        target = f"{self.path}/manifests/{manifest['version']:010d}"
         line = self.spark.createDataFrame([(json.dumps(manifest),)], "value string")
-        line.coalesce(1).write.mode("errorifexists").text(target)
+        line.coalesce(1).write.mode(mode).text(target)
 
     def read(self) -> DataFrame:
         """Current rows."""
-        manifest = self._manifest()
-        folders = sorted(set(manifest["folders"].values())) if manifest else []
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self._current(manifest["folders"])
-
-    def _current(self, folders: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
-        paths = [
-            f"{self.path}/{folder}/bucket={bucket}"
-            for bucket, folder in sorted(folders.items())
-            if wanted is None or bucket in wanted
-        ]
+        return self._rows(self._manifest()["folders"])
+
+    def _rows(self, folders: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self.path}/{f}/bucket={b}" for b, fs in sorted(folders.items()) for f in fs]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def upsert(self, batch: DataFrame, batch_id: str, seq: str = "seq") -> None:
-        """Apply a batch: per key its last row replaces the stored one."""
-        self.ensure()
+    def _write(self, df: DataFrame, folder: str) -> list[str]:
+        """Write rows by bucket; returns the buckets that got rows."""
+        fields = [f.split()[0] for f in self.schema.split(", ")]
+        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+        target = f"{self.path}/{folder}"
+        rows = df.select(*fields, bucket.alias("bucket")).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+        written = self.spark.read.schema(self.schema).parquet(target).inputFiles()
+        return sorted({b for f in written for b in re.findall("/bucket=([0-9]+)/", f)})
+
+    def upsert(
+        self, batch: DataFrame, batch_id: str, seq: str = "seq",
+        embedder: Embedder | None = None, text: str = "text",
+    ) -> dict[str, int]:
+        """Per key the batch's last row replaces the stored one.
+
+        With an embedder, vectors are made here, for the last rows only and once. A row without
+        a vector of the right size is counted as failed and not stored.
+        """
         manifest = self._manifest()
         if batch_id in manifest["batches"]:
-            return
-        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
-        touched = [str(r["b"]) for r in batch.select(bucket.alias("b")).distinct().collect()]
-        if not touched:
-            return
+            return {"indexed": 0, "failed": 0}
         version = manifest["version"] + 1
-        folder = f"v{version:010d}"
-        stored = self._current(manifest["folders"], touched)
-        merged = merge_latest(stored, batch, self.key, seq)
-        fields = [f.split()[0] for f in self.schema.split(", ")]
-        (
-            merged.select(*fields, bucket.alias("bucket"))
-            .hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(f"{self.path}/{folder}")
+        rows = latest_per_key(batch, self.key, seq).drop(seq)
+        if embedder is not None:
+            rows = embed_batches(rows, embedder, text)
+        fits = F.coalesce(F.size("vector") == self.dim, F.lit(False)) & F.col("vector").isNotNull()
+        seen = Observation()
+        counted = rows.observe(
+            seen, F.count_if(fits).alias("indexed"), F.count_if(~fits).alias("failed")
         )
-        folders = {**manifest["folders"], **{b: folder for b in touched}}
+        fresh, kept = f"v{version:010d}-new", f"v{version:010d}-kept"
+        touched = self._write(counted.filter(fits), fresh)
+        stored = {b: manifest["folders"][b] for b in touched if b in manifest["folders"]}
+        folders = {**manifest["folders"], **{b: [fresh] for b in touched}}
+        if stored:
+            new_rows = self._rows({b: [fresh] for b in touched})
+            old_rows = self._rows(stored).join(new_rows.select(self.key), self.key, "left_anti")
+            for b in self._write(old_rows, kept):
+                folders[b] = [fresh, kept]
         batches = [*manifest["batches"], batch_id][-1000:]
         self._commit({"version": version, "batches": batches, "folders": folders, "dim": self.dim})
+        return {name: int(seen.get[name]) for name in ("indexed", "failed")}
+
 
+def append_chunks(docs: DataFrame, path: str) -> dict[str, int]:
+    """Append chunk documents that have a vector; returns indexed and failed counts.
 
-def append_chunks(docs: DataFrame, path: str) -> None:
-    """Append chunk documents. A rerun adds them again; read them through ``distinct_chunks``."""
-    docs.write.mode("append").parquet(path)
+    A rerun adds them again; read them through ``distinct_chunks``.
+    """
+    seen = Observation()
+    missing = F.col("vector").isNull()
+    counted = docs.observe(
+        seen, F.count_if(~missing).alias("indexed"), F.count_if(missing).alias("failed")
+    )
+    counted.filter(~missing).write.mode("append").parquet(path)
+    return {name: int(seen.get[name]) for name in ("indexed", "failed")}
 
 
 def distinct_chunks(docs: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.operators.dedup import surviving_ordinals
-from reviewmill.operators.embed import Embedder, HashingEmbedder, ingest_counts
+from reviewmill.operators.embed import Embedder, HashingEmbedder
 from reviewmill.operators.enrich import enrich_left_join
 from reviewmill.operators.numbering import number_rows
-from reviewmill.operators.search import split_by_dim
 from reviewmill.operators.vector_table import VectorTable, append_chunks
 from reviewmill.plans import index, reports, standardize
+from reviewmill.sizes import spread
 from reviewmill.sources import files, sinks
 
 LOSS_COLUMNS = ["review_date", "rating_raw", "total_spent", "tip_amount", "tip_percentage"]
@@ -117,26 +117,22 @@ def run_etl(
 def run_row_index(
     spark: SparkSession, processed: DataFrame, table_path: str, batch_id: str,
     embedder: Embedder | None = None,
-) -> DataFrame:
+) -> dict[str, int]:
     """Processed reviews into the keyed vector table; returns indexed and failed counts."""
     embedder = embedder or HashingEmbedder()
     docs = index.embed_projection(processed)
-    if "ord" in processed.columns:
-        raise ValueError("pass the final table: its review_id is the sequence")
-    vectors = index.embed_documents(docs, embedder, "text")
-    fit, _ = split_by_dim(vectors, embedder.dim)
-    table = VectorTable(spark, table_path, dim=embedder.dim)
-    sequenced = fit.withColumn("seq", F.col("review_id").try_cast("long"))
-    table.upsert(sequenced, batch_id)
-    return ingest_counts(vectors)
+    sequenced = spread(docs, "review_id").withColumn("seq", F.col("review_id").try_cast("long"))
+    return VectorTable(spark, table_path, dim=embedder.dim).upsert(
+        sequenced, batch_id, embedder=embedder
+    )
 
 
 def run_chunk_index(
-    spark: SparkSession, processed: DataFrame, path: str, embedder: Embedder | None = None
-) -> DataFrame:
+    processed: DataFrame, path: str, embedder: Embedder | None = None
+) -> dict[str, int]:
     """Processed reviews to chunk documents, appended; returns indexed and failed counts."""
-    embedder = embedder or HashingEmbedder()
-    docs = index.chunk_projection(index.filter_nonempty_text(processed))
-    vectors = index.embed_documents(docs, embedder, "chunk_text")
-    append_chunks(vectors.filter(F.col("vector").isNotNull()), path)
-    return ingest_counts(vectors)
+    rows = spread(index.filter_nonempty_text(processed), "review_id")
+    docs = index.chunk_projection(rows)
+    return append_chunks(
+        index.embed_documents(docs, embedder or HashingEmbedder(), "chunk_text"), path
+    )

@@ -23,3 +23,13 @@ def broadcast_if_small(
         return df
     local = df.sparkSession.createDataFrame(fetched.to_pylist(), df.schema)
     return F.broadcast(local)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the input has fewer files than there are cores.
+
+    For work that costs far more than a shuffle of its input (chunking, embedding). An input of
+    many files is left as it is. ``key`` is unique, so the parts are even.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df

@@ -17,7 +17,7 @@ from reviewmill.fixed import HEADER_SYNONYMS
 from reviewmill.functions.numbers import coerce_numeric, rating_1_5, scale_from_max
 from reviewmill.functions.text import null_literals
 from reviewmill.operators.dedup import TEXT_KEY, digest
-from reviewmill.operators.embed import Embedder, with_vectors
+from reviewmill.operators.embed import Embedder
 from reviewmill.operators.vector_table import VectorTable
 from reviewmill.plans.index import embed_projection
 from reviewmill.plans.standardize import apply_scales, coerce_types, derive, final_projection
@@ -93,13 +93,10 @@ def _overwrite(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def _seen(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
-    """Rows written by earlier micro-batches."""
-    try:
-        rows = spark.read.schema(schema + ", batch long").parquet(path)
-    except Exception as problem:  # noqa: BLE001 - the first batch finds no folder
-        if "PATH_NOT_FOUND" in str(problem):
-            return spark.createDataFrame([], schema)
-        raise
+    """Rows written by earlier micro-batches; the first batch has number 0."""
+    if before == 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema + ", batch long").parquet(path)
     return rows.filter(F.col("batch") < before).drop("batch")
 
 
@@ -184,8 +181,8 @@ def stream_upsert(
             )
         last = rated.groupBy("review_id").agg(F.max("ord").alias("ord"))
         newest = rated.join(last, ["review_id", "ord"], "left_semi")
-        docs = with_vectors(embed_projection(newest), embedder, "text")
-        table.upsert(docs.withColumn("seq", F.lit(0)), f"stream-{batch_id}")
+        docs = embed_projection(newest).withColumn("seq", F.lit(0))
+        table.upsert(docs, f"stream-{batch_id}", embedder=embedder)
 
     _run(stream, checkpoint, each)
 

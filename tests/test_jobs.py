@@ -87,12 +87,12 @@ def test_index_jobs(spark, run):
     final = spark.read.parquet(run.final)
     embedder = HashingEmbedder(32)
     root = tempfile.mkdtemp(prefix="index-")
-    counts = jobs.run_row_index(spark, final, f"{root}/rows", "b1", embedder).first()
+    counts = jobs.run_row_index(spark, final, f"{root}/rows", "b1", embedder)
     with_text = final.filter(F.col("review_text").isNotNull()).count()
     assert (counts["indexed"], counts["failed"]) == (with_text, 0)
     assert VectorTable(spark, f"{root}/rows", dim=32).read().count() == with_text
-    counts = jobs.run_chunk_index(spark, final, f"{root}/chunks", embedder).first()
-    jobs.run_chunk_index(spark, final, f"{root}/chunks", embedder)
+    counts = jobs.run_chunk_index(final, f"{root}/chunks", embedder)
+    jobs.run_chunk_index(final, f"{root}/chunks", embedder)
     assert distinct_chunks(spark.read.parquet(f"{root}/chunks")).count() == counts["indexed"]
 
 

@@ -191,10 +191,13 @@ def test_vector_table(spark):
     assert table.read().count() == 0 and "vector" in table.read().columns
     def batch(rows):
         df = spark.createDataFrame(rows, "review_id string, text string, seq long")
-        full = df.withColumns({"location": F.lit("x"), "restaurant_name": F.lit("r"), "rating": F.lit(1.0).cast("float")})
-        return with_vectors(full, HashingEmbedder(8))
-    table.upsert(batch([(str(i), f"first {i}", i) for i in range(20)]), "one")
-    table.upsert(batch([("3", "second", 1), ("3", "third", 2), ("99", "new", 3)]), "two")
-    table.upsert(batch([("3", "ignored", 1)]), "two")
+        return df.withColumns({"location": F.lit("x"), "restaurant_name": F.lit("r"), "rating": F.lit(1.0).cast("float")})
+    embedder = Picky(8)
+    first = [(str(i), f"first {i}", i) for i in range(20)] + [("50", "bad text", 1)]
+    assert table.upsert(batch(first), "one", embedder=embedder) == {"indexed": 20, "failed": 1}
+    second = [("3", "second", 1), ("3", "third", 2), ("99", "new", 3)]
+    assert table.upsert(batch(second), "two", embedder=embedder) == {"indexed": 2, "failed": 0}
+    made = with_vectors(batch([("3", "ignored", 1)]), embedder)
+    assert table.upsert(made, "two") == {"indexed": 0, "failed": 0}
     rows = {r["review_id"]: r["text"] for r in table.read().collect()}
     assert len(rows) == 21 and rows["3"] == "third" and rows["99"] == "new" and rows["4"] == "first 4"
