@@ -48,7 +48,7 @@ def stage_reviews(spark, sf) -> str:
             "source", *[F.col(c).cast("string").alias(h) for c, h in headers.items()],
             *[F.col(c).cast("string").alias(c) for c in SAME_NAMES],
         )
-        named.write.mode("append").partitionBy("source").options(
+        named.hint("rebalance", "source").write.mode("append").partitionBy("source").options(
             header=True, sep=DELIMITER[i], quote='"', escape='"', emptyValue="",
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         ).csv(root)
@@ -237,17 +237,24 @@ def scan_parquet(spark, sf):
     return files.scan_processed(spark, path).select("review_id", "ord", "source_file", "gender_norm")
 
 
-@query("scan_records", "SELECT n_name AS review_id, 'nation' AS location, "
-       "CAST(n_regionkey AS FLOAT) AS rating, CAST(n_nationkey AS VARCHAR) AS text FROM nation")
+@query(
+    "scan_records",
+    """SELECT CAST(doc_id AS VARCHAR) AS review_id, lang AS location, CAST(n_chars % 5 AS FLOAT) AS rating, text
+      FROM documents UNION ALL SELECT doc_id || '-b', NULL, CAST(0.5 AS FLOAT), source FROM documents""",
+)
 def scan_records(spark, sf):
-    """Records of one request, taken from a table of fixed size."""
-    nations = fixture.table(spark, sf, "nation").collect()
-    records = [
-        {"review_id": n["n_name"], "location": "nation", "rating": float(n["n_regionkey"]),
-         "text": str(n["n_nationkey"])}
-        for n in nations
-    ]
-    return files.scan_records(spark, records)
+    """One request per document, with two records each."""
+    first = F.struct(
+        F.col("doc_id").cast("string").alias("review_id"), F.col("lang").alias("location"),
+        (F.col("n_chars") % 5).cast("float").alias("rating"), F.col("text").alias("text"),
+    )
+    second = F.struct(
+        F.concat(F.col("doc_id").cast("string"), F.lit("-b")).alias("review_id"),
+        F.lit(None).cast("string").alias("location"), F.lit(0.5).cast("float").alias("rating"),
+        F.col("source").alias("text"),
+    )
+    request = F.to_json(F.struct(F.array(first, second).alias("records")))
+    return files.scan_records(fixture.table(spark, sf, "documents").select(request.alias("request")))
 
 
 # --- sinks -------------------------------------------------------------------

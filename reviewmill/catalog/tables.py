@@ -103,7 +103,13 @@ def dedup_counts(spark, sf):
 
 @query("renumber_ids", from_final("SELECT review_id, ord, source_file FROM final"))
 def renumber_ids(spark, sf):
-    return final(spark, sf).select("review_id", "ord", "source_file")
+    numbered = numbering.renumber(deduped(spark, sf), block_bits=10)
+    return numbered.select("review_id", "ord", "source_file")
+
+
+@query("dedup_and_renumber", from_final("SELECT review_id, ord, source_file, gender_norm FROM final"))
+def dedup_and_renumber(spark, sf):
+    return final(spark, sf).select("review_id", "ord", "source_file", "gender_norm")
 
 
 @query(

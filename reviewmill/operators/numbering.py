@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewmill.operators.dedup import surviving_ordinals
+
 # Width of an ordinal block. File ordinals are byte positions (sources.files), so 2^27 is one
 # 128 MB split; use fewer bits for dense ordinals.
 BLOCK_BITS = 27
@@ -53,3 +55,20 @@ def renumber(
     """
     numbers = number_rows(df.select(*lead, order), lead, order, "review_id", block_bits)
     return df.drop("review_id").join(numbers.select(order, "review_id"), order)
+
+
+def dedup_and_renumber(
+    df: DataFrame,
+    lead: Sequence[str] = ("source_file",),
+    order: str = "ord",
+    block_bits: int = BLOCK_BITS,
+    null_text: str = "collapse",
+) -> DataFrame:
+    """``dedup_reviews`` then ``renumber``, with one shuffle of the full rows.
+
+    The surviving ordinals are numbered while they are narrow; one inner join on the ordinal
+    then drops the duplicates and brings the number.
+    """
+    survivors = surviving_ordinals(df, order, null_text=null_text)
+    numbers = number_rows(survivors, lead, order, "review_id", block_bits)
+    return df.drop("review_id").join(numbers.select(order, "review_id"), order)

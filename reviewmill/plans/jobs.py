@@ -64,9 +64,9 @@ def run_etl(
     typed = standardize.coerce_types(present, **coercion)
     scaled = standardize.apply_scales(typed, standardize.rating_scales(typed))
     ready = standardize.extend(standardize.derive(scaled))
+    # File ordinals rise over all files, so no leading column is needed.
     survivors = surviving_ordinals(typed, null_text=null_text)
-    ranked = survivors.select(F.shiftright("ord", files.POSITION_BITS).alias("_file"), "ord")
-    numbers = number_rows(ranked, ["_file"], "ord", "row_id").select("ord", "row_id")
+    numbers = number_rows(survivors, [], "ord", "row_id").select("ord", "row_id")
     processed = standardize.final_projection(ready, extended=True, keep=["ord"])
     sinks.write_per_source(processed.join(numbers, "ord"), paths.per_source)
     kept = spark.read.parquet(paths.per_source)

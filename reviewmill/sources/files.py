@@ -1,7 +1,7 @@
 """Scans of delimited review files.
 
 A row's place in its input is kept as one long, ``ord``: the file's rank in the listing in the
-high bits, a byte-scale position in the low 41 bits (block start plus row count inside the
+high bits, a byte-scale position in the low 43 bits (block start plus row count inside the
 task). A row takes at least one byte, so positions rise within a file and never repeat. One
 long keeps "first row" rules inside hash aggregation.
 """
@@ -32,8 +32,8 @@ from reviewmill.sources.headers import (
 )
 
 SUFFIXES = (".csv", ".txt")
-POSITION_BITS = 41
-MAX_FILES = 1 << 22
+POSITION_BITS = 43
+MAX_FILES = 1 << 20
 # Targets whose cells come from the file; the others are derived later.
 TEXT_TARGETS = [n for n, _ in STANDARD_COLUMNS if n in HEADER_SYNONYMS]
 
@@ -89,12 +89,13 @@ def check_suffix(path: str) -> None:
         raise ValueError(f"unsupported file type: {path}")
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line that is not blank. Bad bytes become replacement characters."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").head(1)
-    if not lines:
-        raise ValueError("file is empty")
-    return lines[0]["value"].lstrip("\ufeff")
+def header_line(spark: SparkSession, *paths: str) -> str:
+    """First line that is not blank, in the first file that has one; bad bytes are replaced."""
+    for path in paths:
+        lines = spark.read.text(path).filter(F.trim("value") != "").head(1)
+        if lines:
+            return lines[0]["value"].lstrip("\ufeff")
+    raise ValueError("file is empty")
 
 
 def list_sources(spark: SparkSession, folder: str, by: str = "file") -> list[ReviewSource]:
@@ -127,7 +128,7 @@ def resolve_source(
     """Read the header line; a source that cannot be read gets status 'unreadable'."""
     check_suffix(source.name)
     try:
-        line = header_line(spark, source.path)
+        line = header_line(spark, *source.parts)
         if source.name.lower().endswith(".txt"):
             source.delimiter = sniff_delimiter(line)
         source.raw_headers = split_header(line, source.delimiter)
@@ -166,10 +167,14 @@ def schema_audit(spark: SparkSession, sources: Sequence[ReviewSource]) -> DataFr
 
 def needs_multiline(spark: SparkSession, paths: Sequence[str]) -> bool:
     """True if some line has an odd number of quotes, i.e. a cell spans lines."""
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    odd = quote_count(F.col("value")) % 2 == 1
     return not spark.read.text(list(paths)).filter(odd).isEmpty()
 
 
+def quote_count(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+
+
 def read_delimited(
     spark: SparkSession,
     paths: Sequence[str],
@@ -197,10 +202,7 @@ def read_delimited(
     return rows.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
-        (
-            F.col("_metadata.file_block_start")
-            + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        ).alias("_position"),
+        _position().alias("_position"),
     )
 
 
@@ -209,56 +211,67 @@ def read_stitched(
 ) -> DataFrame:
     """Splittable scan of files whose quoted cells hold line breaks.
 
-    Lines are read in parallel. A line starts a record if an even number of quotes stands
-    before it in the file. That count is a running sum inside each block plus the total of the
-    blocks before, a table with one row per 128 MB. Lines of one record are then joined, and
-    only records, never blocks or files, meet in one group.
+    A line opens a record if an even number of quotes stands before it in the file. Inside a
+    block that is a running sum; what the blocks before contribute comes from a table with one
+    row per block, which keeps the last opening line for either parity. A record is named by
+    the place of its opening line, and only lines of one record meet in a group.
     """
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+        _position().alias("_at"),
         F.col("value").alias("_line"),
-        F.length(F.regexp_replace("value", '[^"]', "")).alias("_quotes"),
+        quote_count(F.col("value")).alias("_quotes"),
+        (F.trim("value") != "").cast("int").alias("_written"),
+    )
+    up_to = Window.partitionBy("_path", "_block").orderBy("_at")
+    before = up_to.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = up_to.rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumns(
+        {
+            "_even": F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2 == 0,
+            "_head": (F.col("_block") == 0)
+            & (F.col("_written") == 1)
+            & (F.sum("_written").over(up_to) == 1),
+        }
+    )
+    blocks = local.groupBy("_path", "_block").agg(
+        F.sum("_quotes").alias("_sum"),
+        F.max(F.when(F.col("_even"), F.col("_at"))).alias("_last_if_even"),
+        F.max(F.when(~F.col("_even"), F.col("_at"))).alias("_last_if_odd"),
     )
-    in_block = Window.partitionBy("_path", "_block").orderBy("_row")
-    before_line = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("_path").orderBy("_block")
-    before_block = in_file.rowsBetween(Window.unboundedPreceding, -1)
-
-    def running(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window), F.lit(0))
-
-    quotes = lines.groupBy("_path", "_block").agg(F.sum("_quotes").alias("_sum"))
-    quotes = quotes.select("_path", "_block", running("_sum", before_block).alias("_quotes_before"))
-    placed = lines.withColumn("_seen", running("_quotes", before_line)).join(
-        quotes, ["_path", "_block"]
+    earlier = Window.partitionBy("_path").orderBy("_block")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    clean = F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) % 2 == 0
+    last = F.when(F.col("_clean"), F.col("_last_if_even")).otherwise(F.col("_last_if_odd"))
+    blocks = blocks.withColumn("_clean", clean).withColumn("_last", last)
+    carried = blocks.select(
+        "_path", "_block", "_clean", F.max("_last").over(earlier).alias("_carried")
     )
-    opened = ((F.col("_seen") + F.col("_quotes_before")) % 2 == 0).cast("long")
-    placed = placed.withColumn("_opens", opened)
-    starts = placed.groupBy("_path", "_block").agg(F.sum("_opens").alias("_sum"))
-    starts = starts.select("_path", "_block", running("_sum", before_block).alias("_starts_before"))
-    placed = placed.join(starts, ["_path", "_block"]).withColumn(
-        "_record", running("_opens", in_block) + F.col("_starts_before")
+    opening = F.when(F.col("_even") == F.col("_clean"), F.col("_at"))
+    placed = local.join(carried, ["_path", "_block"]).withColumn(
+        "_record", F.coalesce(F.max(opening).over(up_to), F.col("_carried"))
     )
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_line")))
     records = placed.groupBy("_path", "_record").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_block", "_row", "_line"))),
-                lambda part: part["_line"],
-            ),
-            "\n",
-        ).alias("_text")
+        F.array_join(F.transform(parts, lambda part: part["_line"]), "\n").alias("_text"),
+        F.max("_head").alias("_head"),
     )
     schema = ", ".join(f"`{h}` string" for h in headers)
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
     record = F.rtrim(F.col("_text"), F.lit("\r"))
-    cells = records.filter((F.col("_record") > 1) & (F.trim(record) != "")).select(
+    cells = records.filter(~F.col("_head") & (F.trim(record) != "")).select(
         F.from_csv(record, F.lit(schema), options).alias("_cells"), "_path", "_record"
     )
     return cells.select("_cells.*", "_path", F.col("_record").alias("_position"))
 
 
+def _position() -> Column:
+    """Place of a row in its file: the block's first byte plus the row count of the task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + row
+
+
 def by_layout(sources: Sequence[ReviewSource]) -> list[list[ReviewSource]]:
     """Readable sources in groups of one header layout each."""
     layouts: dict[tuple, list[ReviewSource]] = {}
@@ -280,9 +293,11 @@ def scan_reviews(
 
     Files with one header layout are read by one scan, so the plan grows with the number of
     layouts, not of files. Rows empty in every mapped column are dropped here (or flagged in
-    ``has_content``), on a flag beside the ordinal: as a predicate over all columns it would be
-    copied below every later join.
+    ``has_content``).
     """
+    # Always 0. A row counter in the projection keeps the filter on ``has_content`` above it;
+    # pushed down, that predicate would parse every column a second time.
+    hold = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
     parts = []
     for group in by_layout(sources):
         mapping = group[0].mapping
@@ -294,7 +309,7 @@ def scan_reviews(
         placed = rows.select(
             *[cells.get(t, F.lit(None).cast("string")).alias(t) for t in TEXT_TARGETS],
             "source_file",
-            "ord",
+            (F.col("ord") + hold).alias("ord"),
             F.lit("rating_raw" in mapping).alias("has_rating"),
             present.alias("has_content"),
         )
@@ -399,7 +414,11 @@ def scan_processed(spark: SparkSession, path: str) -> DataFrame:
 RECORD_SCHEMA = "review_id string, location string, rating float, text string"
 
 
-def scan_records(spark: SparkSession, records: Sequence[Mapping]) -> DataFrame:
-    """Inline records of one request; no text filter on this path."""
-    names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], RECORD_SCHEMA)
+def scan_records(requests: DataFrame, request: str = "request") -> DataFrame:
+    """Records given inline in JSON requests, ``{"records": [...]}``; no text filter on this path."""
+    parsed = F.from_json(F.col(request), f"records array<struct<{_struct(RECORD_SCHEMA)}>>")
+    return requests.select(parsed["records"].alias("records")).select(F.inline("records"))
+
+
+def _struct(schema: str) -> str:
+    return ", ".join(field.replace(" ", ": ", 1) for field in schema.split(", "))
