@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reviewmill.fixed import SEARCH_K
+from reviewmill.session import scratch_dir
 
 QUERY_BYTES = 32 * 1024 * 1024
 # Scores are compared to this many digits, so that equal vectors tie in any batch.
 SCORE_DIGITS = 9
 BATCH_ROWS = 2048
+# Cells of one score matrix: documents of a batch times queries.
+SCORE_CELLS = 4_000_000
 
 
 def filter_terms(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
@@ -95,9 +98,10 @@ def _local_topk(
     """
     kept = None
     bar = np.full(len(queries), -np.inf)
+    step = max(1, min(BATCH_ROWS, SCORE_CELLS // len(queries)))
     for whole in batches:
-        for start in range(0, whole.num_rows, BATCH_ROWS):
-            part = whole.slice(start, BATCH_ROWS)
+        for start in range(0, whole.num_rows, step):
+            part = whole.slice(start, step)
             docs = _matrix(part.column(vector), queries.shape[1])
             scores = score_matrix(docs, queries, metric)
             order = np.round(scores, SCORE_DIGITS)
@@ -151,8 +155,12 @@ def query_slices(
     if slices == 1:
         slices_of = [queries]
     else:
-        place = F.pmod(F.xxhash64(F.col(query)), F.lit(slices))
-        slices_of = [queries.filter(place == i) for i in range(slices)]
+        # Stored once: reading a slice must not embed all queries again.
+        spark, path = queries.sparkSession, scratch_dir(queries.sparkSession, "queries")
+        place = F.pmod(F.xxhash64(F.col(query)), F.lit(slices)).alias("slice")
+        queries.select(query, vector, place).write.partitionBy("slice").parquet(path)
+        stored = spark.read.parquet(path)
+        slices_of = [stored.filter(F.col("slice") == i) for i in range(slices)]
     for part in slices_of:
         fetched = part.select(query, vector).toArrow().combine_chunks()
         if fetched.num_rows:

@@ -58,15 +58,20 @@ class VectorTable:
 
     def ensure(self) -> None:
         """Create the empty table if it is absent."""
-        self._commit({"version": 0, "batches": [], "folders": {}, "dim": self.dim}, mode="ignore")
+        empty = {"version": 0, "batches": [], "folders": {}, "dim": self.dim}
+        self._commit(empty, mode="ignore")
+        if not self._listed():  # a first commit that died half-way
+            self._commit(empty)
+
+    def _listed(self) -> list[str]:
+        reader = self.spark.read.option("recursiveFileLookup", "true").format("text")
+        return sorted(reader.load(f"{self.path}/manifests").inputFiles())
 
     def _manifest(self) -> dict:
         self.ensure()
-        reader = self.spark.read.option("recursiveFileLookup", "true").format("text")
-        newest = max(reader.load(f"{self.path}/manifests").inputFiles())
-        return json.loads(self.spark.read.text(newest).first()["value"])
+        return json.loads(self.spark.read.text(self._listed()[-1]).first()["value"])
 
-    def _commit(self, manifest: dict, mode: str = "errorifexists") -> None:
+    def _commit(self, manifest: dict, mode: str = "overwrite") -> None:
         target = f"{self.path}/manifests/{manifest['version']:010d}"
         line = self.spark.createDataFrame([(json.dumps(manifest),)], "value string")
         line.coalesce(1).write.mode(mode).text(target)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def broadcast_if_small(
@@ -21,8 +21,7 @@ def broadcast_if_small(
     fetched = df.limit(max_rows + 1).toArrow()
     if fetched.num_rows > max_rows or fetched.nbytes > max_bytes:
         return df
-    local = df.sparkSession.createDataFrame(fetched.to_pylist(), df.schema)
-    return F.broadcast(local)
+    return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reviewmill.fixed import HEADER_SYNONYMS, STANDARD_COLUMNS
 from reviewmill.functions.numbers import coerce_numeric
@@ -192,7 +193,7 @@ def read_delimited(
         multi_line = needs_multiline(spark, paths)
     if multi_line == "stitch":
         return read_stitched(spark, paths, headers, delimiter)
-    schema = ", ".join(f"`{h}` string" for h in headers)
+    schema = StructType([StructField(h, StringType()) for h in headers])
     rows = (
         spark.read.schema(schema)
         .options(header=True, sep=delimiter, quote='"', escape='"', encoding="UTF-8")
@@ -257,13 +258,14 @@ def read_stitched(
         F.array_join(F.transform(parts, lambda part: part["_line"]), "\n").alias("_text"),
         F.max("_head").alias("_head"),
     )
-    schema = ", ".join(f"`{h}` string" for h in headers)
+    schema = ", ".join(f"c{i} string" for i in range(len(headers)))
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
     record = F.rtrim(F.col("_text"), F.lit("\r"))
     cells = records.filter(~F.col("_head") & (F.trim(record) != "")).select(
         F.from_csv(record, F.lit(schema), options).alias("_cells"), "_path", "_record"
     )
-    return cells.select("_cells.*", "_path", F.col("_record").alias("_position"))
+    placed = cells.select("_cells.*", "_path", F.col("_record").alias("_position"))
+    return placed.toDF(*headers, "_path", "_position")
 
 
 def _position() -> Column:
@@ -337,8 +339,9 @@ def _scan_layout(
 ) -> DataFrame:
     """Cells under normalized headers, with the source name and the ordinal."""
     paths = [p for s in group for p in s.parts]
-    headers = group[0].headers
-    rows = read_delimited(spark, paths, headers, group[0].delimiter, multi_line)
+    headers, written = group[0].headers, group[0].raw_headers
+    rows = read_delimited(spark, paths, written, group[0].delimiter, multi_line)
+    rows = rows.toDF(*headers, "_path", "_position")
     if len(paths) == 1:
         ranked = rows.withColumns(
             {

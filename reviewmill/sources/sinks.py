@@ -60,5 +60,9 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report as JSON lines, one per row. Reports are small: one file."""
-    df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A report as JSON lines, one per row.
+
+    No merge into one file: a report of distinct values may be long, and a merge would pull its
+    last aggregation into one task. Adaptive execution joins small parts by itself.
+    """
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
