@@ -27,15 +27,26 @@ def build_session(app: str = "reviewmill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ensure_scratch(spark: SparkSession) -> None:
+    """Give a local session a scratch folder if it names none; a cluster must name a shared one."""
+    if _shared(spark):
+        return
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reviewmill-"))
+
+
+def _shared(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Tables cut from a long lineage and staged text files go here. Only a local session may
-    fall back to a temporary folder of this machine.
+    Tables cut from a long lineage and staged text files go here. There is no other place for
+    them: without a shared folder this fails.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = _shared(spark)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="reviewmill-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex[:12]}")
