@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.session import scratch_dir
 
@@ -58,6 +59,36 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def add_columns(
+    df: DataFrame, column: str, added: str, make: Callable[[pa.Array], list[pa.Array]]
+) -> DataFrame:
+    """Add columns (DDL ``added``) that ``make`` gets from an Arrow array of one column.
+
+    All rows and other columns stay; columns of the input that bear a new name are replaced.
+    """
+    new = T.StructType.fromDDL(added)
+    taken = {x.lower() for x in new.names}
+    rest = df.select(*[x for x in df.columns if x == column or x.lower() not in taken])
+    kept = [x for x in rest.columns if x.lower() not in taken]
+    where = rest.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(rest_names.index(x)) for x in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, *make(batch.column(where))], names=[*kept, *new.names])
+
+    rest_names = rest.columns
+    return rest.mapInArrow(run, T.StructType([f for f in rest.schema if f.name in kept] + list(new)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- hashing words -----------------------------------------------------------
 
 _U = np.uint64
@@ -265,7 +296,7 @@ def binaries(parts: list[bytes]) -> pa.Array:
 
 
 def send(
-    chunks: DataFrame, pack: Callable[[pa.RecordBatch, int], list[tuple[int, bytes, bytes]]], schema_key: str = "bucket"
+    chunks: DataFrame, pack: Callable[[pa.RecordBatch, int], list[tuple[int, bytes, bytes]]]
 ) -> DataFrame:
     """One row (bucket, chunk, keys, extra) per bucket of every chunk; ``pack`` makes them."""
 
@@ -285,7 +316,7 @@ def send(
                         names=["bucket", "chunk", "keys", "extra"],
                     )
 
-    return chunks.mapInArrow(run, f"{schema_key} int, chunk bigint, keys binary, extra binary")
+    return chunks.mapInArrow(run, "bucket int, chunk bigint, keys binary, extra binary")
 
 
 def answer(

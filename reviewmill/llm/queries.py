@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import common, lm, substring
+from reviewmill.llm import (
+    ann, bpe, common, decontaminate, lm, near_dup, pii, sharding, substring, token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +47,94 @@ def crc_sql(text: str) -> str:
         lambda acc, step: xor(acc >> 1, (acc & 1) * 3988292384))), 4294967295)"""
 
 
+# --- 1: toxicity ------------------------------------------------------------
+
+TOXIC = 0.3
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    trained = common.crc_mod(F.col("doc_id"), 4) != 2
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), trained)
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.add_score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", (common.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
+# --- 2: near-duplicates ------------------------------------------------------
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM m LEFT JOIN n USING (doc_id)""")
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- 3: BPE ------------------------------------------------------------------
+
+
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """Documents with ``ids`` and ``decoded``."""
+    return bpe.decode(bpe.encode(docs, byte_bpe()), byte_bpe())
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *bpe_digests())
+
+
+def bpe_digests() -> list:
+    return [
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
+
+
+# --- 4: sharding -------------------------------------------------------------
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# --- 5: token counts ---------------------------------------------------------
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 # --- 6: substring dedup ------------------------------------------------------
 
 
@@ -92,3 +183,54 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"),
     )
+
+
+# --- 8: personal data --------------------------------------------------------
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.mask_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return masked.select("doc_id", "n_values", "text")
+
+
+# --- 9: benchmark decontamination --------------------------------------------
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '{_PLAIN}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({FOLDED}, '{_PLAIN}') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(13, len(w)) AS size,
+  unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda j: array_to_string(w[j:j + 12], ' '))) AS passage
+  FROM i WHERE len(w) > 0),
+z AS (SELECT DISTINCT size FROM p),
+t AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d CROSS JOIN z WHERE len(w) >= size),
+h AS (SELECT t.doc_id, t.pos, t.size, p.item_id FROM
+  (SELECT doc_id, pos, size, array_to_string(w[pos:pos + size - 1], ' ') AS passage FROM t) t
+  JOIN p ON t.size = p.size AND t.passage = p.passage),
+c AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM
+  (SELECT doc_id, unnest(range(pos, pos + size)) AS spot FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM
+  (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+# --- 10: nearest neighbours --------------------------------------------------
+
+
+@query()
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
