@@ -273,13 +273,16 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     def run(column: pa.Array) -> list[pa.Array]:
         table = merges.load(tokenizer).bytes_of
         cells = [table.get(i, b"") for i in range(max(table) + 2)]  # the last is for unknown ids
-        ids = column.flatten().to_numpy()
-        ids = np.where((ids >= 0) & (ids < len(cells)), ids, len(cells) - 1).tolist()
-        sizes = column.value_lengths().fill_null(0).to_numpy()
-        texts = [
-            b"".join(map(cells.__getitem__, ids[end - n : end])).decode("utf-8", "replace")
-            for n, end in zip(sizes, np.cumsum(sizes))
-        ]
+        texts = []
+        for begin in range(0, len(column), 256):
+            part = column.slice(begin, 256)
+            ids = part.flatten().to_numpy()
+            ids = np.where((ids >= 0) & (ids < len(cells)), ids, len(cells) - 1).tolist()
+            sizes = part.value_lengths().fill_null(0).to_numpy()
+            texts += [
+                b"".join(map(cells.__getitem__, ids[end - n : end])).decode("utf-8", "replace")
+                for n, end in zip(sizes, np.cumsum(sizes))
+            ]
         return [pa.array(texts, pa.string())]
 
     return c.add_columns(df, ids_col, f"{text_col} string", run)

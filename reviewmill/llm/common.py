@@ -180,23 +180,15 @@ class Texts:
     """The words of many texts: hashes in one array and where each text's words begin."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, seps: np.ndarray = SPACE):
-        data = texts.fill_null("") if texts.null_count else texts
-        raw = data.cast(pa.large_binary())
-        raw = pa.concat_arrays([raw]) if raw.offset else raw
-        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        body = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-        sizes = np.diff(offsets)
-        # one separator between texts keeps the last word of one from the first of the next
-        self.starts_byte = offsets[:-1] - offsets[0] + np.arange(len(raw))
-        self.buf = np.full(int(sizes.sum()) + len(raw), 32, np.uint8)
-        at = np.repeat(np.arange(len(raw)), sizes)
-        if len(at):
-            self.buf[np.arange(len(at)) + at] = body[offsets[0] : offsets[-1]]
-        self.sizes = sizes
+        values = [v or b"" for v in texts.cast(pa.large_binary()).to_pylist()]
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        # one separator after each text keeps its last word from the next one's first
+        self.buf = np.frombuffer(b" ".join(values) + b" " * bool(values), np.uint8)
+        self.starts_byte = np.cumsum(sizes + 1) - sizes - 1
         self.starts, self.words = word_hashes(self.buf, lower, seps)
         self.first = np.searchsorted(self.starts, np.append(self.starts_byte, len(self.buf)))
         self.counts = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(raw)), self.counts)
+        self.doc = np.repeat(np.arange(len(values)), self.counts)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first word, hash) of each window that lies inside one text."""
@@ -206,6 +198,16 @@ class Texts:
         return at, h[at]
 
 
+def text_parts(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+    """Slices of neighbouring texts of about so many bytes; a longer text is one by itself."""
+    ends = _offsets(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, int(ends[first]) + size, "right")) - 1)
+        yield texts.slice(first, last - first)
+        first = last
+
+
 # --- chunks and packed exchanges ---------------------------------------------
 
 

@@ -65,7 +65,7 @@ def _class_key(shingles: np.ndarray) -> bytes | None:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = shingle_sets(batch.column(1))
+        sets = [s for part in c.text_parts(batch.column(1)) for s in shingle_sets(part)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
              c.binaries([_class_key(s) for s in sets]),
@@ -75,7 +75,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = shingle_sets(batch.column(1))
+        sets = [s for part in c.text_parts(batch.column(1)) for s in shingle_sets(part)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), c.binaries([_class_key(s) for s in sets]), c.binaries([s.tobytes() for s in sets])],
             names=["cls", "found", "shingles"])
