@@ -12,6 +12,7 @@ from __future__ import annotations
 import io
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +164,7 @@ def corpus_words(df: DataFrame, text_col: str, limit: int, share: float) -> list
                 words = (text.as_py() or "").split()
                 counts.update(words)
                 total += len(words)
-                if len(counts) > 1_000_000:  # what is held counts as a partition
+                if len(counts) > 200_000:  # what is held counts as a partition
                     yield report(counts, total)
                     counts, total = Counter(), 0
         yield report(counts, total)
@@ -255,15 +256,20 @@ def encode(
     lexicon = c.ship(df.sparkSession, "lexicon", build_lexicon(merges.load(tokenizer), words).dump())
 
     def run(column: pa.Array) -> list[pa.Array]:
-        encoder = _encoder(tokenizer, lexicon)
-        found = [encoder.encode(texts) for texts in merges.slices(column)]
-        ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in found)])
-        ends = np.cumsum(np.concatenate([[0], *(n for _, n in found)]))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+        ids, sizes = _encoder(tokenizer, lexicon).encode([t.as_py() or "" for t in column])
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))]
 
     return c.add_columns(df, text_col, f"{ids_col} array<int>", run)
 
 
+@lru_cache(maxsize=4)
+def _cells(path: str) -> list[bytes]:
+    """The bytes of every id; the last entry is for unknown ids."""
+    table = merges.load(path).bytes_of
+    return [table.get(i, b"") for i in range(max(table) + 2)]
+
+
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of each id array; null ids give an empty text, unknown ids nothing.
 
@@ -271,18 +277,14 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     """
 
     def run(column: pa.Array) -> list[pa.Array]:
-        table = merges.load(tokenizer).bytes_of
-        cells = [table.get(i, b"") for i in range(max(table) + 2)]  # the last is for unknown ids
-        texts = []
-        for begin in range(0, len(column), 256):
-            part = column.slice(begin, 256)
-            ids = part.flatten().to_numpy()
-            ids = np.where((ids >= 0) & (ids < len(cells)), ids, len(cells) - 1).tolist()
-            sizes = part.value_lengths().fill_null(0).to_numpy()
-            texts += [
-                b"".join(map(cells.__getitem__, ids[end - n : end])).decode("utf-8", "replace")
-                for n, end in zip(sizes, np.cumsum(sizes))
-            ]
+        cells = _cells(tokenizer)
+        ids = column.flatten().to_numpy()
+        ids = np.where((ids >= 0) & (ids < len(cells)), ids, len(cells) - 1).tolist()
+        sizes = column.value_lengths().fill_null(0).to_numpy()
+        texts = [
+            b"".join(map(cells.__getitem__, ids[end - n : end])).decode("utf-8", "replace")
+            for n, end in zip(sizes, np.cumsum(sizes))
+        ]
         return [pa.array(texts, pa.string())]
 
     return c.add_columns(df, ids_col, f"{text_col} string", run)

@@ -60,11 +60,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def add_columns(
-    df: DataFrame, column: str, added: str, make: Callable[[pa.Array], list[pa.Array]]
+    df: DataFrame, column: str, added: str, make: Callable[[pa.Array], list[pa.Array]],
+    size: int = 2 << 20,
 ) -> DataFrame:
     """Add columns (DDL ``added``) that ``make`` gets from an Arrow array of one column.
 
     All rows and other columns stay; columns of the input that bear a new name are replaced.
+    ``make`` sees texts of about ``size`` bytes at a time (or 256 rows of another type).
     """
     new = T.StructType.fromDDL(added)
     taken = {x.lower() for x in new.names}
@@ -74,10 +76,13 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [batch.column(rest_names.index(x)) for x in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, *make(batch.column(where))], names=[*kept, *new.names])
+            first = 0
+            for part in text_parts(batch.column(where), size):
+                arrays = [batch.column(i).slice(first, len(part)) for i in places]
+                yield pa.RecordBatch.from_arrays([*arrays, *make(part)], names=[*kept, *new.names])
+                first += len(part)
 
-    rest_names = rest.columns
+    places = [rest.columns.index(x) for x in kept]
     return rest.mapInArrow(run, T.StructType([f for f in rest.schema if f.name in kept] + list(new)))
 
 
@@ -199,7 +204,13 @@ class Texts:
 
 
 def text_parts(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
-    """Slices of neighbouring texts of about so many bytes; a longer text is one by itself."""
+    """Slices of neighbouring texts of about so many bytes; a longer text is one by itself.
+
+    Arrays of another type are cut by rows.
+    """
+    if not pa.types.is_string(texts.type) and not pa.types.is_large_string(texts.type):
+        yield from (texts.slice(i, 256) for i in range(0, len(texts), 256))
+        return
     ends = _offsets(texts)
     first = 0
     while first < len(texts):

@@ -131,7 +131,7 @@ def find_passages(
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     item_list = pa.list_(pa.string() if text_items else pa.int64())
 
-    def part(column: pa.Array) -> list[pa.Array]:
+    def search(column: pa.Array) -> list[pa.Array]:
         texts = [words_of(t.as_py()) for t in column]
         marks: dict[int, tuple[bytearray, set]] = {}
         for name in names:
@@ -151,19 +151,14 @@ def find_passages(
             pa.array(spans, span), pa.array(found, item_list),
         ]
 
-    # one block of the benchmark is searched at a time, so with several the parts are larger
-    size = (2 << 20) if len(names) < 2 else (16 << 20)
-
-    def search(column: pa.Array) -> list[pa.Array]:
-        done = [part(x) for x in c.text_parts(column, size)] or [part(column)]
-        return [pa.concat_arrays(arrays) for arrays in zip(*done)]
-
     items = "string" if text_items else "bigint"
     return c.add_columns(
         df, text_col,
         f"{prefix}n_words bigint, {prefix}n_hit bigint, {prefix}spans array<struct<first:int,last:int>>, "
         f"{prefix}items array<{items}>",
         search,
+        # a block of the benchmark is loaded for each part, so with several the parts are larger
+        size=(2 << 20) if len(names) < 2 else (16 << 20),
     )
 
 

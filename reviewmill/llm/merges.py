@@ -8,11 +8,9 @@ no pair of any word has a rank. A word is therefore merged exactly as one pair a
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 
 _NONE = np.int64(1) << 62
@@ -167,16 +165,3 @@ def special_pattern(specials: tuple[str, ...]):
     """Splits a text at its special tokens and keeps them; None if there are none."""
     found = "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))
     return regex.compile(f"({found})") if specials else None
-
-
-def slices(texts: pa.Array, chars: int = 2 << 20) -> Iterator[list[str]]:
-    """Neighbouring texts of about so many characters at a time; null is empty."""
-    size, held = 0, []
-    for text in texts:
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= chars:
-            yield held
-            size, held = 0, []
-    if held:
-        yield held

@@ -73,10 +73,8 @@ def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
 
     def run(column: pa.Array) -> list[pa.Array]:
         counter = _COUNTERS.get(tokenizer) or _COUNTERS.setdefault(tokenizer, Counter(tokenizer))
-        counts, sizes = [], []
-        for texts in merges.slices(column):
-            counts += counter.count(texts)
-            sizes += [len(t.encode()) for t in texts]
-        return [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
+        texts = [t.as_py() or "" for t in column]
+        sizes = [len(t.encode()) for t in texts]
+        return [pa.array(sizes, pa.int64()), pa.array(counter.count(texts), pa.int64())]
 
     return c.add_columns(df, text_col, "n_bytes bigint, n_tokens bigint", run)

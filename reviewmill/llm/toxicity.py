@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm import common as c
-from reviewmill.llm.merges import slices
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -107,7 +106,8 @@ def fit(
             label = batch.column(0).to_numpy()
             texts += np.bincount(label, minlength=2)
             at = 0
-            for part in slices(batch.column(1)):
+            for column in c.text_parts(batch.column(1)):
+                part = [t.as_py() or "" for t in column]
                 text, feature = grams(part)
                 of = label[at : at + len(part)][text]
                 for k in (0, 1):
@@ -132,7 +132,8 @@ def fit(
             wanted = np.unpackbits(np.frombuffer(f.read(), np.uint8)).astype(bool)
         for batch in batches:
             sets = []
-            for part in slices(batch.column(1)):
+            for column in c.text_parts(batch.column(1)):
+                part = [t.as_py() or "" for t in column]
                 text, feature = grams(part, wanted)
                 bounds = np.searchsorted(text, np.arange(len(part) + 1))
                 sets += [feature[s:e].astype(np.int32).tobytes() for s, e in zip(bounds, bounds[1:])]
@@ -180,7 +181,6 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: st
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = Model.read(c.shipped(name))
-        scores = [_MODELS[name].score(part) for part in slices(column)]
-        return [pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())]
+        return [pa.array(_MODELS[name].score([t.as_py() or "" for t in column]), pa.float64())]
 
     return c.add_columns(df, text_col, f"{score_col} double", run)
