@@ -24,10 +24,9 @@ from reviewmill.llm import common as c
 from reviewmill.llm import merges
 from reviewmill.llm.merges import Lookup, Merges, ragged
 
-#: The most frequent corpus words that go into the lexicon, and the share of a partition's words
-#: from which a word is reported. They bound the lexicon, not the result.
-CORPUS_WORDS = 50_000
-REPORTED_SHARE = 1 / 50_000
+#: Words that make up this share of the corpus go into the lexicon, so at most 50,000 do. This
+#: bounds the lexicon, not the result.
+FREQUENT_SHARE = 1 / 50_000
 #: The tokenizer's own word pattern (a fixed value): contractions; letters, numerals or other
 #: characters with at most one space before; white space.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -142,11 +141,12 @@ class Transducer:
 # --- the lexicon -------------------------------------------------------------
 
 
-def corpus_words(df: DataFrame, text_col: str, limit: int, share: float) -> list[str]:
-    """The most frequent blank-separated words of all texts.
+def corpus_words(df: DataFrame, text_col: str, share: float) -> list[str]:
+    """The blank-separated words that make up at least ``share`` of the words of all texts.
 
-    A partition reports the words that make up at least ``share`` of its words, which any word of
-    that share of the corpus does in some partition.
+    A partition reports the words that have this share of its own words, and how many words it has.
+    Any word with the share in the corpus has it in some partition; partitions where it is rarer
+    are not counted, so a word just at the limit may be missed, which costs time only.
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,8 @@ def corpus_words(df: DataFrame, text_col: str, limit: int, share: float) -> list
         def report(counts, total):
             found = [(w, n) for w, n in counts.items() if n >= max(2, share * total)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                [pa.array([None, *(w for w, _ in found)], pa.string()),
+                 pa.array([total, *(n for _, n in found)], pa.int64())],
                 names=["word", "n"])
 
         for batch in batches:
@@ -170,8 +171,10 @@ def corpus_words(df: DataFrame, text_col: str, limit: int, share: float) -> list
         yield report(counts, total)
 
     found = df.select(text_col).mapInArrow(tally, "word string, n bigint")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r["word"] for r in top.collect()]
+    counts = c.stored(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    # at most 1 / share rows
+    return [r["word"] for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= share * total)).collect()]
 
 
 def build_lexicon(tokenizer: Merges, words: list[str]) -> Transducer:
@@ -244,7 +247,7 @@ def _encoder(path: str, lexicon: str) -> Encoder:
 
 def encode(
     df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids",
-    corpus_limit: int = CORPUS_WORDS, share: float = REPORTED_SHARE,
+    share: float = FREQUENT_SHARE,
 ) -> DataFrame:
     """Add the token ids of each whole text, as an array column.
 
@@ -252,7 +255,7 @@ def encode(
     empty and has no ids. Special tokens are not added; their strings in a text are their ids.
     All rows and other columns stay; a column named ``ids_col`` is replaced.
     """
-    words = corpus_words(df, text_col, corpus_limit, share)
+    words = corpus_words(df, text_col, share)
     lexicon = c.ship(df.sparkSession, "lexicon", build_lexicon(merges.load(tokenizer), words).dump())
 
     def run(column: pa.Array) -> list[pa.Array]:
