@@ -61,7 +61,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def add_columns(
     df: DataFrame, column: str, added: str, make: Callable[[pa.Array], list[pa.Array]],
-    size: int = 2 << 20,
+    size: int = 1 << 20,
 ) -> DataFrame:
     """Add columns (DDL ``added``) that ``make`` gets from an Arrow array of one column.
 
@@ -81,6 +81,7 @@ def add_columns(
                 arrays = [batch.column(i).slice(first, len(part)) for i in places]
                 yield pa.RecordBatch.from_arrays([*arrays, *make(part)], names=[*kept, *new.names])
                 first += len(part)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     places = [rest.columns.index(x) for x in kept]
     return rest.mapInArrow(run, T.StructType([f for f in rest.schema if f.name in kept] + list(new)))
@@ -203,7 +204,7 @@ class Texts:
         return at, h[at]
 
 
-def text_parts(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+def text_parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
     """Slices of neighbouring texts of about so many bytes; a longer text is one by itself.
 
     Arrays of another type are cut by rows.

@@ -158,7 +158,7 @@ def find_passages(
         f"{prefix}items array<{items}>",
         search,
         # a block of the benchmark is loaded for each part, so with several the parts are larger
-        size=(2 << 20) if len(names) < 2 else (16 << 20),
+        size=(1 << 20) if len(names) < 2 else (16 << 20),
     )
 
 

@@ -27,6 +27,8 @@ LEAST_TEXTS, LEAST_RATIO = 3, 0.7
 #: Prior texts per n-gram, shared out by class size; ridge penalty (over the number of texts);
 #: steps and rate of the optimizer.
 SMOOTHING, RIDGE, STEPS, RATE = 5.0, 1.0, 200, 0.05
+#: Bytes of text whose n-grams are in memory at once.
+PART = 1 << 18
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -106,7 +108,7 @@ def fit(
             label = batch.column(0).to_numpy()
             texts += np.bincount(label, minlength=2)
             at = 0
-            for column in c.text_parts(batch.column(1)):
+            for column in c.text_parts(batch.column(1), PART):
                 part = [t.as_py() or "" for t in column]
                 text, feature = grams(part)
                 of = label[at : at + len(part)][text]
@@ -132,7 +134,7 @@ def fit(
             wanted = np.unpackbits(np.frombuffer(f.read(), np.uint8)).astype(bool)
         for batch in batches:
             sets = []
-            for column in c.text_parts(batch.column(1)):
+            for column in c.text_parts(batch.column(1), PART):
                 part = [t.as_py() or "" for t in column]
                 text, feature = grams(part, wanted)
                 bounds = np.searchsorted(text, np.arange(len(part) + 1))
@@ -183,4 +185,4 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: st
             _MODELS[name] = Model.read(c.shipped(name))
         return [pa.array(_MODELS[name].score([t.as_py() or "" for t in column]), pa.float64())]
 
-    return c.add_columns(df, text_col, f"{score_col} double", run)
+    return c.add_columns(df, text_col, f"{score_col} double", run, PART)
