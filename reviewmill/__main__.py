@@ -20,7 +20,7 @@ def main() -> None:
     rows = commands.add_parser("rows", help="processed reviews to the keyed vector table")
     rows.add_argument("processed")
     rows.add_argument("table")
-    rows.add_argument("--batch-id", required=True)
+    rows.add_argument("--version", type=int, required=True, help="larger versions win")
     chunks = commands.add_parser("chunks", help="processed reviews to chunk vectors")
     chunks.add_argument("processed")
     chunks.add_argument("out")
@@ -31,7 +31,7 @@ def main() -> None:
         jobs.run_etl(spark, args.raw, args.out, args.metadata, args.run_id, args.at)
     elif args.command == "rows":
         processed = spark.read.parquet(args.processed)
-        print(jobs.run_row_index(spark, processed, args.table, args.batch_id))
+        print(jobs.run_row_index(spark, processed, args.table, args.version))
     else:
         print(jobs.run_chunk_index(spark.read.parquet(args.processed), args.out))
 

@@ -67,11 +67,15 @@ def scanned(spark, sf, multi_line="auto"):
 def stage_one(spark, df, name: str, **options) -> str:
     """One delimited source folder, e.g. ``.../reviews.csv``."""
     path = os.path.join(scratch_dir(spark, "one"), name)
-    df.write.options(
+    write_one(df, path, **options)
+    return path
+
+
+def write_one(df, path: str, mode: str = "error", **options) -> None:
+    df.write.mode(mode).options(
         **{"header": True, "quote": '"', "escape": '"', "emptyValue": "",
            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **options}
     ).csv(path)
-    return path
 
 
 _CELLS = ["review_id", "review_text", "gender", "location"]

@@ -277,15 +277,17 @@ def recall(spark, sf):
 
 # --- the vector table --------------------------------------------------------
 
-_KEYED = f"""keyed AS (SELECT review_id, ord, location, review_text AS text FROM typed WHERE review_text IS NOT NULL),
+# Ids that are no numbers, missing ones, and every tenth repeated.
+_ID = "CASE WHEN ord % 17 = 0 THEN NULL WHEN ord % 4 = 0 THEN 'R-' || review_id ELSE review_id END"
+_KEYED = f"""keyed AS (SELECT {_ID} AS review_id, ord, location, review_text AS text FROM typed WHERE review_text IS NOT NULL),
   newest AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY review_id, location = 'en' ORDER BY ord DESC) = 1),
   stored AS (SELECT * FROM newest n WHERE location = 'en'
-    OR NOT EXISTS (SELECT 1 FROM newest m WHERE m.review_id = n.review_id AND m.location = 'en'))"""
+    OR NOT EXISTS (SELECT 1 FROM newest m WHERE m.review_id IS NOT DISTINCT FROM n.review_id AND m.location = 'en'))"""
 
 
 def _batches(spark, sf):
     docs = typed(spark, sf).filter(F.col("review_text").isNotNull()).select(
-        "review_id", "ord", "location", F.col("review_text").alias("text")
+        F.expr(_ID).alias("review_id"), "ord", "location", F.col("review_text").alias("text")
     )
     return docs.filter("location <> 'en'"), docs.filter("location = 'en'")
 
@@ -298,17 +300,17 @@ def merge(spark, sf):
 
 
 def _upserted(spark, sf) -> VectorTable:
-    store = VectorTable(spark, scratch_dir(spark, "vectors"), buckets=8, dim=DIM)
-    for name, batch in zip(("others", "english"), _batches(spark, sf)):
+    store = VectorTable(spark, scratch_dir(spark, "vectors"), dim=DIM)
+    for version, batch in enumerate(_batches(spark, sf)):
         docs = batch.withColumns({"restaurant_name": F.lit(None).cast("string"), "rating": F.lit(0).cast("float")})
-        store.upsert(docs, name, seq="ord", embedder=EMBEDDER)
-        store.upsert(docs, name, seq="ord", embedder=EMBEDDER)
+        store.upsert(docs, version, seq="ord", embedder=EMBEDDER)
+        store.upsert(docs, version, seq="ord", embedder=EMBEDDER)
     return store
 
 
 @query("vector_upsert", from_typed(f"SELECT review_id, location, text, {DIM} AS dim FROM stored", _KEYED))
 def vector_upsert(spark, sf):
-    """Two batches, each applied twice; the second application is skipped."""
+    """Two batches, each applied twice; a batch applied again replaces itself."""
     rows = _upserted(spark, sf).read()
     return rows.select("review_id", "location", "text", F.size("vector").alias("dim"))
 
@@ -351,11 +353,11 @@ ANSWERS = """
   FROM {conversations} a JOIN {conversations} q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
   WHERE a.role = 'assistant' AND q.role = 'user'
 """
-# Longer questions have gold keywords: their own leading words.
+# The gold keywords of a question are its own words.
 GOLD_SQL = """
   SELECT text AS question, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g'), ' '),
-    lambda w: length(w) >= 2)[1:8] AS keywords
-  FROM (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND length(text) > 60)
+    lambda w: length(w) >= 2) AS keywords
+  FROM (SELECT DISTINCT text FROM conversations WHERE role = 'user')
 """
 _ANSWERED = [
     "answers AS (" + fixture.plain(ANSWERS) + ")",
@@ -372,10 +374,10 @@ def _answers(spark, sf):
 
 
 def _gold(spark, sf):
-    asked = table(spark, sf, "conversations").filter("role = 'user' AND length(text) > 60")
+    asked = table(spark, sf, "conversations").filter("role = 'user'")
     words = F.split(F.regexp_replace("text", "[^a-zA-Z ]+", " "), " ")
-    leading = F.slice(F.filter(words, lambda w: F.length(w) >= 2), 1, 8)
-    return asked.select("text").distinct().select(F.col("text").alias("question"), leading.alias("keywords"))
+    long = F.filter(words, lambda w: F.length(w) >= 2)
+    return asked.select("text").distinct().select(F.col("text").alias("question"), long.alias("keywords"))
 
 
 @query("gold_table", "SELECT question, array_to_string(keywords, ' ') AS keywords FROM (" + GOLD_SQL + ")")
@@ -500,7 +502,7 @@ def answer_log(spark, sf):
 
 @query(
     "answer_assembly",
-    f"""SELECT conv_id, 0::BIGINT AS part, trim(regexp_replace(string_agg(text, '' ORDER BY turn),
+    f"""SELECT conv_id, trim(regexp_replace(string_agg(text, '' ORDER BY turn),
       '^{SPACE_CLASS}+|{SPACE_CLASS}+$', '', 'g')) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1""",
 )
 def answer_assembly(spark, sf):

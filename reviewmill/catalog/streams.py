@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from reviewmill.catalog.files import stage_one
+from reviewmill.catalog.files import stage_one, write_one
 from reviewmill.catalog.registry import day, from_raw, from_typed, query, r6, raw
-from reviewmill.catalog.search import DIM, EMBEDDER
+from reviewmill.catalog.search import _ID, DIM, EMBEDDER
 from reviewmill.operators.vector_table import VectorTable
 from reviewmill.session import scratch_dir
 from reviewmill.streaming import intake
@@ -76,14 +76,20 @@ def stream_scale(spark, sf):
 
 @query(
     "stream_upsert",
-    from_typed(f"""SELECT review_id, coalesce(location, '') AS location, review_text AS text, {DIM} AS dim
-      FROM (SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ord DESC) = 1)
-      WHERE review_text IS NOT NULL"""),
+    from_typed(f"""SELECT coalesce(id, '') AS review_id, coalesce(location, '') AS location, review_text AS text, {DIM} AS dim
+      FROM (SELECT *, {_ID} AS id FROM typed) WHERE review_text IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord % 4 DESC, ord DESC) = 1"""),
 )
 def stream_upsert(spark, sf):
-    """All parts in one micro-batch, so that the last row per id is known by its place."""
-    table = VectorTable(spark, scratch_dir(spark, "vectors"), buckets=4, dim=DIM)
-    arriving = stream(spark, sf, per_batch=1000)
+    """Four files in four micro-batches. Ids come again in later files, some without a text."""
+    folder = os.path.join(scratch_dir(spark, "parts"), SOURCE)
+    rows = raw(spark, sf).withColumn("review_id", F.expr(_ID))
+    for i in range(4):
+        part = rows.filter(F.col("ord") % 4 == i).repartition(1).sortWithinPartitions("ord")
+        named = part.select(*[F.col(c).cast("string").alias(h) for c, h in zip(COLUMNS, HEADERS)])
+        write_one(named, folder, mode="append")
+    table = VectorTable(spark, scratch_dir(spark, "vectors"), dim=DIM)
+    arriving = intake.read_reviews(spark, folder, HEADERS, files_per_batch=1, source=SOURCE)
     intake.stream_upsert(arriving, table, EMBEDDER, scratch_dir(spark, "upsert-log"))
     return table.read().select("review_id", "location", "text", F.size("vector").alias("dim"))
 

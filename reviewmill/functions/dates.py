@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CLOCK = r"(?:[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?"
+_CLOCK = r"(?:[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)Z?)?"
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # layout name -> (pattern, year group, month group, day group, clock group)
@@ -22,6 +22,9 @@ LAYOUTS = {
     "MM/dd/yyyy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$", 3, 1, 2, 4),
     "MM-dd-yyyy": (r"^(\d{1,2})-(\d{1,2})-(\d{4})" + _CLOCK + "$", 3, 1, 2, 4),
     "dd/MM/yyyy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$", 3, 2, 1, 4),
+    "yyyy.MM.dd": (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})" + _CLOCK + "$", 1, 2, 3, 4),
+    "yyyyMMdd": (r"^(\d{4})(\d{2})(\d{2})" + _CLOCK + "$", 1, 2, 3, 4),
+    "d MMM yyyy": (r"^(\d{1,2}) ([A-Za-z]{3})[a-z]*\.? (\d{4})" + _CLOCK + "$", 3, 2, 1, 4),
     "MMM d, yyyy": (r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})" + _CLOCK + "$", 3, 1, 2, 4),
 }
 DEFAULT_LAYOUTS = list(LAYOUTS)
@@ -32,7 +35,7 @@ def parse_layout(c: Column, layout: str) -> Column:
     pattern, year, month, day, clock = LAYOUTS[layout]
     text = F.trim(c)
     month_text = F.regexp_extract(text, pattern, month)
-    if layout.startswith("MMM"):
+    if "MMM" in layout:
         found = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(month_text))
         month_text = found.cast("string")
     clock_text = F.regexp_extract(text, pattern, clock)

@@ -26,23 +26,32 @@ from reviewmill.operators.search import (
     topk_per_query,
 )
 
-# Rows that train the centres. The index itself holds every row.
-TRAINING_ROWS = 200_000
+
+def _space(rows: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as centres see them: of unit length for cosine and dot, as they are for l2."""
+    return rows if metric == "l2" else _unit(rows)
 
 
 def train_centres(
-    docs: DataFrame, lists: int, vector: str = "embedding", seed: int = 42, iterations: int = 10
+    docs: DataFrame, lists: int, vector: str = "embedding", seed: int = 42, iterations: int = 10,
+    metric: str = "cosine",
 ) -> np.ndarray:
-    """Centres of the lists, from a bounded sample of unit vectors."""
-    n = docs.count()
-    sample = docs if n <= TRAINING_ROWS else docs.sample(TRAINING_ROWS / n, seed)
-    features = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(features)
+    """Centres of the lists by distributed k-means over all vectors, in the metric's space.
+
+    Dot products take the lists of the cosine: vectors of any length in the query's direction.
+    """
+    rows = docs.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    if metric != "l2":
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+        rows = rows.select(size.alias("size"), "v").select(
+            F.when(F.col("size") > 0, F.transform("v", lambda x: x / F.col("size"))).otherwise(F.col("v")).alias("v")
+        )
+    model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(rows.select(array_to_vector("v").alias("features")))
     return np.array(model.clusterCenters())
 
 
 def assign_lists(
-    docs: DataFrame, centres: np.ndarray, vector: str = "embedding"
+    docs: DataFrame, centres: np.ndarray, vector: str = "embedding", metric: str = "cosine"
 ) -> DataFrame:
     """Append ``list_id``, the nearest centre. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(centres)
@@ -51,7 +60,7 @@ def assign_lists(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle = shared.value
         for part in batches:
-            rows = _matrix(part.column(vector), middle.shape[1])
+            rows = _space(_matrix(part.column(vector), middle.shape[1]), metric)
             gaps = (middle**2).sum(1)[None, :] - 2 * rows @ middle.T
             nearest = pa.array(gaps.argmin(1).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -88,7 +97,7 @@ def knn_approx(
     lean = indexed.select(key, vector, "list_id")
     parts = []
     for ids, matrix in query_slices(queries, query, query_vector):
-        gaps = (centres**2).sum(1)[None, :] - 2 * _unit(matrix) @ centres.T
+        gaps = (centres**2).sum(1)[None, :] - 2 * _space(matrix, metric) @ centres.T
         near = np.argpartition(gaps, nprobe - 1, axis=1)[:, :nprobe]
         probes = np.zeros((len(ids), len(centres)), dtype=bool)
         np.put_along_axis(probes, near, True, axis=1)

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -83,6 +84,17 @@ def _best(hits: pa.Table, k: int, key: str) -> pa.Table:
     return hits.filter(pa.array(np.arange(len(query)) - begin < k))
 
 
+def _first_k(order: np.ndarray, floor: np.ndarray, key: pa.Array, k: int):
+    """(row, query) of at most k rows per query at or above its floor; of equals the smaller keys."""
+    place = np.empty(len(key), np.int64)
+    place[pc.sort_indices(key).to_numpy()] = np.arange(len(key))
+    rows, cols = np.nonzero((order >= floor) & (order > -np.inf))
+    best = np.lexsort((place[rows], -order[rows, cols], cols))
+    rows, cols = rows[best], cols[best]
+    nth = np.arange(len(cols)) - np.searchsorted(cols, cols)
+    return rows[nth < k], cols[nth < k]
+
+
 def _local_topk(
     batches: Iterator[pa.RecordBatch],
     queries: np.ndarray,
@@ -111,7 +123,7 @@ def _local_topk(
             floor = bar
             if len(docs) > k:
                 floor = np.maximum(bar, np.partition(order, -k, axis=0)[-k])
-            rows, cols = np.nonzero((order >= floor) & (order > -np.inf))
+            rows, cols = _first_k(order, floor, part.column(key), k)
             if not len(rows):
                 continue
             payload = pa.Table.from_batches([part.drop_columns([vector])]).take(rows)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.fixed import VECTOR_DIM
@@ -22,13 +20,19 @@ CHUNK_SCHEMA = (
 
 
 def latest_per_key(batch: DataFrame, key: str = "review_id", seq: str = "seq") -> DataFrame:
-    """The row with the largest ``seq`` per key.
+    """The row with the largest ``seq`` per key, ties by the other columns.
 
-    The maximum folds map-side; the rows join on (key, seq), which spreads a hot key. ``seq``
-    is unique per key.
+    One row per key leaves each map task, so a hot key is cheap. Rows without a key are one key;
+    a row without ``seq`` is an error.
     """
-    last = batch.groupBy(key).agg(F.max(seq).alias(seq))
-    return batch.join(last, [key, seq], "left_semi")
+    order = F.coalesce(F.col(seq), F.raise_error(F.lit(f"a row has no {seq}")).cast(batch.schema[seq].dataType))
+    rest = [c for c in batch.columns if c not in (key, seq)]
+    best = batch.groupBy(key).agg(F.max(F.struct(order.alias(seq), *rest)).alias("_last"))
+    return best.select(*[F.col(c) if c == key else F.col(f"_last.{c}").alias(c) for c in batch.columns])
+
+
+def _same(left: DataFrame, right: DataFrame, key: str) -> Column:
+    return left[key].eqNullSafe(right[f"_{key}"])
 
 
 def merge_latest(
@@ -36,99 +40,74 @@ def merge_latest(
 ) -> DataFrame:
     """Existing rows whose key is not in the batch, and the batch's last row per key."""
     fresh = latest_per_key(batch, key, seq)
-    kept = existing.join(fresh.select(key), key, "left_anti")
+    keys = fresh.select(F.col(key).alias(f"_{key}"))
+    kept = existing.join(keys, _same(existing, keys, key), "left_anti")
     return kept.unionByName(fresh.drop(seq), allowMissingColumns=True)
 
 
 class VectorTable:
-    """Keyed rows in buckets by key hash.
+    """Keyed rows, one folder per version; the largest version of a key counts.
 
-    An upsert writes the batch's rows, then the untouched rows of the buckets it meets, into new
-    folders, and last a manifest that lists the current folders of every bucket. Readers see the
-    old manifest until the new one is complete, buckets without new rows are not rewritten, and a
-    batch named in the manifest is not applied again. One writer at a time.
+    An upsert adds the batch's rows under its version and touches nothing else. Applied again, it
+    replaces that folder, so a replay leaves the same rows. ``read`` picks the newest version per
+    key; ``compact`` writes the outcome as a table of its own.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: str = ROW_SCHEMA, key: str = "review_id",
-        buckets: int = 64, dim: int = VECTOR_DIM,
+        dim: int = VECTOR_DIM,
     ):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        self.buckets, self.dim = buckets, dim
-
-    def ensure(self) -> None:
-        """Create the empty table if it is absent."""
-        empty = {"version": 0, "batches": [], "folders": {}, "dim": self.dim}
-        self._commit(empty, mode="ignore")
-        if not self._listed():  # a first commit that died half-way
-            self._commit(empty)
-
-    def _listed(self) -> list[str]:
-        reader = self.spark.read.option("recursiveFileLookup", "true").format("text")
-        return sorted(reader.load(f"{self.path}/manifests").inputFiles())
-
-    def _manifest(self) -> dict:
-        self.ensure()
-        return json.loads(self.spark.read.text(self._listed()[-1]).first()["value"])
-
-    def _commit(self, manifest: dict, mode: str = "overwrite") -> None:
-        target = f"{self.path}/manifests/{manifest['version']:010d}"
-        line = self.spark.createDataFrame([(json.dumps(manifest),)], "value string")
-        line.coalesce(1).write.mode(mode).text(target)
+        self.dim = dim
+
+    def versions(self) -> DataFrame:
+        """All rows of all versions."""
+        schema = f"{self.schema}, version bigint"
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        """Current rows."""
-        return self._rows(self._manifest()["folders"])
-
-    def _rows(self, folders: dict[str, list[str]]) -> DataFrame:
-        paths = [f"{self.path}/{f}/bucket={b}" for b, fs in sorted(folders.items()) for f in fs]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        """Current rows. Keys are unique inside a version."""
+        rows = self.versions()
+        newest = rows.groupBy(F.col(self.key).alias(f"_{self.key}")).agg(F.max("version").alias("_version"))
+        current = _same(rows, newest, self.key) & (rows["version"] == newest["_version"])
+        return rows.join(newest, current, "left_semi").drop("version")
 
-    def _write(self, df: DataFrame, folder: str) -> list[str]:
-        """Write rows by bucket; returns the buckets that got rows."""
+    def _write(self, rows: DataFrame, version: int) -> None:
         fields = [f.split()[0] for f in self.schema.split(", ")]
-        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
-        target = f"{self.path}/{folder}"
-        rows = df.select(*fields, bucket.alias("bucket")).hint("rebalance", "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
-        written = self.spark.read.schema(self.schema).parquet(target).inputFiles()
-        return sorted({b for f in written for b in re.findall("/bucket=([0-9]+)/", f)})
+        rows.select(*fields).write.mode("overwrite").parquet(f"{self.path}/version={version:010d}")
 
     def upsert(
-        self, batch: DataFrame, batch_id: str, seq: str = "seq",
+        self, batch: DataFrame, version: int, seq: str = "seq",
         embedder: Embedder | None = None, text: str = "text",
     ) -> dict[str, int]:
-        """Per key the batch's last row replaces the stored one.
+        """Per key the batch's last row counts from this version on.
 
         With an embedder, vectors are made here, for the last rows only and once. A row without
-        a vector of the right size is counted as failed and not stored.
+        a vector of the right size is counted as failed and not stored; ``replaced`` rows gave way
+        to a later one of the batch. The three add up to the rows of the batch.
         """
-        manifest = self._manifest()
-        if batch_id in manifest["batches"]:
-            return {"indexed": 0, "failed": 0}
-        version = manifest["version"] + 1
-        rows = latest_per_key(batch, self.key, seq).drop(seq)
+        came, seen = Observation(), Observation()
+        rows = latest_per_key(batch.observe(came, F.count(F.lit(1)).alias("rows")), self.key, seq).drop(seq)
         if embedder is not None:
             rows = embed_batches(rows, embedder, text)
         fits = F.coalesce(F.size("vector") == self.dim, F.lit(False)) & F.col("vector").isNotNull()
-        seen = Observation()
         counted = rows.observe(
             seen, F.count_if(fits).alias("indexed"), F.count_if(~fits).alias("failed")
         )
-        fresh, kept = f"v{version:010d}-new", f"v{version:010d}-kept"
-        touched = self._write(counted.filter(fits), fresh)
-        stored = {b: manifest["folders"][b] for b in touched if b in manifest["folders"]}
-        folders = {**manifest["folders"], **{b: [fresh] for b in touched}}
-        if stored:
-            new_rows = self._rows({b: [fresh] for b in touched})
-            old_rows = self._rows(stored).join(new_rows.select(self.key), self.key, "left_anti")
-            for b in self._write(old_rows, kept):
-                folders[b] = [fresh, kept]
-        batches = [*manifest["batches"], batch_id][-1000:]
-        self._commit({"version": version, "batches": batches, "folders": folders, "dim": self.dim})
-        return {name: int(seen.get[name]) for name in ("indexed", "failed")}
+        self._write(counted.filter(fits), version)
+        found = {name: int(seen.get[name]) for name in ("indexed", "failed")}
+        return {**found, "replaced": int(came.get["rows"]) - sum(found.values())}
+
+    def compact(self, path: str) -> VectorTable:
+        """The current rows as the only version of another table."""
+        small = VectorTable(self.spark, path, self.schema, self.key, self.dim)
+        small._write(self.read(), 0)
+        return small
 
 
 def append_chunks(docs: DataFrame, path: str) -> dict[str, int]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.fixed import GOLD_QUESTIONS, SERVICE_K
+from reviewmill.fixed import SERVICE_K
 from reviewmill.functions.numbers import round_even
 from reviewmill.functions.vectors import cosine
 from reviewmill.operators.embed import Embedder, with_vectors
@@ -15,13 +15,9 @@ from reviewmill.operators.quantiles import SORTABLE, value_at_ranks
 from reviewmill.operators.search import knn_exact
 from reviewmill.sizes import broadcast_if_small
 
-# Events of one conversation that are joined in one cell.
-EVENTS_PER_PART = 10_000
 
-
-def gold_table(
-    spark: SparkSession, gold: Mapping[str, list[str]] = GOLD_QUESTIONS
-) -> DataFrame:
+def gold_table(spark: SparkSession, gold: Mapping[str, list[str]]) -> DataFrame:
+    """Questions with the words that a good answer has."""
     return spark.createDataFrame(list(gold.items()), "question string, keywords array<string>")
 
 
@@ -146,12 +142,10 @@ def parse_requests(requests: DataFrame, request: str = "request") -> DataFrame:
 
 def assemble_answers(
     events: DataFrame, conversation: str = "conv_id", seq: str = "turn", text: str = "text",
-    refs: str | None = None, per_part: int = EVENTS_PER_PART,
+    refs: str | None = None,
 ) -> DataFrame:
     """Streamed pieces joined in order to one trimmed answer per conversation.
 
-    Pieces are joined in parts of ``per_part`` sequence numbers, so a runaway conversation
-    becomes several rows (``part``) and no cell grows without bound; an ordinary one is part 0.
     ``refs`` names a column of references, of which the last present one is kept.
     """
     piece = F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -159,17 +153,7 @@ def assemble_answers(
     if refs:
         last = F.max_by(refs, F.when(F.col(refs).isNotNull(), F.col(seq)))
         wanted.append(last.alias("references"))
-    parts = events.groupBy(
-        conversation, F.floor(F.col(seq) / per_part).cast("long").alias("part")
-    ).agg(*wanted)
-    joined = parts.withColumn(
-        "answer", F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
-    ).drop("_pieces")
-    ends = Window.partitionBy(conversation)
-    trimmed = F.col("answer")
+    joined = F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
     space = r"[\s\x1c-\x1f]+"
-    first = F.col("part") == F.min("part").over(ends)
-    last = F.col("part") == F.max("part").over(ends)
-    trimmed = F.when(first, F.regexp_replace(trimmed, f"(?U)^{space}", "")).otherwise(trimmed)
-    trimmed = F.when(last, F.regexp_replace(trimmed, f"(?U){space}$", "")).otherwise(trimmed)
-    return joined.withColumn("answer", trimmed)
+    trimmed = F.regexp_replace(joined, f"(?U)^{space}|{space}$", "")
+    return events.groupBy(conversation).agg(*wanted).withColumn("answer", trimmed).drop("_pieces")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def bad_row_skip(df: DataFrame, rating: str = "rating_1_5") -> DataFrame:
 
 
 def embed_projection(
-    df: DataFrame, text: str = "review_text", rating: str = "rating_1_5"
+    df: DataFrame, text: str = "review_text", rating: str = "rating_1_5", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Row-grain documents: id as text, blank rating as 0, trimmed text that is not blank.
 
@@ -47,6 +49,7 @@ def embed_projection(
         (F.col(restaurant) if restaurant else F.lit(None).cast("string")).alias("restaurant_name"),
         F.coalesce(value, F.lit(0.0)).cast("float").alias("rating"),
         coerce_str(F.col(text)).alias("text"),
+        *keep,
     )
 
 

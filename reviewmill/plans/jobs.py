@@ -69,7 +69,9 @@ def run_etl(
     numbers = number_rows(survivors, [], "ord", "row_id").select("ord", "row_id")
     processed = standardize.final_projection(ready, extended=True, keep=["ord"])
     sinks.write_per_source(processed.join(numbers, "ord"), paths.per_source)
-    kept = spark.read.parquet(paths.per_source)
+    # sources of an earlier run into this folder are not part of this one
+    ours = staged.select("source_file").distinct()
+    kept = spark.read.parquet(paths.per_source).join(ours, "source_file", "left_semi")
 
     final = kept.withColumn("review_id", F.col("row_id"))
     core = standardize.final_projection(
@@ -115,15 +117,20 @@ def run_etl(
 
 
 def run_row_index(
-    spark: SparkSession, processed: DataFrame, table_path: str, batch_id: str,
+    spark: SparkSession, processed: DataFrame, table_path: str, version: int,
     embedder: Embedder | None = None,
 ) -> dict[str, int]:
-    """Processed reviews into the keyed vector table; returns indexed and failed counts."""
+    """Processed reviews into the keyed vector table; returns what became of the rows.
+
+    Of several reviews with one id the later counts: by ``ord`` if there is one, else by its place
+    in the input. Reviews without text or with a broken rating are left out before that.
+    """
     embedder = embedder or HashingEmbedder()
-    docs = index.embed_projection(processed)
-    sequenced = spread(docs, "review_id").withColumn("seq", F.col("review_id").try_cast("long"))
+    if "ord" not in processed.columns:
+        processed = processed.withColumn("ord", F.monotonically_increasing_id())
+    docs = spread(index.embed_projection(processed, keep=["ord"]), "review_id")
     return VectorTable(spark, table_path, dim=embedder.dim).upsert(
-        sequenced, batch_id, embedder=embedder
+        docs, version, seq="ord", embedder=embedder
     )
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -134,8 +135,8 @@ def resolve_source(
             source.delimiter = sniff_delimiter(line)
         source.raw_headers = split_header(line, source.delimiter)
         source.mapping = map_columns(source.headers, synonyms)
-    except Exception as problem:  # noqa: BLE001 - the job goes on without this source
-        source.status, source.error = "unreadable", str(problem).splitlines()[0][:200]
+    except (ValueError, AnalysisException) as problem:  # no header or a wrong one; storage faults stop the job
+        source.status, source.error = "unreadable", str(problem)
     return source
 
 

@@ -169,7 +169,10 @@ def stream_upsert(
     stream: DataFrame, table: VectorTable, embedder: Embedder, checkpoint: str,
     scales: DataFrame | None = None,
 ) -> None:
-    """Arriving reviews into the vector table; the last row per id wins. Replays are skipped."""
+    """Arriving reviews into the vector table; the last row with a text per id wins.
+
+    A micro-batch is a version of the table, so a replay overwrites itself.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = with_batch_order(batch)
@@ -179,10 +182,8 @@ def stream_upsert(
             rated = known.withColumn(
                 "rating_1_5", rating_1_5(F.col("rating_1_5"), F.col("rating_scale"))
             )
-        last = rated.groupBy("review_id").agg(F.max("ord").alias("ord"))
-        newest = rated.join(last, ["review_id", "ord"], "left_semi")
-        docs = embed_projection(newest).withColumn("seq", F.lit(0))
-        table.upsert(docs, f"stream-{batch_id}", embedder=embedder)
+        docs = embed_projection(rated, keep=["ord"])
+        table.upsert(docs, batch_id, seq="ord", embedder=embedder)
 
     _run(stream, checkpoint, each)
 
@@ -231,7 +232,7 @@ def stream_counts(stream: DataFrame, out: str, checkpoint: str) -> dict[str, int
             .start()
         )
         query.awaitTermination()
-        listener.done.wait(60)
+        listener.done.wait()  # the last counters arrive before the end does
     finally:
         spark.streams.removeListener(listener)
     return listener.totals

@@ -87,7 +87,7 @@ def test_index_jobs(spark, run):
     final = spark.read.parquet(run.final)
     embedder = HashingEmbedder(32)
     root = tempfile.mkdtemp(prefix="index-")
-    counts = jobs.run_row_index(spark, final, f"{root}/rows", "b1", embedder)
+    counts = jobs.run_row_index(spark, final, f"{root}/rows", 1, embedder)
     with_text = final.filter(F.col("review_text").isNotNull()).count()
     assert (counts["indexed"], counts["failed"]) == (with_text, 0)
     assert VectorTable(spark, f"{root}/rows", dim=32).read().count() == with_text
@@ -96,6 +96,30 @@ def test_index_jobs(spark, run):
     assert distinct_chunks(spark.read.parquet(f"{root}/chunks")).count() == counts["indexed"]
 
 
+def test_row_index_takes_the_later_review_of_an_id(spark):
+    root = tempfile.mkdtemp(prefix="index-")
+    rows = [("R-1", "one"), ("R-2", "two"), ("7", "old"), ("7", "new"), ("R-1", " "), (None, "lone"), ("R-1", None)]
+    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "review_id string, review_text string, rating_1_5 double, location string")
+    counts = jobs.run_row_index(spark, df.coalesce(1), f"{root}/rows", 1, HashingEmbedder(16))
+    assert counts == {"indexed": 4, "failed": 0, "replaced": 1}
+    found = VectorTable(spark, f"{root}/rows", dim=16).read().collect()
+    assert {r["review_id"]: r["text"] for r in found} == {"R-1": "one", "R-2": "two", "7": "new", "": "lone"}
+
+
+def test_a_second_run_leaves_out_sources_that_are_gone(spark):
+    root = tempfile.mkdtemp(prefix="rerun-")
+    os.makedirs(f"{root}/raw")
+    for name in ("a", "b"):
+        with open(f"{root}/raw/{name}.csv", "w") as out:
+            out.write(f"review_id,review_text,rating\n1,{name} one,3\n2,{name} two,4\n")
+    first = jobs.run_etl(spark, f"{root}/raw", f"{root}/out", write_csv=False)
+    assert spark.read.parquet(first.final).count() == 4
+    os.rename(f"{root}/raw/b.csv", f"{root}/b.csv")
+    second = jobs.run_etl(spark, f"{root}/raw", f"{root}/out", write_csv=False)
+    texts = [r["review_text"] for r in spark.read.parquet(second.final).orderBy("review_id").collect()]
+    assert texts == ["a one", "a two"]
+
+
 # --- plan shapes -------------------------------------------------------------
 
 

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.fixed import GOLD_QUESTIONS
 from reviewmill.operators.embed import HashingEmbedder
 from reviewmill.operators.quantiles import exact_quantiles, value_at_ranks
 from reviewmill.plans import evaluate, profile, reports
@@ -85,11 +84,10 @@ def test_repeats_count_missing_ids(spark):
 
 
 def test_gold_evaluation(spark):
-    gold = evaluate.gold_table(spark)
-    assert gold.count() == 12
-    question = next(iter(GOLD_QUESTIONS))
+    question = "Where is the soup served hot?"
+    gold = evaluate.gold_table(spark, {question: ["harbour", "Popular", "soup", "warm"], "And the bread?": ["fresh"]})
     log = spark.createDataFrame(
-        [(question, "UPTOWN is popular and consistent", 30.0), ("unknown?", "nothing", 10.0)],
+        [(question, "HARBOUR house is popular", 30.0), ("unknown?", "nothing", 10.0)],
         "question string, answer string, ms double")
     scored = {r["question"]: r for r in evaluate.score_semantic(
         evaluate.score_keywords(log, gold), gold, HashingEmbedder(64)).collect()}
@@ -106,13 +104,11 @@ def test_p95_rank(n, rank):
     assert evaluate.p95_rank(n) == rank
 
 
-def test_runaway_conversation_is_split_not_cut(spark):
-    rows = [(1, i, f"p{i} ") for i in range(25)] + [(2, 0, "  hi "), (2, 1, None)]
+def test_one_answer_per_conversation(spark):
+    rows = [(1, i, f"p{i} ") for i in range(25)] + [(2, 0, "  hi "), (2, 1, None), (3, 1_700_000_000, "late"), (3, 9_999, "early ")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
-    parts = evaluate.assemble_answers(df, per_part=10).orderBy("conv_id", "part").collect()
-    one = "".join(r["answer"] for r in parts if r["conv_id"] == 1)
-    assert one == "".join(f"p{i} " for i in range(25)).strip()
-    assert [r["answer"] for r in parts if r["conv_id"] == 2] == ["hi"]
+    found = {r["conv_id"]: r["answer"] for r in evaluate.assemble_answers(df).collect()}
+    assert found == {1: "".join(f"p{i} " for i in range(25)).strip(), 2: "hi", 3: "early late"}
 
 
 def test_broadcast_only_below_the_limit(spark):

@@ -1,6 +1,5 @@
 """Chunks, vectors and search against plain Python and numpy."""
 
-import re
 import tempfile
 
 import numpy as np
@@ -14,40 +13,47 @@ from reviewmill.operators.embed import HashingEmbedder, embed_batches, ingest_co
 from reviewmill.operators.vector_table import VectorTable, latest_per_key, merge_latest
 
 
-def plain_chunks(text, target, overlap):
-    """The rule restated: fill below the target, then prefix each chunk with the one before."""
-    words = " ".join((text or "").split())
-    if not words:
-        return []
-    done, filling = [], ""
-    for sentence in re.split(r"(?<=[.!?]) +", words):
-        joined = f"{filling} {sentence}"
-        if len(joined) < target:
-            filling = joined
-        else:
-            done, filling = [*done, filling.strip(" ")], sentence
-    done += [filling.strip(" ")] if filling else []
-    if len(done) < 2:
-        return done
-    pairs = [done[0], *[f"{a} {b}" for a, b in zip(done, done[1:])]]
-    return [p[-(target + overlap):] for p in pairs]
+def pieces(spark, texts, target=30, overlap=8):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    rows = df.select("i", chunks.chunk_texts(F.col("t"), target, overlap).alias("c")).orderBy("i").collect()
+    exploded = chunks.explode_chunks(df, "t", target, overlap).orderBy("i", "chunk_no").collect()
+    found = [list(r["c"]) for r in rows]
+    assert [(r["i"], r["chunk_text"]) for r in exploded] == [(i, c) for i, cs in enumerate(found) for c in cs if c]
+    return found
+
+
+def test_chunks_of_known_texts(spark):
+    found = pieces(spark, [
+        None, " \n ", "One. Two!", "Aaaa aaaa aaaa. Bbbb bbbb bbbb? Cc.", "No end  to\tthis sentence at all here",
+        "First one here now. Second one here. Third.",
+    ])
+    assert found[:3] == [[], [], ["One. Two!"]]
+    assert found[3] == ["Aaaa aaaa aaaa.", "Aaaa aaaa aaaa. Bbbb bbbb bbbb? Cc."]
+    assert found[4][-1].endswith("No end to this sentence at all here"[-38:])
+    assert found[5] == ["First one here now.", "First one here now. Second one here. Third."[-38:]]
 
 
 TEXTS = st.lists(
-    st.text(alphabet=st.sampled_from("ab .!?\n　é"), max_size=120), min_size=1, max_size=30
-)
+    st.lists(st.text(alphabet="ab", min_size=1, max_size=6), min_size=1, max_size=20).map(" ".join), min_size=1, max_size=8
+).map(lambda sentences: ". ".join(sentences) + ".")
 
 
 @settings(max_examples=12, deadline=None)
-@given(texts=TEXTS)
-def test_chunks_equal_the_rule(spark, texts):
+@given(texts=st.lists(TEXTS, min_size=1, max_size=10))
+def test_chunk_properties(spark, texts):
+    """Bounds, nothing lost, and no two neighbours that would have fitted together."""
+    plain = pieces(spark, texts, overlap=0)
+    for text, found in zip(texts, pieces(spark, texts)):
+        assert all(len(c) <= 38 for c in found)
+        assert text.endswith(found[-1][-5:])
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
-    rows = df.select("i", chunks.chunk_texts(F.col("t"), 30, 8).alias("c")).orderBy("i").collect()
-    assert [list(r["c"]) for r in rows] == [plain_chunks(t, 30, 8) for t in texts]
-    exploded = chunks.explode_chunks(df, "t", 30, 8)
-    got = sorted((r["i"], r["chunk_no"], r["chunk_text"]) for r in exploded.collect())
-    wanted = [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(plain_chunks(t, 30, 8)) if c]
-    assert got == sorted(wanted)
+    packed = df.select("i", chunks.chunk_pack(chunks.sentence_split(F.col("t")), 30).alias("c")).orderBy("i").collect()
+    for text, row, found in zip(texts, packed, plain):
+        done = [c for c in row["c"] if c]
+        assert " ".join(done) == text and len(found) == len(row["c"])
+        for left, right in zip(done, done[1:]):
+            first = right.split(". ")[0].rstrip(".")
+            assert len(f"{left} {first}.") >= 30
 
 
 def test_chunk_bounds(spark):
@@ -175,29 +181,59 @@ def test_approximate_search(spark):
     assert search.recall_at_k(exact, some, 6).first()["recall"] > 0.7
 
 
+def test_lists_of_vectors_of_any_length(spark):
+    """Directions in clusters, lengths from 0.1 to 10: the lists follow the direction."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(16, 12))
+    rows = (middles[rng.integers(0, 16, 800)] + 0.2 * rng.normal(size=(800, 12))) * rng.uniform(0.1, 10, (800, 1))
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    queries = docs.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"))
+    for metric in ("cosine", "l2"):
+        centres = ivf.train_centres(docs, 16, metric=metric)
+        indexed = ivf.assign_lists(docs, centres, metric=metric)
+        found = ivf.knn_approx(indexed, centres, queries, 6, nprobe=4, metric=metric)
+        exact = search.knn_exact(docs, queries, 6, metric)
+        assert search.recall_at_k(exact, found, 6).first()["recall"] >= 0.85
+
+
+def test_ties_are_cut_before_the_payload():
+    order = np.zeros((500, 40))
+    rows, cols = search._first_k(order, np.full(40, -np.inf), search.pa.array(range(499, -1, -1)), 6)
+    assert len(rows) == 240 and set(rows.tolist()) == set(range(494, 500))
+
+
 def test_merge_keeps_the_last_row_per_key(spark):
     schema = "review_id string, text string, seq long"
-    batch = spark.createDataFrame([("1", "old", 1), ("1", "new", 2), ("2", "x", 3)], schema)
-    assert sorted(r["text"] for r in latest_per_key(batch).collect()) == ["new", "x"]
-    stored = spark.createDataFrame([("1", "stored"), ("3", "kept")], "review_id string, text string")
+    batch = spark.createDataFrame([("1", "old", 1), ("1", "new", 2), ("2", "x", 3), (None, "n", 1), (None, "m", 2)], schema)
+    assert sorted(r["text"] for r in latest_per_key(batch).collect()) == ["m", "new", "x"]
+    stored = spark.createDataFrame([("1", "stored"), ("3", "kept"), (None, "gone")], "review_id string, text string")
     merged = merge_latest(stored, batch).collect()
-    assert sorted((r["review_id"], r["text"]) for r in merged) == [("1", "new"), ("2", "x"), ("3", "kept")]
+    assert sorted((r["review_id"] or "", r["text"]) for r in merged) == [("", "m"), ("1", "new"), ("2", "x"), ("3", "kept")]
+    with pytest.raises(Exception, match="no seq"):
+        latest_per_key(spark.createDataFrame([("1", "x", None)], schema)).collect()
 
 
 def test_vector_table(spark):
-    table = VectorTable(spark, tempfile.mkdtemp(prefix="vectors-") + "/t", buckets=4, dim=8)
-    table.ensure()
-    table.ensure()
+    path = tempfile.mkdtemp(prefix="vectors-") + "/t"
+    table = VectorTable(spark, path, dim=8)
     assert table.read().count() == 0 and "vector" in table.read().columns
+
     def batch(rows):
         df = spark.createDataFrame(rows, "review_id string, text string, seq long")
         return df.withColumns({"location": F.lit("x"), "restaurant_name": F.lit("r"), "rating": F.lit(1.0).cast("float")})
+
     embedder = Picky(8)
-    first = [(str(i), f"first {i}", i) for i in range(20)] + [("50", "bad text", 1)]
-    assert table.upsert(batch(first), "one", embedder=embedder) == {"indexed": 20, "failed": 1}
-    second = [("3", "second", 1), ("3", "third", 2), ("99", "new", 3)]
-    assert table.upsert(batch(second), "two", embedder=embedder) == {"indexed": 2, "failed": 0}
-    made = with_vectors(batch([("3", "ignored", 1)]), embedder)
-    assert table.upsert(made, "two") == {"indexed": 0, "failed": 0}
-    rows = {r["review_id"]: r["text"] for r in table.read().collect()}
-    assert len(rows) == 21 and rows["3"] == "third" and rows["99"] == "new" and rows["4"] == "first 4"
+    first = [(f"R-{i}", f"first {i}", i) for i in range(20)] + [("50", "bad text", 1), (None, "no id", 1)]
+    assert table.upsert(batch(first), 1, embedder=embedder) == {"indexed": 21, "failed": 1, "replaced": 0}
+    second = [("R-3", "second", 1), ("R-3", "third", 2), ("99", "new", 3), ("R-3", "tie", 1), (None, "later", 1)]
+    for _ in range(2):
+        assert table.upsert(batch(second), 2, embedder=embedder) == {"indexed": 3, "failed": 0, "replaced": 2}
+    rows = table.read().collect()
+    by_id = {r["review_id"]: r["text"] for r in rows}
+    assert len(rows) == len(by_id) == 22
+    assert (by_id["R-3"], by_id["99"], by_id["R-4"], by_id[None]) == ("third", "new", "first 4", "later")
+    made = with_vectors(batch([("R-4", "with its vector", 1), ("R-5", None, 1)]), embedder)
+    assert table.upsert(made, 3) == {"indexed": 1, "failed": 1, "replaced": 0}
+    small = table.compact(path + "-small")
+    assert small.versions().count() == small.read().count() == 22
+    assert {r["review_id"]: r["text"] for r in small.read().collect()}["R-4"] == "with its vector"
