@@ -205,16 +205,22 @@ def normalize_header(spark, sf):
     return spark.createDataFrame(rows, "source_file string, header string")
 
 
+_NAMED = [i for i, g in enumerate(_NORMALIZED) if g["review_id"] == "review_id"]
+_CALLED = [i for i, g in enumerate(_NORMALIZED) if g["customer_name"] == "customer_name"]
+
+
 @query(
     "raw_integrity",
-    from_raw("""SELECT source_file, count(*) AS total_rows, count(DISTINCT review_id) AS unique_reviews,
-      count(DISTINCT customer_name) AS unique_customers FROM raw WHERE """ + _GROUP + " = 0 GROUP BY 1"),
+    from_raw(f"""SELECT replace(source_file, '.csv', CASE WHEN {_GROUP} = 2 THEN '.txt' ELSE '.csv' END) AS source_file,
+      count(*) AS total_rows,
+      CASE WHEN {_GROUP} IN ({", ".join(map(str, _NAMED))}) THEN count(DISTINCT review_id) END AS unique_reviews,
+      CASE WHEN {_GROUP} IN ({", ".join(map(str, _CALLED)) or -1}) THEN count(DISTINCT customer_name) END AS unique_customers
+      FROM raw GROUP BY source_file, {_GROUP}"""),
 )
 def raw_integrity(spark, sf):
-    """Raw files under their own headers: only those that say review_id have id counts."""
+    """All raw files under their own headers: distinct values only where the header has the name."""
     frames = files.scan_raw(spark, resolved_sources(spark, sf))
-    named = [f for f in frames if "review_id" in f.columns]
-    totals = profile.union_all([reports.integrity_totals(f) for f in named])
+    totals = profile.union_all([reports.integrity_totals(f) for f in frames])
     return totals.select("source_file", "total_rows", "unique_reviews", "unique_customers")
 
 

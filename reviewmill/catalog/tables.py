@@ -204,13 +204,14 @@ def sample_n(spark, sf):
     "sort_report",
     from_typed("""SELECT "column", source_file AS source, "value" FROM (
       SELECT DISTINCT source_file, 'gender' AS "column", gender AS "value" FROM typed
+      UNION SELECT DISTINCT source_file, 'age_range', age_range FROM typed
       UNION SELECT DISTINCT source_file, 'ethnicity', ethnicity FROM typed)
       WHERE "value" IS NOT NULL ORDER BY 1, 2, 3"""),
 )
 def sort_report(spark, sf):
     from reviewmill.plans.reports import categorical_report
 
-    return categorical_report(typed(spark, sf)).filter(F.col("column") != "age_range")
+    return categorical_report(typed(spark, sf))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.fixed import (
@@ -103,11 +103,14 @@ def missing_columns(df: DataFrame, required: Sequence[str] = REVIEW_REQUIRED) ->
 
 
 def required_columns(
-    spark: SparkSession, frames: dict[str, DataFrame], required: Sequence[str] = REVIEW_REQUIRED
+    df: DataFrame, required: Sequence[str] = REVIEW_REQUIRED, source: str = "source_file"
 ) -> DataFrame:
-    """Absent required columns per source."""
-    rows = [(name, column) for name, df in frames.items() for column in missing_columns(df, required)]
-    return spark.createDataFrame(rows, "source string, missing_column string")
+    """Required columns per source that the table lacks or that hold no value there."""
+    absent = missing_columns(df, required)
+    counts = [F.lit(0).alias(c) if c in absent else F.count(c).alias(c) for c in required]
+    found = df.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+    long = unpivot(found, ["source", "n_rows"], list(required), "missing_column", "present")
+    return long.filter("present = 0").drop("present")
 
 
 def repeats(column: str) -> Column:
