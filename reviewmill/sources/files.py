@@ -17,7 +17,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -167,14 +167,22 @@ def schema_audit(spark: SparkSession, sources: Sequence[ReviewSource]) -> DataFr
     return audit.orderBy("source_file", "unified_col")
 
 
-def needs_multiline(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """True if some line has an odd number of quotes, i.e. a cell spans lines."""
-    odd = quote_count(F.col("value")) % 2 == 1
-    return not spark.read.text(list(paths)).filter(odd).isEmpty()
+def needs_multiline(spark: SparkSession, paths: Sequence[str], delimiter: str = ",") -> bool:
+    """True if some line leaves a quoted cell open, read as the first line of a record."""
+    return not spark.read.text(list(paths)).filter(leaves_open(F.col("value"), delimiter, False)).isEmpty()
 
 
-def quote_count(line: Column) -> Column:
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+def leaves_open(line: Column, delimiter: str, inside: bool) -> Column:
+    """Whether a quoted cell is open after the line, which starts a record or ``inside`` such a cell.
+
+    A quote opens a cell only as its first character; two quotes in a quoted cell are one character;
+    what follows the closing quote up to the delimiter belongs to the cell.
+    """
+    sep = re.escape(delimiter)
+    quoted = r'[^"]*+(?:""[^"]*+)*+'
+    rest = f"[^{sep}]*+{sep}"
+    cells = f'(?:"{quoted}"{rest}|[^"{sep}]{rest}|{sep})*+"{quoted}' + r"\z"
+    return line.rlike(f'^{quoted}(?:\\z|"{rest}{cells})' if inside else f"^{cells}")
 
 
 def read_delimited(
@@ -186,12 +194,12 @@ def read_delimited(
 ) -> DataFrame:
     """All cells as text, plus ``_path`` and ``_position``.
 
-    ``multi_line``: True reads each file in one task, as quoted line breaks need; False splits
-    files; 'auto' looks for quoted line breaks first; 'stitch' splits files and still keeps
-    quoted line breaks (see ``read_stitched``).
+    ``multi_line``: True reads each file in one task; False splits files and ends a record at
+    every line break; 'stitch' splits files and keeps quoted line breaks (see ``read_stitched``);
+    'auto' looks for quoted line breaks and stitches where there are any.
     """
     if multi_line == "auto":
-        multi_line = needs_multiline(spark, paths)
+        multi_line = "stitch" if needs_multiline(spark, paths, delimiter) else False
     if multi_line == "stitch":
         return read_stitched(spark, paths, headers, delimiter)
     schema = StructType([StructField(h, StringType()) for h in headers])
@@ -213,44 +221,45 @@ def read_stitched(
 ) -> DataFrame:
     """Splittable scan of files whose quoted cells hold line breaks.
 
-    A line opens a record if an even number of quotes stands before it in the file. Inside a
-    block that is a running sum; what the blocks before contribute comes from a table with one
-    row per block, which keeps the last opening line for either parity. A record is named by
-    the place of its opening line, and only lines of one record meet in a group.
+    A line opens a record if no quoted cell is open before it. Each line is a function of that
+    state, so within a block the state is known up to what the blocks before contribute; that
+    comes from a table with one row per block, which keeps the last opening line for either
+    state. A record is named by the place of its opening line, and only lines of one record meet
+    in a group.
     """
+    value = F.col("value")
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         _position().alias("_at"),
-        F.col("value").alias("_line"),
-        quote_count(F.col("value")).alias("_quotes"),
+        value.alias("_line"),
+        leaves_open(value, delimiter, False).alias("_from_closed"),
+        leaves_open(value, delimiter, True).alias("_from_open"),
         (F.trim("value") != "").cast("int").alias("_written"),
     )
-    up_to = Window.partitionBy("_path", "_block").orderBy("_at")
-    before = up_to.rowsBetween(Window.unboundedPreceding, -1)
-    up_to = up_to.rowsBetween(Window.unboundedPreceding, 0)
-    local = lines.withColumns(
-        {
-            "_even": F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2 == 0,
-            "_head": (F.col("_block") == 0)
-            & (F.col("_written") == 1)
-            & (F.sum("_written").over(up_to) == 1),
-        }
-    )
+    in_block = Window.partitionBy("_path", "_block").orderBy("_at")
+    up_to = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    head = (F.col("_block") == 0) & (F.col("_written") == 1) & (F.sum("_written").over(up_to) == 1)
+    local = _with_states(lines, in_block).withColumn("_head", head)
+
+    def after(before: Column) -> Column:
+        return F.when(before, F.col("_from_open")).otherwise(F.col("_from_closed"))
+
     blocks = local.groupBy("_path", "_block").agg(
-        F.sum("_quotes").alias("_sum"),
-        F.max(F.when(F.col("_even"), F.col("_at"))).alias("_last_if_even"),
-        F.max(F.when(~F.col("_even"), F.col("_at"))).alias("_last_if_odd"),
+        F.max_by(after(F.col("_open")), "_at").alias("_from_closed"),
+        F.max_by(after(F.col("_open_else")), "_at").alias("_from_open"),
+        F.max(F.when(~F.col("_open"), F.col("_at"))).alias("_last_if_closed"),
+        F.max(F.when(~F.col("_open_else"), F.col("_at"))).alias("_last_if_open"),
     )
-    earlier = Window.partitionBy("_path").orderBy("_block")
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    clean = F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) % 2 == 0
-    last = F.when(F.col("_clean"), F.col("_last_if_even")).otherwise(F.col("_last_if_odd"))
-    blocks = blocks.withColumn("_clean", clean).withColumn("_last", last)
+    in_file = Window.partitionBy("_path").orderBy("_block")
+    blocks = _with_states(blocks, in_file).withColumn(
+        "_last", F.when(F.col("_open"), F.col("_last_if_open")).otherwise(F.col("_last_if_closed"))
+    )
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(
-        "_path", "_block", "_clean", F.max("_last").over(earlier).alias("_carried")
+        "_path", "_block", F.col("_open").alias("_late"), F.max("_last").over(earlier).alias("_carried")
     )
-    opening = F.when(F.col("_even") == F.col("_clean"), F.col("_at"))
+    opening = F.when(~F.when(F.col("_late"), F.col("_open_else")).otherwise(F.col("_open")), F.col("_at"))
     placed = local.join(carried, ["_path", "_block"]).withColumn(
         "_record", F.coalesce(F.max(opening).over(up_to), F.col("_carried"))
     )
@@ -269,6 +278,29 @@ def read_stitched(
     return placed.toDF(*headers, "_path", "_position")
 
 
+def _with_states(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """Adds the state before each row: ``_open`` if none is open at the start, ``_open_else`` if one is.
+
+    A row whose outcome does not depend on the state before it settles it; of the others only the
+    number of those that turn it round counts.
+    """
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    settles = F.col("_from_closed") == F.col("_from_open")
+    turns = (F.col("_from_closed") & ~F.col("_from_open")).cast("int")
+    counted = rows.withColumn("_turns", F.sum(turns).over(up_to))
+    settled = F.when(settles, F.struct(F.col("_from_closed").cast("int").alias("state"), "_turns"))
+    counted = counted.withColumns({
+        "_settled": F.last(settled, ignorenulls=True).over(before),
+        "_past": F.coalesce(F.last("_turns").over(before), F.lit(0)),
+    })
+    since = F.col("_past") - F.coalesce(F.col("_settled._turns"), F.lit(0))
+    opened = (F.coalesce(F.col("_settled.state"), F.lit(0)) + since) % 2 == 1
+    return counted.withColumns({
+        "_open": opened, "_open_else": F.when(F.col("_settled").isNull(), ~opened).otherwise(opened),
+    }).drop("_settled", "_turns", "_past")
+
+
 def _position() -> Column:
     """Place of a row in its file: the block's first byte plus the row count of the task."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

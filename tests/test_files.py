@@ -127,6 +127,42 @@ def test_order_and_content_do_not_depend_on_splits(spark, awkward, multi_line, s
     assert same == len(records)
 
 
+@pytest.mark.parametrize("delimiter", [",", ";"])
+def test_stitch_reads_stray_quotes_like_the_plain_reader(spark, folder, delimiter):
+    rng = random.Random(8)
+    bare = ['5" pipe', 'a"b"c', 'x"', "plain", "", " \"late", 'a""']
+    quoted = ['"two\nlines"', '"a""b\n\n""c"', '""', '"x,y;z\n"', '"closed"rest"', '"end\r\nwin"', '"""\n"']
+    for f in range(2):
+        lines = [delimiter.join(["id", "comments", "location"])]
+        for i in range(300):
+            lines.append(delimiter.join([f"{f}-{i}", rng.choice(bare + quoted), rng.choice(bare + quoted)]))
+        put(folder, f"f{f}.csv", "\n".join(lines) + "\n")
+    paths = files.list_files(spark, folder)
+
+    def read(multi_line):
+        rows = files.read_delimited(spark, paths, ["id", "comments", "location"], delimiter, multi_line)
+        return [tuple(r)[:3] for r in rows.orderBy("_path", "_position").collect()]
+
+    wanted = read(True)
+    assert [r[0] for r in wanted] == [f"{f}-{i}" for f in range(2) for i in range(300)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        for split in (300, 2_000, 10_000_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            assert read("stitch") == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert files.needs_multiline(spark, paths, delimiter)
+
+
+def test_stray_quotes_alone_need_no_stitching(spark, folder):
+    path = put(folder, "a.csv", 'id,comments\n1,5" pipe\n2,"said ""so"""\n3,x"\n')
+    assert not files.needs_multiline(spark, [path])
+    assert [r["comments"] for r in files.scan_csv(spark, path).collect()] == ['5" pipe', 'said "so"', 'x"']
+
+
 def test_csv_splits_keep_order(spark, folder):
     for f in range(4):
         put(folder, f"f{f}.csv", "id,location\n" + "".join(f"{f}-{i},x\n" for i in range(500 * (f + 1))))
