@@ -16,6 +16,10 @@ members of one leader in one component, no further pair can change the result. O
 members in different components are compared on their full sets, block against block, inside
 tasks; only links that join two components come out. So no pair that matters is skipped, and the
 rows between stages stay linear in the documents.
+
+*Hot keys.* A value, leader or component may belong to a third of all classes. What is joined on
+these is grouped first, with partial sums, and written as a table, so that both sides of the join
+are plain exchanges and adaptive execution can split the hot one.
 """
 
 from __future__ import annotations
@@ -185,18 +189,22 @@ def _open_pairs(table: pa.Table) -> pa.Table:
 def _candidates(classes: DataFrame) -> DataFrame:
     """(cls, leader): every class with the leader of each list that it is in."""
     values = classes.select("cls", "n", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    often = c.stored(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "often")
     own = (
         values.join(often, "value").groupBy("cls", "n")
         .agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("ranked"))
         .withColumn("listed", F.col("m") - _least_shared(F.col("n")) + 1).where("listed > 0")
     )
-    lists = own.select("cls", "n", "m", F.explode(F.expr("slice(ranked, 1, int(listed))")).alias("at")).select(
-        "cls", "n", "m", F.col("at.value").alias("value")
+    lists = c.stored(
+        own.select("cls", "n", "m", F.explode(F.expr("slice(ranked, 1, int(listed))")).alias("at")).select(
+            "cls", "n", "m", F.col("at.value").alias("value")
+        ),
+        "lists",
     )
-    leaders = (
+    leaders = c.stored(
         lists.groupBy("value").agg(F.max(F.struct("m", "n", "cls")).alias("top"), F.count("*").alias("members"))
-        .where("members > 1").select("value", F.col("top.cls").alias("leader"))
+        .where("members > 1").select("value", F.col("top.cls").alias("leader")),
+        "leaders",
     )
     return lists.join(leaders, "value").where(F.col("cls") != F.col("leader")).select("cls", "leader").distinct()
 
@@ -243,7 +251,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         classes.select("cls", "first").join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
         .withColumn("comp", F.coalesce("comp", "cls"))
     )
-    smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    smallest = c.stored(named.groupBy("comp").agg(F.min("first").alias("component_id")), "smallest")
     of_class = named.join(smallest, "comp").select("cls", "component_id")
     grouped = filled.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id")
     alone = profile.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
@@ -260,11 +268,12 @@ def _open_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
         "comp", F.coalesce("comp", "cls")
     )
     sized = named.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
-    groups = (
+    groups = c.stored(
         sized.groupBy("leader").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
             F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
-        ).where("low <> high").select("leader", "blocks")
+        ).where("low <> high").select("leader", "blocks"),
+        "open-groups",
     )
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     spread = named.join(groups, "leader").withColumn("block", block).select(
