@@ -106,8 +106,8 @@ def assign_shards(
     )
     rank = F.expr("row_number() over (partition by cell, piece order by `order`, size, crc, row) - 1")
     ranked = keyed.withColumn("rank", rank.cast("long"))
-    placed = ranked.join(
-        F.broadcast(table),
+    placed = ranked.join(  # the window has partitioned the rows by these keys already
+        table,
         (ranked["cell"] == table["cell"]) & (ranked["piece"] == table["piece"])
         & (ranked["rank"] >= table["first"]) & (ranked["rank"] < table["end"]),
     )
