@@ -16,7 +16,7 @@ def main() -> None:
     etl.add_argument("out")
     etl.add_argument("--metadata")
     etl.add_argument("--run-id", default="")
-    etl.add_argument("--at", default="", help="time stamp written to the status report")
+    etl.add_argument("--at", default="", help="time stamp of the reports, the present time if left out")
     rows = commands.add_parser("rows", help="processed reviews to the keyed vector table")
     rows.add_argument("processed")
     rows.add_argument("table")

@@ -26,8 +26,10 @@ def integrity_totals(spark, sf):
     return reports.integrity_totals(standard(spark, sf))
 
 
-_WATCHED = ["customer_name", "review_text", "rating_raw", "rating_1_5", "total_spent",
-            "tip_percentage", "age_range", "gender", "ethnicity", "age_group"]
+_WATCHED = ["review_id", "customer_name", "location", "restaurant_name", "review_text", "review_date",
+            "rating_raw", "rating_scale", "rating_1_5", "total_spent", "tip_amount", "tip_percentage",
+            "party_size", "age_range", "gender", "ethnicity", "age_group", "gender_norm", "ethnicity_norm",
+            "log_total_spent", "review_length", "review_text_trunc"]
 
 
 def _missing_sql(relation: str) -> str:
@@ -234,6 +236,55 @@ def run_summary(spark, sf):
     return reports.run_summary(_statuses(spark, sf), shares)
 
 
+def _totals_sql(relation: str) -> str:
+    return (f"SELECT source_file, count(*) AS total_rows, count(DISTINCT review_id) AS unique_reviews, "
+            f"count(DISTINCT customer_name) AS unique_customers FROM {relation} GROUP BY 1")
+
+
+def _unknown_sql(column: str) -> str:
+    known = ", ".join(f"'{k}'" for k in CATEGORIES[column][1])
+    return (f"SELECT source_file, '{column}' AS \"column\", count(DISTINCT {column}) AS n FROM deduped "
+            f"WHERE {column} NOT IN ({known}) GROUP BY 1")
+
+
+@query(
+    "validation_document",
+    from_deduped(f"""SELECT 'run-1' AS validation_id, '2024-01-01T00:00:00' AS timestamp,
+      CASE WHEN bool_or(status = 'fail') OVER () THEN 'fail' WHEN bool_or(status = 'warn') OVER () THEN 'warn'
+        ELSE 'pass' END AS overall_status,
+      source_file AS source, status, row_count_mismatch, conflicting_ids,
+      CASE WHEN ratings = 0 THEN 'rating_1_5' ELSE '' END AS missing_columns,
+      concat_ws(';', CASE WHEN null_age > 0 THEN 'age_range=' || round(null_age * 10000)::BIGINT END,
+        CASE WHEN null_text > 0 THEN 'review_text=' || round(null_text * 10000)::BIGINT END) AS missing,
+      coalesce(u.listed, '') AS unmapped, r.total_rows AS raw_rows, r.unique_reviews AS raw_reviews,
+      p.total_rows AS processed_rows, p.unique_customers AS processed_customers
+    FROM status JOIN ({_totals_sql('raw')}) r USING (source_file) JOIN ({_totals_sql('deduped')}) p USING (source_file)
+    JOIN (SELECT source_file, count(rating_1_5) AS ratings FROM deduped GROUP BY 1) USING (source_file)
+    LEFT JOIN (SELECT source_file, string_agg("column" || '=' || n, ';' ORDER BY "column") AS listed FROM (
+      {' UNION ALL '.join(map(_unknown_sql, CATEGORIES))}) GROUP BY 1) u USING (source_file)""", *_REPORT),
+)
+def validation_document(spark, sf):
+    """Lists are shown as text; shares in hundredths of a percent."""
+    before, after = raw(spark, sf), deduped(spark, sf)
+    document = reports.validation_document(
+        _statuses(spark, sf), before, after, run_id="run-1", at="2024-01-01T00:00:00"
+    )
+
+    def shown(items, value):
+        return F.coalesce(F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["column"], value(x))), ";"), F.lit(""))
+
+    return document.select(
+        "validation_id", "timestamp", "overall_status", "source", "status",
+        "checks.row_count_mismatch", "checks.conflicting_ids",
+        F.array_join("missing_columns", ",").alias("missing_columns"),
+        shown("warnings.missing", lambda x: F.round(x["missing"] * 10000).cast("long").cast("string")).alias("missing"),
+        shown("warnings.unmapped", lambda x: x["n_values"].cast("string")).alias("unmapped"),
+        F.col("raw.total_rows").alias("raw_rows"), F.col("raw.unique_reviews").alias("raw_reviews"),
+        F.col("processed.total_rows").alias("processed_rows"),
+        F.col("processed.unique_customers").alias("processed_customers"),
+    )
+
+
 # --- representation ----------------------------------------------------------
 
 
@@ -274,15 +325,19 @@ def categorical_report(spark, sf):
     return reports.categorical_report(typed(spark, sf))
 
 
+_COERCED = ["review_id", "customer_name", "location", "restaurant_name", "review_text", "review_date", "rating_raw",
+            "total_spent", "tip_amount", "party_size", "age_range", "gender", "ethnicity"]
+
+
 @query(
     "coercion_loss",
     from_typed(" UNION ALL ".join(
         f"SELECT r.source_file, '{c}' AS \"column\", count(r.{c}) AS raw_present, count(t.{c}) AS typed_present, "
         f"count(r.{c}) - count(t.{c}) AS lost FROM raw r JOIN typed t USING (ord) GROUP BY 1"
-        for c in ("review_date", "rating_raw", "review_text"))),
+        for c in _COERCED)),
 )
 def coercion_loss(spark, sf):
-    return reports.coercion_loss(raw(spark, sf), typed(spark, sf), ["review_date", "rating_raw", "review_text"])
+    return reports.coercion_loss(raw(spark, sf), typed(spark, sf), _COERCED)
 
 
 # --- exploration -------------------------------------------------------------

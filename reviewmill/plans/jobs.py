@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def run_etl(
 
     The raw text is parsed once into a staged table; everything else reads the columns it needs
     from there. Dedup and numbering work on narrow rows, and full rows are shuffled once, when
-    the numbers join them.
+    the numbers join them. A run without ``run_id`` or ``at`` gets a new id and the present time.
     """
     paths = EtlPaths(out)
     found = files.list_sources(spark, raw_folder, by)
@@ -94,7 +96,12 @@ def run_etl(
     statuses = spark.read.parquet(paths.validation)
     meta = reports.validate_metadata(info, os.path.basename(metadata)) if metadata else None
     sinks.write_report(statuses, paths.validation_json)
+    run_id, at = run_id or uuid.uuid4().hex, at or datetime.now(timezone.utc).isoformat(timespec="seconds")
     sinks.write_report(reports.combined_status(statuses, meta, run_id, at), paths.status_json)
+    sinks.write_report(
+        reports.validation_document(statuses, staged, checked, meta, run_id, at), paths.document_json
+    )
+    sinks.write_report(reports.unmapped_categories(checked), paths.unmapped_json)
     sinks.write_report(
         reports.run_summary(statuses, reports.missing_thresholds(checked)), paths.summary_json
     )

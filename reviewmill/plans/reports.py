@@ -314,6 +314,47 @@ def combined_status(
     )
 
 
+def validation_document(
+    statuses: DataFrame, raw: DataFrame, processed: DataFrame, metadata: DataFrame | None = None,
+    run_id: str = "", at: str = "", required: Sequence[str] = REVIEW_REQUIRED,
+) -> DataFrame:
+    """One row per source: its status and the run's, checks, warnings, raw and processed integrity.
+
+    ``statuses`` is the result of ``source_status``, ``metadata`` of ``validate_metadata``. Warnings
+    hold the share of missing cells per watched column and the number of distinct unmapped values
+    per category (``unmapped_categories`` lists them). A source without processed rows has null
+    for what is counted on these.
+    """
+    by = ["source_file"]
+    shares = missing_thresholds(processed).filter("mentioned").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("column", "missing", "over_limit"))).alias("missing")
+    )
+    unmapped = unmapped_categories(processed).groupBy(*by, "column").agg(F.count("value").alias("n_values"))
+    unmapped = unmapped.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("column", "n_values"))).alias("unmapped")
+    )
+    lacking = required_columns(processed, required).groupBy(F.col("source").alias("source_file")).agg(
+        F.array_sort(F.collect_list("missing_column")).alias("missing_columns")
+    )
+
+    def integrity(df: DataFrame, name: str) -> DataFrame:
+        found = integrity_totals(df)
+        return found.select(*by, F.struct(*[c for c in found.columns if c not in by]).alias(name))
+
+    checks = [c for c in statuses.columns if c not in (*by, "status")]
+    document = statuses.select(*by, "status", F.struct(*checks).alias("checks"))
+    for part in (lacking, shares, unmapped, integrity(raw, "raw"), integrity(processed, "processed")):
+        document = document.join(part, by, "left")
+    run = combined_status(statuses, metadata, run_id, at).select(
+        "validation_id", "timestamp", F.col("status").alias("overall_status")
+    )
+    return document.withColumn("validation_id", F.lit(run_id)).join(run, "validation_id").select(
+        "validation_id", "timestamp", "overall_status", F.col("source_file").alias("source"), "status", "checks",
+        F.coalesce("missing_columns", F.array().cast("array<string>")).alias("missing_columns"),
+        F.struct("missing", "unmapped").alias("warnings"), "raw", "processed",
+    )
+
+
 def run_summary(statuses: DataFrame, shares: DataFrame) -> DataFrame:
     """Per source: status, row counts and the columns with missing values to mention."""
     warnings = (

@@ -58,6 +58,21 @@ def test_final_equals_the_direct_plan(spark, small, run):
         assert a == b, column
 
 
+def test_validation_document(spark, run):
+    document = {r["source"]: r for r in lines(run.document_json)}
+    status = {r["source_file"]: r for r in lines(run.validation_json)}
+    assert set(document) == set(status)
+    overall = lines(run.status_json)[0]["status"]
+    for name, row in document.items():
+        assert (row["validation_id"], row["timestamp"], row["overall_status"]) == ("r1", "t1", overall)
+        assert row["status"] == status[name]["status"]
+        assert row["raw"]["total_rows"] == row["checks"]["row_count_raw"] == status[name]["row_count_raw"]
+        assert row["processed"]["total_rows"] == row["checks"]["row_count_processed"]
+    listed = {(r["source_file"], r["column"]) for r in lines(run.unmapped_json)}
+    counted = {(n, u["column"]) for n, r in document.items() for u in r["warnings"].get("unmapped") or []}
+    assert listed == counted
+
+
 def test_reports(spark, run):
     assert lines(run.status_json)[0]["validation_id"] == "r1"
     bias = lines(run.bias_json)
