@@ -3,8 +3,9 @@
 A tree splits by the hyperplane between two random points, until a leaf has few points of the
 sample that it is fitted on. Every vector of the table is then put into one leaf per tree. A query
 goes through all trees with one shared priority queue: the branch whose worst margin so far is best
-is opened next, in whichever tree, until the opened leaves hold enough vectors. The vectors of these
-leaves are compared exactly.
+is opened next, in whichever tree, until the opened leaves hold enough distinct vectors: copies count
+once, so a vector that many rows hold does not end the search. The vectors of these leaves are
+compared exactly.
 
 Leaves are packed into groups of bounded size, a crowded leaf into several, and queries are sent to
 the groups of their leaves. A group returns the k best per query.
@@ -27,8 +28,8 @@ TREES = 12
 #: The trees are fitted on at most so many vectors, chosen by a hash of their id.
 SAMPLE = 20_000
 LEAF = 24
-#: A query opens leaves until they hold this share of the table per tree, and at least so many
-#: vectors per tree. A smaller share is faster where neighbours are closer than the mass of vectors.
+#: A query opens leaves until their distinct vectors are this share of the table per tree, and at
+#: least so many per tree. A smaller share is faster where neighbours are closer than the mass of vectors.
 OPENED_SHARE, OPENED_LEAST = 0.05, 2_500
 #: Vectors of a group and of a part of a leaf.
 GROUP_ROWS, PART_ROWS = 20_000, 10_000
@@ -82,7 +83,7 @@ class Forest:
         self.trees = trees
 
     def search(self, q: np.ndarray, sizes: list[np.ndarray], enough: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until they hold ``enough`` vectors."""
+        """(tree, leaf) in the order of the shared queue, until they hold ``enough`` distinct vectors."""
         margins = [t.normals @ q - t.offsets for t in self.trees]
         queue = [(-np.inf, i, t.root) for i, t in enumerate(self.trees)]
         heapq.heapify(queue)
@@ -134,6 +135,22 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[np.arange(len(order)) - begin < k]
 
 
+def _copies_left(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows by key and id, of equal vectors under a key only those with the k smallest ids."""
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    same = np.unique(raw, return_inverse=True)[1]
+    order = np.lexsort((ids, same, keys))
+    key, of, i = keys[order], same[order], ids[order]
+    run = np.ones(len(order), bool)
+    run[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    new = run.copy()
+    new[1:] |= i[1:] != i[:-1]
+    order, run = order[new], run[new]
+    begin = np.flatnonzero(run)
+    order = order[np.arange(len(order)) - np.repeat(begin, np.diff([*begin, len(order)])) < k]
+    return order[np.lexsort((ids[order], keys[order]))]
+
+
 def nearest(
     df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF,
@@ -176,8 +193,9 @@ def nearest(
     )
     flat = placed.select("id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     counts = flat.groupBy("tree", "leaf").count().collect()  # at most trees * sample rows
+    apart = placed.select(F.xxhash64("vector").alias("hash"), "leaves").distinct()
     sizes = [np.zeros(t.leaves, np.int64) for t in forest.trees]
-    for r in counts:
+    for r in apart.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"]][r["leaf"]] = r["count"]
     opened = max(least * trees, int(share * sum(r["count"] for r in counts)))
     groups = spark.createDataFrame(_pack(counts), "tree int, leaf int, parts int, `group` int")
@@ -210,7 +228,7 @@ def nearest(
         x, y = (_matrix(pa.concat_arrays(t["vector"].chunks), dim) if t.num_rows else np.zeros((0, dim)) for t in (left, right))
         ids, asks = left["id"].to_numpy(), right["id"].to_numpy()
         keys, wants = (t["tree"].to_numpy().astype(np.int64) << 32 | t["leaf"].to_numpy() for t in (left, right))
-        order = np.argsort(keys, kind="stable")
+        order = _copies_left(keys, ids, x, k + 1)  # one of them may be the query's own
         begin, end = np.searchsorted(keys[order], wants), np.searchsorted(keys[order], wants, "right")
         parts = []
         for j, (s, e) in enumerate(zip(begin, end)):

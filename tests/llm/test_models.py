@@ -326,3 +326,18 @@ def test_recall(spark):
     expected = exact(rows, lambda i: i % 10 == 0, 10)
     found = neighbours(table)
     assert np.mean([len({v for v, _ in found[i]} & {v for v, _ in expected[i]}) / 10 for i in expected]) >= 0.9
+
+
+def test_copies_do_not_end_the_search(spark):
+    """A third of the rows are one short vector, which nearly every search meets."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    short = (0.05 * x[0]).astype(np.float32).tolist()
+    copies = [(10_001 + 10 * i, short) for i in range(1990)] + [(50_000 + 10 * i, short) for i in range(10)]
+    expected = exact(rows, lambda i: i % 10 == 0, 10)  # the short vector is not near any
+    found = neighbours(vectors(spark, rows + copies), share=0.03, least=50)
+    assert np.mean([len({v for v, _ in found[i]} & {v for v, _ in expected[i]}) / 10 for i in expected]) >= 0.93
+    ids = sorted(i for i, _ in copies)[:11]
+    assert all([v for v, _ in found[i]] == [v for v in ids if v != i][:10] for i, _ in copies if i % 10 == 0)
