@@ -230,11 +230,17 @@ def nearest(
         keys, wants = (t["tree"].to_numpy().astype(np.int64) << 32 | t["leaf"].to_numpy() for t in (left, right))
         order = _copies_left(keys, ids, x, k + 1)  # one of them may be the query's own
         begin, end = np.searchsorted(keys[order], wants), np.searchsorted(keys[order], wants, "right")
+        first = np.ones(len(order), bool)  # of the rows of an id in a leaf
+        first[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])
         parts = []
         for j, (s, e) in enumerate(zip(begin, end)):
             near = order[s:e]
-            near = near[ids[near] != asks[j]]
             score = np.sqrt(((x[near] - y[j]) ** 2).sum(axis=1))
+            if not first[s:e].all():  # each id once, at its smallest distance, before any cut
+                at = np.flatnonzero(first[s:e])
+                near, score = near[at], np.minimum.reduceat(score, at)
+            other = ids[near] != asks[j]
+            near, score = near[other], score[other]
             if len(near) > 4 * k:
                 cut = np.partition(score, k - 1)[k - 1]
                 near, score = near[score <= cut], score[score <= cut]

@@ -341,3 +341,21 @@ def test_copies_do_not_end_the_search(spark):
     assert np.mean([len({v for v, _ in found[i]} & {v for v, _ in expected[i]}) / 10 for i in expected]) >= 0.93
     ids = sorted(i for i, _ in copies)[:11]
     assert all([v for v, _ in found[i]] == [v for v in ids if v != i][:10] for i, _ in copies if i % 10 == 0)
+
+
+def test_repeated_ids_take_no_places(spark):
+    """Many rows of one id are near every query; each other id stands on two vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 8)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(i, (v + 5).tolist()) for i, v in enumerate(x) if i % 10]
+    crowd = [(501, (0.01 * rng.normal(size=8)).astype(np.float32).tolist()) for _ in range(48)]
+    found = neighbours(vectors(spark, rows + crowd), trees=1, leaf=1000)
+    every = rows + crowd
+    for i in range(0, 120, 10):
+        best = {}
+        for j, v in every:
+            if j != i:
+                d = np.sqrt(((np.array(v, float) - x[i].astype(float)) ** 2).sum())
+                best[j] = min(d, best.get(j, d))
+        expected = sorted(best, key=lambda j: (best[j], j))[:10]
+        assert [v for v, _ in found[i]] == expected
