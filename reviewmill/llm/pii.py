@@ -6,6 +6,11 @@ permuted within its own format by a keyed Feistel network, so a value gets the s
 every document, different values get different ones, and a pseudonym is valid where the value was.
 Text outside of the values stays as it is.
 
+Words and numbers may follow a bank account number in its own characters, so account numbers are
+looked for first, at every place that may begin one: it ends where its country's length is reached
+and the check digits hold, else where the longest valid one does. The pattern of a text then names
+its account numbers, and a stretch without any is left to the other formats.
+
 Strings are permuted in two halves; each round adds, character by character, digits of a keyed
 hash of the other half, within the character's class (digit, upper case, lower case, hex letter).
 Dates and addresses are numbers, split in two residues.
@@ -42,9 +47,21 @@ CARD = (
     r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{1,7}"
     r"|[0-9]{4}(?<gap>[ -])[0-9]{6}\k<gap>[0-9]{5})(?![0-9A-Za-z])"
 )
-ANY = "|".join(
-    f"(?:{p})" for p in (EMAIL, SECRET, IBAN, IP, ISO_DATE, SLASH_DATE, DOT_DATE, SSN, PHONE, CARD)
-)
+_FIRST = "|".join(f"(?:{p})" for p in (EMAIL, SECRET))  # tried before account numbers
+_LAST = "|".join(f"(?:{p})" for p in (IP, ISO_DATE, SLASH_DATE, DOT_DATE, SSN, PHONE, CARD))
+
+#: Characters of a bank account number by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: 1900 to 2099
 _WALK = 64  # steps until a day above the 12th turns up; missing it has a probability of 1e-25
@@ -187,6 +204,35 @@ def _social(digits: Column, key: str) -> Column:
     return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
 
 
+def _account(candidate: Column) -> Column:
+    """The valid account number that a candidate begins with, null if there is none."""
+    words = F.split(candidate, " ")
+    starts = F.transform(  # longest first
+        F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    )
+
+    def bare(account: Column) -> Column:
+        return F.regexp_replace(account, " ", "")
+
+    valid = F.filter(starts, lambda x: F.when(F.length(bare(x)) >= 15, _mod97(bare(x)) == 1).otherwise(False))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    whole = F.try_element_at(lengths, F.substring(candidate, 1, 2))
+    exact = F.filter(valid, lambda x: F.length(bare(x)) == whole)
+    return F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(valid, F.lit(1)))
+
+
+def _pattern(text: Column) -> Column:
+    """What to look for in a text: all formats, of account numbers those that are valid."""
+    candidates = F.regexp_extract_all(text, F.lit(f"(?=({IBAN}))"), F.lit(1))  # also inside of each other
+    accounts = F.filter(F.array_distinct(F.transform(candidates, _account)), lambda x: x.isNotNull())
+    longest = F.sort_array(F.transform(accounts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False)
+    named = F.transform(  # none or one
+        F.filter(F.array(F.array_join(longest["x"], "|")), lambda x: x != ""),
+        lambda x: F.concat(F.lit(rf"{_FIRST}|(?<![0-9A-Za-z])(?:"), x, F.lit(rf")(?![0-9A-Za-z])|{_LAST}")),
+    )
+    return F.when(text.rlike(IBAN), F.try_element_at(named, F.lit(1)))
+
+
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of a candidate, the candidate itself if it is not valid."""
 
@@ -227,12 +273,14 @@ def mask_text(
     null with 0 values; an empty one stays empty. ``key`` is the secret of the permutation.
     """
     text = F.col(text_col)
-    gaps = F.split(text, ANY, -1)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    # every candidate holds a digit or an at sign, so texts without any are left alone at once
-    pieces = F.when(text.rlike("[0-9@]"), F.struct(
-        gaps.alias("gaps"), found.alias("old"), F.transform(found, lambda v: pseudonym(v, key)).alias("new")
+    patterns = F.array(F.coalesce(_pattern(text), F.lit(f"{_FIRST}|{_LAST}")))
+    found = F.transform(patterns, lambda p: F.struct(
+        F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("old")
     ))
+    # every candidate holds a digit or an at sign, so texts without any are left alone at once
+    pieces = F.when(text.rlike("[0-9@]"), F.transform(found, lambda f: F.struct(
+        f["gaps"].alias("gaps"), f["old"].alias("old"), F.transform(f["old"], lambda v: pseudonym(v, key)).alias("new")
+    ))[0])
     cut = df.drop(count_col).withColumn(count_col, pieces)
     at = F.col(count_col)
     woven = F.concat_ws("", F.flatten(F.zip_with(

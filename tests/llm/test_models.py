@@ -254,6 +254,29 @@ def test_equal_values_stay_linked_and_others_apart(spark):
     assert all(a != b for a, b in zip(other, found))
 
 
+def test_account_numbers_end_where_they_are_valid(spark):
+    own, grouped, card = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111"
+    other = "ZZ" + next(f"{n:02d}" for n in range(2, 99) if int("1" * 16 + f"3535{n:02d}") % 97 == 1) + "1" * 16  # a country that is not listed
+    values = [
+        (f"{own} BIC COBADEFFXXX", [own]), (f"{grouped} EUR 500", [grouped]), (f"{own} 2024", [own]),
+        (f"{own} 2024-01-05", [own, "2024-01-05"]), (f"{own} X@MAIL.COM", [own, "X@MAIL.COM"]),
+        (f"NO12 {card}", [card]), (f"DE12 {card} 22", [card]), (f"AB12 {own} AB12 {own}", [own, own]),
+        (f"{other} PAID TODAY", [other]), (f"{own} {other}", [own, other]), ("DE89370400440532013001 BIC", []),
+    ]
+    found, counts = masked(spark, [v for v, _ in values])
+    assert counts == [len(inside) for _, inside in values]
+    for (old, inside), new in zip(values, found):
+        assert len(old) == len(new) and not any(x in new for x in inside)
+        left = old
+        for x in inside:
+            at = left.index(x)
+            assert new[at : at + len(x)] != x
+            left = left[:at] + new[at : at + len(x)] + left[at + len(x) :]
+        assert left == new  # all else stays
+    account = found[0][:22]
+    assert found[2] == f"{account} 2024"
+
+
 def test_masking_keeps_all_else(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     found = pii.mask_text(df)
