@@ -11,6 +11,12 @@ looked for first, at every place that may begin one: it ends where its country's
 and the check digits hold, else where the longest valid one does. The pattern of a text then names
 its account numbers, and a stretch without any is left to the other formats.
 
+Layouts are linked: separators of cards, account numbers and phones are taken out before the
+permutation and put back at their places, and a date is moved as a day, whatever its layout. A phone
+keeps its country's calling code; the digits after it get the same pseudonym without the code. Not
+linked are slash dates that may be month-first (read so) with the day that a day-first writer meant,
+emails and secrets in another case, and phones with and without a national prefix such as (0).
+
 Strings are permuted in two halves; each round adds, character by character, digits of a keyed
 hash of the other half, within the character's class (digit, upper case, lower case, hex letter).
 Dates and addresses are numbers, split in two residues.
@@ -64,6 +70,9 @@ IBAN_LENGTHS = {
 }
 
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: 1900 to 2099
+_EARLY = (160, 180)  # 200 years * 12 months * 12 days: those up to the 12th of a month
+#: Calling codes; none begins another one.
+_CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _WALK = 64  # steps until a day above the 12th turns up; missing it has a probability of 1e-25
 
 
@@ -151,19 +160,41 @@ def _mod97(account: Column) -> Column:
     )
 
 
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9A-Za-z]", "")
+
+
+def _laid_out(bare: Column, value: Column) -> Column:
+    """The characters of ``bare`` with the separators that ``value`` has, at their places."""
+
+    def one(ch: Column, i: Column) -> Column:
+        before = F.length(_bare(F.substring(value, F.lit(1), i)))
+        return F.when(ch.rlike("[0-9A-Za-z]"), F.substring(bare, before + 1, F.lit(1))).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _card(value: Column, key: str) -> Column:
-    body = permute_text(F.substring(value, F.lit(1), F.length(value) - 1), key, "card")
-    check = (10 - _luhn(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))) % 10) % 10
+    digits = _bare(value)
+    body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     return F.concat(body, check.cast("string"))
 
 
 def _iban(value: Column, key: str) -> Column:
-    body = permute_text(F.substring(value, F.lit(5), F.length(value)), key, "iban")
-    country = F.substring(value, 1, 2)
-    check = 98 - _mod97(F.concat(country, F.lit("00"), F.regexp_replace(body, " ", "")))
+    account = _bare(value)
+    body = permute_text(F.substring(account, F.lit(5), F.length(account)), key, "iban")
+    country = F.substring(account, 1, 2)
+    check = 98 - _mod97(F.concat(country, F.lit("00"), body))
     return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
 
 
+def _phone(value: Column, key: str) -> Column:
+    digits = _bare(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, _CALLING, 0)).otherwise("")
+    return F.concat(code, permute_text(F.substring(digits, F.length(code) + 1, F.length(digits)), key, "phone"))
+
+
 def _address(value: Column, key: str) -> Column:
     parts = F.split(value, r"\.")
     number = F.lit(0).cast("long")
@@ -173,24 +204,32 @@ def _address(value: Column, key: str) -> Column:
     return F.concat_ws(".", *[(F.shiftright(moved, 24 - 8 * i) % 256).cast("string") for i in range(4)])
 
 
-def _date(value: Column, layout: str, key: str, late: bool = False) -> Column:
+def _date(value: Column, layout: str, key: str) -> Column:
     """A date from 1900 to 2099 moved to another one; null if it is none.
 
-    ``late``: the day is above the 12th, and stays so (the permutation is repeated until it is).
-    Day-first dates of that kind cannot be month-first ones, so the two never meet.
+    Days up to the 12th of a month are moved among themselves, later ones too (the permutation is
+    repeated until it meets one). Day-first slash dates with a later day cannot be month-first ones,
+    so the two never meet, and a day has the same pseudonym in every layout.
     """
     first = F.expr(f"date'{_FIRST_DAY}'")
-    number = F.datediff(F.try_to_date(value, layout), first).cast("long")
+    day = F.try_to_date(value, layout)
+    number = F.datediff(day, first).cast("long")
 
     def on(number: Column) -> Column:
-        return permute_number(number, _DAYS, key, f"date{int(late)}")
+        return permute_number(number, _DAYS, key, "date1")
 
     def again(number: Column, _: Column) -> Column:
         return F.when(F.dayofmonth(F.date_add(first, number.cast("int"))) > 12, number).otherwise(on(number))
 
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), on(number), again) if late else on(number)
+    late = F.date_add(first, F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), on(number), again).cast("int"))
+    early = permute_number(
+        ((F.year(day) - 1900) * 144 + (F.month(day) - 1) * 12 + F.dayofmonth(day) - 1).cast("long"), _EARLY, key, "date0"
+    )
+    early = F.date_add(
+        F.add_months(first, F.floor(early / 12).cast("int")), (early % 12).cast("int")
+    )
     valid = number.between(0, _DAYS[0] * _DAYS[1] - 1)
-    return F.when(valid, F.date_format(F.date_add(first, moved.cast("int")), layout))
+    return F.when(valid, F.date_format(F.when(F.dayofmonth(day) > 12, late).otherwise(early), layout))
 
 
 def _social(digits: Column, key: str) -> Column:
@@ -240,15 +279,11 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         return value.rlike(f"^(?:{pattern})$")
 
     digits = F.regexp_replace(value, "[^0-9]", "")
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3}[ .-]?(?=[(0-9]))", 1)
-    phone = F.concat(
-        country, permute_text(F.substring(value, F.length(country) + 1, F.length(value)), key, "phone")
-    )
     email = F.concat(
         permute_text(F.regexp_extract(value, r"^(.*)\.[A-Za-z]+$", 1), key, "email"),
         F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1),
     )
-    slashed = F.coalesce(_date(value, "MM/dd/yyyy", key), _date(value, "dd/MM/yyyy", key, late=True))
+    slashed = F.coalesce(_date(value, "MM/dd/yyyy", key), _date(value, "dd/MM/yyyy", key))
     return F.coalesce(
         F.when(F.contains(value, F.lit("@")), email)
         .when(value.rlike("^[0-9a-fA-F]{32,64}$"), permute_text(value, key, "secret", letters=6))
@@ -257,9 +292,9 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(is_(SLASH_DATE), slashed)
         .when(is_(DOT_DATE), _date(value, "dd.MM.yyyy", key))
         .when(is_(SSN), _social(digits, key))
-        .when(is_(CARD), F.when(_luhn(digits) % 10 == 0, _card(value, key)))
-        .when(is_(IBAN), F.when(_mod97(F.regexp_replace(value, " ", "")) == 1, _iban(value, key)))
-        .when(is_(PHONE), phone),
+        .when(is_(CARD), F.when(_luhn(digits) % 10 == 0, _laid_out(_card(value, key), value)))
+        .when(is_(IBAN), F.when(_mod97(_bare(value)) == 1, _laid_out(_iban(value, key), value)))
+        .when(is_(PHONE), _laid_out(_phone(value, key), value)),
         value,
     )
 

@@ -277,6 +277,30 @@ def test_account_numbers_end_where_they_are_valid(spark):
     assert found[2] == f"{account} 2024"
 
 
+def test_layouts_of_a_value_stay_linked(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    phones = ["+10175557713", "+1 (017) 555-7713", "+1-017-555-7713", "(017) 555-7713", "017.555.7713"]
+    late = ["1999-12-25", "12/25/1999", "25/12/1999", "25.12.1999"]
+    early = ["1999-12-05", "12/05/1999", "05.12.1999"]
+    values = cards + accounts + phones + late + early
+    found, counts = masked(spark, values)
+    assert counts == [1] * len(values)
+    for old, new in zip(values, found):
+        assert [ch if not ch.isalnum() else "" for ch in old] == [ch if not ch.isalnum() else "" for ch in new]
+    bare = ["".join(ch for ch in v if ch.isalnum()) for v in found]
+    assert len(set(bare[:3])) == 1 and luhn(bare[0]) and len(set(bare[3:5])) == 1
+    assert {v[-10:] for v in bare[5:10]} == {bare[5][-10:]} and {v[:-10] for v in bare[5:8]} == {"1"}
+
+    def day(text):
+        if "/" in text:
+            a, b, y = text.split("/")
+            return (y, a, b) if int(a) <= 12 else (y, b, a)
+        return tuple(text.split("-")) if "-" in text else tuple(reversed(text.split(".")))
+
+    assert len({day(v) for v in found[10:14]}) == 1 and len({day(v) for v in found[14:]}) == 1
+
+
 def test_masking_keeps_all_else(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     found = pii.mask_text(df)
