@@ -14,8 +14,9 @@ many documents share are common and drop out of the lists of documents that hold
 values. The union sketch of both filters, exact Jaccard on full sets decides. If that leaves the
 members of one leader in one component, no further pair can change the result. Otherwise the
 members in different components are compared on their full sets, block against block, inside
-tasks; only links that join two components come out. So no pair that matters is skipped, and the
-rows between stages stay linear in the documents.
+tasks; only links that join two components come out. So no pair that matters is skipped. The rows
+between stages are linear in the documents, but for a group of M members that stays open: each
+member goes, with its full set, once to every block, M * M / ``BLOCK_ROWS`` rows.
 
 *Hot keys.* A value, leader or component may belong to a third of all classes. What is joined on
 these is grouped first, with partial sums, and written as a table, so that both sides of the join
