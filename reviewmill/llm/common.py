@@ -25,6 +25,8 @@ from reviewmill.session import scratch_dir
 CHUNK_CHARS = 4 << 20
 #: Words that one bucket of an exchange should hold at most.
 BUCKET_WORDS = 2 << 20
+#: Bytes of an Arrow batch that goes to Python: several exist at once on either side.
+BATCH_BYTES = 8 << 20
 
 
 # --- scratch tables and shipped files ----------------------------------------
@@ -54,6 +56,14 @@ def shipped(name: str) -> str:
     return SparkFiles.get(name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session send at most ``BATCH_BYTES`` (or one row) at a time to Python."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
@@ -68,6 +78,7 @@ def add_columns(
     All rows and other columns stay; columns of the input that bear a new name are replaced.
     ``make`` sees texts of about ``size`` bytes at a time (or 256 rows of another type).
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(added)
     taken = {x.lower() for x in new.names}
     rest = df.select(*[x for x in df.columns if x == column or x.lower() not in taken])

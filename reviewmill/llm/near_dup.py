@@ -12,11 +12,18 @@ many documents share are common and drop out of the lists of documents that hold
 
 *Stars instead of pairs.* A list is joined to its leader only, the class with the most shared
 values. The union sketch of both filters, exact Jaccard on full sets decides. If that leaves the
-members of one leader in one component, no further pair can change the result. Otherwise the
-members in different components are compared on their full sets, block against block, inside
-tasks; only links that join two components come out. So no pair that matters is skipped. The rows
-between stages are linear in the documents, but for a group of M members that stays open: each
-member goes, with its full set, once to every block, M * M / ``BLOCK_ROWS`` rows.
+members of one leader in one component, no further pair can change the result.
+
+*Open groups.* The members of the other leaders go through lists and stars once more, now with all
+their shingles, ordered by how many of these members have them. What the members have in common
+(a template) is last in that order, so those with enough text of their own meet in no list. Let m
+of a member's n shingles be shared with any other. Two similar sets have at least 4/9 of the sum of
+their sizes in common, so one of them is *tight*, 9 m >= 8 n. Lists without a tight member are left
+out. In what is open even then, tight members are compared with all members, block against block,
+inside tasks; only links that join two components come out. So no pair that matters is skipped.
+Rows are linear in the shingles but for that last step, where T tight ones among M members make
+2 T M / ``BLOCK_ROWS`` rows; tight members of one template are similar to each other, and so are
+one component already, unless they lack parts of it.
 
 *Hot keys.* A value, leader or component may belong to a third of all classes. What is joined on
 these is grouped first, with partial sums, and written as a table, so that both sides of the join
@@ -25,7 +32,7 @@ are plain exchanges and adaptive execution can split the hot one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,23 +76,44 @@ def _class_key(shingles: np.ndarray) -> bytes | None:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for part in c.text_parts(batch.column(1)) for s in shingle_sets(part)]
+    for batch, sets in _parts(batches):
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
              c.binaries([_class_key(s) for s in sets]),
              pa.array([s[:KEPT] for s in sets], pa.list_(pa.int64()))],
-            names=["id", "n", "cls", "sketch"])
+            names=["id", "tag", "n", "cls", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for part in c.text_parts(batch.column(1)) for s in shingle_sets(part)]
+    for batch, sets in _parts(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), c.binaries([_class_key(s) for s in sets]), c.binaries([s.tobytes() for s in sets])],
             names=["cls", "found", "shingles"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Pieces of the batches with the shingle sets of their texts (second column), one piece alive at a time."""
+    for batch in batches:
+        first = 0
+        for part in c.text_parts(batch.column(1)):
+            yield batch.slice(first, len(part)), shingle_sets(part)
+            first += len(part)
+        pa.default_memory_pool().release_unused()
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of each set."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            sizes = [len(s) for s in sets]
+            of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(of), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))],
+                names=["cls", "n", "value"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Estimate by the union sketch, then exact Jaccard, for each row's two sets."""
     for batch in batches:
@@ -113,9 +141,14 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
 
 
+def _least_common(n: Column) -> Column:
+    """How many shingles any partner shares."""
+    return F.floor((n * 4 + 4) / 5)
+
+
 def _least_shared(n: Column) -> Column:
     """How many retained values any partner shares. Sets of up to 38 are compared whole."""
-    return F.when(n * 5 <= 4 * KEPT, F.floor((n * 4 + 4) / 5)).otherwise(F.lit(LEAST_SHARED))
+    return F.when(n * 5 <= 4 * KEPT, _least_common(n)).otherwise(F.lit(LEAST_SHARED))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,13 +176,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open_pairs(table: pa.Table) -> pa.Table:
-    """Links between components among the members of two blocks (or one) of a leader's group."""
+    """Links between components from a block of tight members to a block of members of a leader's group."""
     cls = table["cls"].to_pylist()
     _, comp = np.unique(np.array([x.hex() for x in table["comp"].to_pylist()]), return_inverse=True)
     sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table["shingles"]]
-    side = table["block"].to_numpy()
-    left = side == table["bi"][0].as_py()
-    right = side == table["bj"][0].as_py()
+    left = table["side"].to_numpy(zero_copy_only=False)
     sizes = np.array([len(s) for s in sets])
     rows = np.repeat(np.arange(len(sets)), sizes)
     every, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -158,7 +189,7 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     rows, column = rows[several], number[column[several]]
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    l, r = np.flatnonzero(left), np.flatnonzero(right)
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
     shared = np.zeros((len(l), len(r)), np.float32)
     width = 4096
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
@@ -187,37 +218,53 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": c.binaries(a), "b": c.binaries(b)})
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(cls, leader): every class with the leader of each list that it is in."""
-    values = classes.select("cls", "n", F.explode("sketch").alias("value"))
+def _candidates(values: DataFrame, least: Callable[[Column], Column], tight: str = "true") -> DataFrame:
+    """(cls, tight, leader): every class with the leader of each list that it is in.
+
+    ``values`` has a row (cls, n, value) per value of a class. ``tight`` is a condition on n and m,
+    the number of its values that other classes have too; a list counts if it holds for a member.
+    """
     often = c.stored(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "often")
     own = (
         values.join(often, "value").groupBy("cls", "n")
         .agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("ranked"))
-        .withColumn("listed", F.col("m") - _least_shared(F.col("n")) + 1).where("listed > 0")
+        .withColumn("listed", F.col("m") - least(F.col("n")) + 1).where("listed > 0")
     )
     lists = c.stored(
-        own.select("cls", "n", "m", F.explode(F.expr("slice(ranked, 1, int(listed))")).alias("at")).select(
-            "cls", "n", "m", F.col("at.value").alias("value")
-        ),
+        own.select(
+            "cls", "n", "m", F.expr(tight).alias("tight"), F.explode(F.expr("slice(ranked, 1, int(listed))")).alias("at")
+        ).select("cls", "n", "m", "tight", F.col("at.value").alias("value")),
         "lists",
     )
     leaders = c.stored(
-        lists.groupBy("value").agg(F.max(F.struct("m", "n", "cls")).alias("top"), F.count("*").alias("members"))
-        .where("members > 1").select("value", F.col("top.cls").alias("leader")),
+        lists.groupBy("value").agg(F.max(F.struct("tight", "m", "n", "cls")).alias("top"), F.count("*").alias("members"))
+        .where("members > 1 and top.tight").select("value", F.col("top.cls").alias("leader")),
         "leaders",
     )
-    return lists.join(leaders, "value").where(F.col("cls") != F.col("leader")).select("cls", "leader").distinct()
+    met = lists.join(leaders, "value").where(F.col("cls") != F.col("leader"))
+    return c.stored(met.select("cls", "tight", "leader").distinct(), "pairs")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the wanted classes, made again from the text of one document of each."""
-    first = wanted.join(classes, "cls").select("cls", F.col("first").alias("id"))
-    texts = docs.join(first, docs["id"].eqNullSafe(first["id"])).select("cls", "text")
+    """(cls, shingles) of the wanted classes, made again from the text of one document of each.
+
+    A document is found by its id and a hash of its text, so that rows which share an id, or have
+    none, do not all meet each other.
+    """
+    first = wanted.join(classes, "cls").select("cls", F.col("first.id").alias("id"), F.col("first.tag").alias("tag"))
+    texts = docs.join(first, (docs["tag"] == first["tag"]) & docs["id"].eqNullSafe(first["id"])).select("cls", "text")
     made = texts.mapInArrow(_full_sets, "cls binary, found binary, shingles binary")
     return made.where(F.col("cls") == F.col("found")).select("cls", "shingles").dropDuplicates(["cls"])
 
 
+def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): classes that are similar to their leader."""
+    right = sets.select(F.col("cls").alias("leader"), F.col("shingles").alias("other"))
+    star = pairs.join(sets, "cls").join(right, "leader").select("cls", "leader", "shingles", "other")
+    star = c.stored(star.mapInArrow(_verify, "cls binary, leader binary, linked boolean"), "star")
+    return star.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of 0.8 or more, transitively.
 
@@ -227,33 +274,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are rows of their own; those with the component's smallest id are all kept. A null id is larger
     than any other and kept only if its component has no other. Other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    c.small_batches(df.sparkSession)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     kind = dict(docs.dtypes)["id"]
-    profile = c.stored(docs.mapInArrow(_profile, f"id {kind}, n bigint, cls binary, sketch array<bigint>"), "profile")
+    profile = c.stored(
+        docs.mapInArrow(_profile, f"id {kind}, tag bigint, n bigint, cls binary, sketch array<bigint>"), "profile"
+    )
     filled = profile.where("n > 0")
+    smallest = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "tag"))
     classes = c.stored(
-        filled.groupBy("cls").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        filled.groupBy("cls").agg(smallest.alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    pairs = c.stored(_candidates(classes), "pairs")
+    pairs = _candidates(classes.select("cls", "n", F.explode("sketch").alias("value")), _least_shared)
     wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
     sets = c.stored(_sets_of(docs, classes, wanted), "sets")
-
-    right = sets.select(F.col("cls").alias("leader"), F.col("shingles").alias("other"))
-    star = pairs.join(sets, "cls").join(right, "leader").select("cls", "leader", "shingles", "other")
-    star = c.stored(star.mapInArrow(_verify, "cls binary, leader binary, linked boolean"), "star")
-    links = star.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-    labels = components(links)
-
-    more = c.stored(_open_links(pairs, sets, labels), "open")
-    labels = _joined(labels, more)
+    labels = _closed(components(_star_links(pairs, sets)), pairs, sets)
 
     named = (
         classes.select("cls", "first").join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
         .withColumn("comp", F.coalesce("comp", "cls"))
     )
-    smallest = c.stored(named.groupBy("comp").agg(F.min("first").alias("component_id")), "smallest")
-    of_class = named.join(smallest, "comp").select("cls", "component_id")
+    least = c.stored(named.groupBy("comp").agg(F.min("first").alias("least")), "smallest")
+    of_class = named.join(least, "comp").select("cls", F.col("least.id").alias("component_id"))
     grouped = filled.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id")
     alone = profile.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return grouped.union(alone).select(
@@ -262,28 +305,56 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _open_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): links that join components among the members of a leader."""
-    members = pairs.union(pairs.select(F.col("leader").alias("cls"), "leader").distinct())
-    named = members.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn(
-        "comp", F.coalesce("comp", "cls")
+def _members(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, cls, tight, comp): the members of each leader, itself among them, with their component."""
+    own = pairs.select(F.col("leader").alias("cls"), F.lit(True).alias("tight"), "leader").distinct()
+    return pairs.select("cls", "tight", "leader").union(own).join(
+        labels.withColumnRenamed("vertex", "cls"), "cls", "left"
+    ).withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _closed(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The labels with the links between components that members of one leader have."""
+    members = _members(pairs, labels)
+    groups = c.stored(
+        members.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .where("low <> high").select("leader"), "open-groups",
     )
-    sized = named.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
+    opened = c.stored(members.join(groups, "leader").select("cls").distinct(), "open")
+    if opened.isEmpty():
+        return labels
+    shingles = opened.join(sets, "cls").select("cls", "shingles").mapInArrow(_each_shingle, "cls binary, n bigint, value bigint")
+    again = _candidates(shingles, _least_common, "9 * m >= 8 * n")
+    labels = _joined(labels, _star_links(again, sets))
+    return _joined(labels, c.stored(_block_links(again, sets, labels), "block-links"))
+
+
+def _block_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): links that join components, between tight and other members of a leader."""
+    members = _members(pairs, labels)
+    sized = members.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("n")), "cls")
+
+    def blocks(which: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(which) / BLOCK_ROWS), F.ceil(F.sum(F.when(which, F.col("n"))) / BLOCK_SHINGLES))
+
     groups = c.stored(
         sized.groupBy("leader").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
-        ).where("low <> high").select("leader", "blocks"),
+            blocks(F.col("tight")).alias("lefts"), blocks(F.lit(True)).alias("rights"),
+        ).where("low <> high").select("leader", "lefts", "rights"),
         "open-groups",
     )
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    spread = named.join(groups, "leader").withColumn("block", block).select(
-        "leader", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    met = spread.select(
-        "leader", "cls", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
-    ).join(sets, "cls")
-    return met.groupBy("leader", "bi", "bj").applyInArrow(_open_pairs, "a binary, b binary")
+    spread = members.join(groups, "leader").withColumn("hash", F.xxhash64("cls"))
+
+    def dealt(rows: DataFrame, own: str, other: str, side: bool) -> DataFrame:
+        return rows.select(
+            "leader", "cls", "comp", F.lit(side).alias("side"), F.pmod("hash", own).cast("long").alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1)).alias(other),
+        )
+
+    left, right = dealt(spread.where("tight"), "lefts", "rights", True), dealt(spread, "rights", "lefts", False)
+    met = left.unionByName(right).join(sets, "cls")
+    return met.groupBy("leader", "lefts", "rights").applyInArrow(_open_pairs, "a binary, b binary")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,10 +364,10 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(own, "a", "left").join(other, "b", "left").select(
         F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")
     )
-    merged = components(between)
+    merged = components(between.where("a <> b"))
     alone = links.select(F.col("a").alias("vertex")).union(links.select("b")).distinct()
     every = labels.union(
         alone.join(labels, "vertex", "left_anti").select("vertex", F.col("vertex").alias("comp"))
     )
     new = merged.select(F.col("vertex").alias("comp"), F.col("comp").alias("top"))
-    return every.join(new, "comp", "left").select("vertex", F.coalesce("top", "comp").alias("comp"))
+    return c.stored(every.join(new, "comp", "left").select("vertex", F.coalesce("top", "comp").alias("comp")), "labels")

@@ -160,6 +160,43 @@ def test_near_duplicates_edges(spark):
     assert found["kept"] and found["component_id"] is None
 
 
+def template_rows(n, shared, own, seed=7):
+    """Texts that have a template in common and lines of their own, none similar to another."""
+    rng = random.Random(seed)
+    common_words = [f"t{i}" for i in range(shared)]
+    return [(i, " ".join(common_words + [f"u{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [30, 60])
+def test_a_template_that_many_share(spark, monkeypatch, own):
+    """Sketches overlap, but no two texts are similar: pairs stay linear."""
+    rows = template_rows(3000, 150, own)
+    similar = [(5000 + i, rows[i][1] + " more") for i in range(5)]
+    compared = []
+    monkeypatch.setattr(near_dup, "_block_links", lambda pairs, sets, labels: compared.append(pairs.count()) or blocks(pairs, sets, labels))
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows + similar)).collect()}
+    assert found == {i: i if i < 5000 else i - 5000 for i, _ in rows + similar}
+    assert compared and sum(compared) < 3 * len(rows)
+
+
+blocks = near_dup._block_links
+
+
+def test_rows_without_an_id_are_found_by_their_text(spark, monkeypatch):
+    """Two thousand different near copies without an id, or with one: texts are joined once each."""
+    base = [f"w{i}" for i in range(200)]
+    joined = []
+    monkeypatch.setattr(near_dup, "_sets_of", lambda *a: joined.append(sets_of(*a).count()) or sets_of(*a))
+    for one in (None, 4):
+        rows = [(one, " ".join(base[: i % 190] + [f"x{i}"] + base[i % 190 + 1 :])) for i in range(2000)]
+        out = near_dup.near_duplicates(docs(spark, rows)).collect()
+        assert len(out) == 2000 and {r["component_id"] for r in out} == {one}
+    assert max(joined) <= 2000
+
+
+sets_of = near_dup._sets_of
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"c", b"b"), (b"d", b"c"), (b"x", b"y"), (b"e", b"d"), (b"f", b"e")]
     df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")
