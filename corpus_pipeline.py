@@ -25,15 +25,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest id, a null id being the largest.
 
-    Rows are told apart by a digest of all columns, so one id on several texts is several documents.
-    Rows with null or blank text are in no group and stay; rows equal in all columns count once.
+    Rows are numbered and stored with their number, so one id on several texts is several documents
+    and rows that are equal are told apart. Rows with null or blank text are in no group and stay.
     """
     row, key = common.free_name(docs, "row"), common.free_name(docs, "key")
-    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    rows = docs.withColumn(row, F.unhex(F.sha2(F.to_json(whole), 256)))
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keyed = rows.withColumn(key, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", F.col(row).alias("row")))
-    kept = near_dup.near_duplicates(keyed, id_col=key).where("kept").select(F.col(key)["row"].alias(row)).distinct()
-    return rows.join(kept, row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    kept = near_dup.near_duplicates(keyed, id_col=key).where("kept").select(F.col(key)["row"].alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
