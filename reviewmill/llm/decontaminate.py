@@ -34,24 +34,32 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """Finds patterns of one length; a pattern is (item number, its last word's position)."""
+    """Finds patterns of one length; a pattern is a distinct window with the numbers of its items."""
 
     def __init__(self, length: int, items: list[list[bytes]], ends: list[tuple[int, int]]):
-        self.length, self.items = length, items
+        self.length = length
         self.block = min(2, length)
         self.shift: dict = {}
         self.buckets: dict = defaultdict(lambda: defaultdict(list))
+        held: dict[tuple[bytes, ...], list[int]] = {}
         for item, end in ends:
             words, begin = items[item], end - length + 1
+            pattern = tuple(words[begin : end + 1])
+            of = held.get(pattern)
+            if of is not None:
+                if of[-1] != item:  # the ends of an item come one after the other
+                    of.append(item)
+                continue
+            held[pattern] = [item]
             for last in range(begin + self.block - 1, end):
                 key = tuple(words[last - self.block + 1 : last + 1])
                 self.shift[key] = min(end - last, self.shift.get(key, length))
             key = tuple(words[end - self.block + 1 : end + 1])
             self.shift[key] = 0
-            self.buckets[key][words[begin]].append((item, end))
+            self.buckets[key][words[begin]].append((pattern, held[pattern]))
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(position of the last word, item) of each occurrence."""
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(position of the last word, items of the window) of each occurrence."""
         length, block, shift, skip = self.length, self.block, self.shift, self.length - self.block + 1
         at, n = length - 1, len(words)
         while at < n:
@@ -61,9 +69,11 @@ class Matcher:
                 at += step
                 continue
             begin = at - length + 1
-            for item, end in self.buckets[key].get(words[begin], ()):
-                if words[begin : at + 1] == self.items[item][end - length + 1 : end + 1]:
-                    yield at, item
+            here = tuple(words[begin : at + 1])
+            for pattern, items in self.buckets[key].get(words[begin], ()):
+                if here == pattern:
+                    yield at, items
+                    break
             at += 1
 
 
@@ -82,9 +92,12 @@ class Searcher:
 
     def mark(self, words: list[bytes], hit: bytearray, items: set) -> None:
         for matcher in self.matchers:
-            for at, item in matcher.search(words):
+            listed = set()  # a window is the same list each time
+            for at, found in matcher.search(words):
                 hit[at - matcher.length + 1 : at + 1] = b"\1" * matcher.length
-                items.add(self.ids[item])
+                if id(found) not in listed:
+                    listed.add(id(found))
+                    items.update(self.ids[item] for item in found)
 
 
 _LAST: dict[str, Searcher] = {}

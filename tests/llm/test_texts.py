@@ -296,6 +296,15 @@ def test_decontaminate_edges(spark):
     assert decontaminate.find_passages(docs(spark, [(1, "b A")]), some).first()["items"] == ["k"]
 
 
+def test_words_that_repeat_are_one_window(spark):
+    """An item and a document of one word 20,000 times."""
+    long = "a " * 20_000
+    df = docs(spark, [(1, long), (2, "b a c"), (3, "a " * 12)])
+    items = spark.createDataFrame([(7, long), (8, "a " * 13), (9, "a " * 13 + "b")], "item_id bigint, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_passages(df, items).collect()}
+    assert found == {1: (20_000, [7, 8, 9]), 2: (0, []), 3: (0, [])}
+
+
 def test_kept_text_digest(spark):
     """The query's digest is that of the kept text."""
     (row,) = substring.remove_repeats(docs(spark, [(1, "é  b")])).select(F.sha2("kept", 256).alias("h")).collect()
