@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm import common as c
@@ -62,6 +62,42 @@ def walk(
     return out
 
 
+def _pieces(narrow: DataFrame, piece_rows: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Rows with their ``piece``, and (cell, piece, rows) in ring order.
+
+    A crowded cell is cut by more bits of the ids' digest, what is crowded even then (one id) by
+    size and crc, and rows that have these in common too by row: it does not matter which is which.
+    """
+    spark = narrow.sparkSession
+    content = ["order", "size", "crc"]
+    keyed = narrow.withColumn("piece", F.lit(0).cast("long"))
+    counts = sorted((r["cell"], 0, r["count"]) for r in narrow.groupBy("cell").count().collect())  # at most CELLS rows
+
+    def cut(table: DataFrame, on: list[str], place: Column) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+        met = keyed.join(F.broadcast(table), on, "left")  # a row per piece_rows rows at most
+        new = met.withColumn("piece", F.col("piece") * (1 << 20) + F.coalesce(place, F.lit(0))).drop("parts", "number")
+        return new, sorted((r["cell"], r["piece"], r["count"]) for r in new.groupBy("cell", "piece").count().collect())
+
+    for place in (
+        F.shiftright(F.shiftright("order", 40) * F.col("parts"), 20),  # the order has 60 bits
+        F.pmod(F.xxhash64(*content), F.col("parts")),
+    ):
+        crowded = [(cell, piece, 4 * -(-n // piece_rows)) for cell, piece, n in counts if n > piece_rows]
+        if not crowded:
+            return keyed, counts
+        keyed, counts = cut(spark.createDataFrame(crowded, "cell int, piece long, parts long"), ["cell", "piece"], place)
+    crowded = [(cell, piece) for cell, piece, n in counts if n > piece_rows]
+    if not crowded:
+        return keyed, counts
+    few = F.broadcast(spark.createDataFrame(crowded, "cell int, piece long"))
+    many = keyed.join(few, ["cell", "piece"]).groupBy("cell", "piece", *content).count().where(F.col("count") > piece_rows)
+    hot = many.select("cell", "piece", *content, F.ceil(F.col("count") / piece_rows).alias("parts")).withColumn(
+        "number", F.expr("sum(parts) over (partition by cell, piece order by `order`, size, crc) - parts")
+    )
+    rows = spark.createDataFrame(hot.collect(), hot.schema)
+    return cut(rows, ["cell", "piece", *content], 1 + F.col("number") + F.pmod(F.xxhash64("row"), F.col("parts")))
+
+
 def assign_shards(
     df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES,
     piece_rows: int = PIECE_ROWS,
@@ -70,8 +106,9 @@ def assign_shards(
 
     Returns id, ``size`` (UTF-8 bytes of the text plus 8, null: 8), ``text_crc32`` (null: of the
     empty text), ``shard`` and ``slot`` (0, 1, ... in each shard). The key is the id; a null id is
-    a key of its own. Rows that share an id share a cell; a crowded cell is cut into pieces, so one
-    id may hold any part of the rows. Equal rows get different slots. An empty table has no rows.
+    a key of its own. Rows that share an id share a cell; a crowded cell is cut into pieces by the id,
+    then by size and crc, so one id may hold any part of the rows and the order of the input does not
+    matter. Equal rows get different slots. An empty table has no rows.
     Only ids decide the ring position, so rows move little when others come or go. Other columns
     are not read.
     """
@@ -89,20 +126,10 @@ def assign_shards(
         ),
         "shard-keys",
     )
-    cells = [(r["cell"], r["count"]) for r in narrow.groupBy("cell").count().collect()]  # at most CELLS rows
-    crowded = [(cell, -(-n // piece_rows)) for cell, n in cells if n > piece_rows]
-    if crowded:
-        cut = spark.createDataFrame(crowded, "cell int, parts int")
-        keyed = narrow.join(F.broadcast(cut), "cell", "left").withColumn(
-            "piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int")
-        )
-        counts = sorted(tuple(r) for r in keyed.groupBy("cell", "piece").count().collect())
-    else:
-        keyed = narrow.withColumn("piece", F.lit(0))
-        counts = sorted((cell, 0, n) for cell, n in cells)
+    keyed, counts = _pieces(narrow, piece_rows)
     # one row per piece and per shard that it fills: at most CELLS + rows / piece_rows + shards
     table = spark.createDataFrame(
-        walk(counts, shards, nodes), "cell int, piece int, first long, `end` long, shard int, slot0 long"
+        walk(counts, shards, nodes), "cell int, piece long, first long, `end` long, shard int, slot0 long"
     )
     rank = F.expr("row_number() over (partition by cell, piece order by `order`, size, crc, row) - 1")
     ranked = keyed.withColumn("rank", rank.cast("long"))
