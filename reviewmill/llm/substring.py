@@ -58,12 +58,14 @@ def remove_repeats(
     Returns id, ``n_words``, ``n_removed``, ``spans`` (first and last word number of each removed
     stretch) and ``kept`` (remaining words, single spaces), one row per input row. A null or empty
     text, and one shorter than a window, loses nothing. Null ids come before all others. Rows that
-    repeat an id are ordered by their text, and the later one counts as later. Other columns of the
-    input are not read.
+    repeat an id are ordered by a hash of their text, and the later one counts as later. Other
+    columns of the input are not read.
     """
     block = window // 2
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = ["id", "hash", "row"]  # the last two split the rows of one id; equal texts are alike
+    keyed = docs.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     chunks = c.chunk_table(ordered, "substring", ["id", "text"])
     buckets = c.bucket_count(chunks)
 
