@@ -237,11 +237,26 @@ def text_parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
 def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
     """Store rows as chunks: (chunk, one list column per column), bucketed by chunk.
 
-    ``columns`` ends with the text column. Chunk numbers follow the order of the partitions and of
-    the rows in them. The stored table fixes which rows make a chunk, so that a task that runs
-    again sees the same ones; later joins on the chunk read their bucket without a shuffle.
+    Later joins on the chunk read their bucket without a shuffle.
     """
     spark = df.sparkSession
+    name = f"llm_{label}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        chunk_rows(df, columns, chars).write.format("parquet").bucketBy(buckets, "chunk")
+        .option("path", scratch_dir(spark, label)).saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def chunk_rows(df: DataFrame, columns: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
+    """Rows as chunks, to be stored: the table fixes which rows make a chunk, so that a task that
+    runs again sees the same ones.
+
+    ``columns`` ends with the text column. Chunk numbers follow the order of the partitions and of
+    the rows in them.
+    """
+    small_batches(df.sparkSession)
     picked = df.select(*columns)
     types = {"bigint": pa.int64(), "string": pa.large_string(), "boolean": pa.bool_(), "int": pa.int32()}
     fields = [(c, types[t]) for c, t in picked.dtypes]
@@ -287,13 +302,7 @@ def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int = CHUN
         if held:
             yield out()
 
-    name = f"llm_{label}_{uuid.uuid4().hex[:12]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        picked.mapInArrow(pack, schema).write.format("parquet").bucketBy(buckets, "chunk")
-        .option("path", scratch_dir(spark, label)).saveAsTable(name)
-    )
-    return spark.table(name)
+    return picked.mapInArrow(pack, schema)
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.llm import (
-    ann, bpe, common, decontaminate, lm, near_dup, pii, sharding, substring, token_counts, toxicity,
+    ann, bpe, common, decontaminate, lm, near_dup, phrases, pii, resample, sharding, substring, token_counts,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +235,62 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# --- 12: importance resampling -----------------------------------------------
+
+#: The bytes of a text, and crc32 by its table.
+_BYTES = "list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT)"
+_CRC = f"""xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}),
+      lambda acc, byte: xor(acc >> 8, tab[(xor(acc, byte) & 255) + 1])), 4294967295)"""
+
+
+@query(rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda acc, step: xor(acc >> 1, (acc & 1) * 3988292384))) AS tab),
+w AS (SELECT 'd' AS side, doc_id, regexp_extract_all({FOLDED}, '{_PLAIN}') AS w FROM documents
+  UNION ALL SELECT 't', NULL, regexp_extract_all({FOLDED}, '{_PLAIN}') FROM benchmark),
+x AS (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+k AS (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT f FROM x) CROSS JOIN crc),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM x JOIN k USING (f) GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0)::BIGINT AS S_, coalesce(sum(t), 0)::BIGINT AS T_ FROM n),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (S_ + 10000))::DOUBLE / ((s + 1) * (T_ + 10000))::DOUBLE)) AS gain FROM n CROSS JOIN z),
+m AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM x JOIN k USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS words, ('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM w WHERE side = 'd'),
+o AS (SELECT doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS every FROM o WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * every // 100 THEN place END AS rank
+FROM o LEFT JOIN r USING (doc_id)""")
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.draw(docs, table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# --- 13: phrases -------------------------------------------------------------
+
+
+@query(rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+  regexp_extract_all(unnest(string_split_regex({FOLDED}, '[.,;:!?
+-]')), '[^ 	]+') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+o AS (SELECT lang, size, unnest(list_transform(range(1, greatest(1, len(w) - size + 2)), lambda i: w[i:i + size - 1])) AS words
+  FROM p CROSS JOIN (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, size, words, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, size, words, a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (SELECT c.lang, c.words, c.size, c.a, k, l.a AS l, r.a AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN f r ON r.lang = c.lang AND r.words = c.words[k + 1:]
+  JOIN n ON n.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS best FROM s),
+i AS (SELECT lang, a, words[j:j + m - 1] AS words FROM
+  (SELECT lang, size, words, a, unnest(range(2, size)) AS m FROM f WHERE size > 2) x, LATERAL (SELECT unnest(range(1, x.size - x.m + 2)) AS j)),
+u AS (SELECT lang, words, max(a) AS whole FROM i GROUP BY lang, words),
+t AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN u USING (lang, words)
+  WHERE best = 1 AND NOT coalesce(100 * whole >= 100 * a, false)),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t)
+SELECT * FROM q WHERE rank <= 2000""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
