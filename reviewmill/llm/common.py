@@ -234,7 +234,7 @@ def text_parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
 # --- chunks and packed exchanges ---------------------------------------------
 
 
-def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
+def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int | None = None) -> DataFrame:
     """Store rows as chunks: (chunk, one list column per column), bucketed by chunk.
 
     Later joins on the chunk read their bucket without a shuffle.
@@ -249,7 +249,7 @@ def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int = CHUN
     return spark.table(name)
 
 
-def chunk_rows(df: DataFrame, columns: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
+def chunk_rows(df: DataFrame, columns: list[str], chars: int | None = None) -> DataFrame:
     """Rows as chunks, to be stored: the table fixes which rows make a chunk, so that a task that
     runs again sees the same ones.
 
@@ -257,6 +257,7 @@ def chunk_rows(df: DataFrame, columns: list[str], chars: int = CHUNK_CHARS) -> D
     the rows in them.
     """
     small_batches(df.sparkSession)
+    chars = chars or CHUNK_CHARS
     picked = df.select(*columns)
     types = {"bigint": pa.int64(), "string": pa.large_string(), "boolean": pa.bool_(), "int": pa.int32()}
     fields = [(c, types[t]) for c, t in picked.dtypes]

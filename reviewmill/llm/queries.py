@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm import (
     ann, bpe, common, decontaminate, lm, near_dup, phrases, pii, resample, sharding, substring, token_counts,
-    toxicity,
+    toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+# --- 11: WARC ----------------------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, octet_length(encode(body)) AS size, sha1(body) AS hex FROM p),
+d AS (SELECT page_id, body, size, list_transform(range(4), lambda g: ('0x' || substr(hex, 10 * g + 1, 10))::BIGINT) AS v FROM h),
+f AS (SELECT page_id, size, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS digest,
+  min(page_id) OVER (PARTITION BY body) AS first FROM d)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 # --- 12: importance resampling -----------------------------------------------
 
 #: The bytes of a text, and crc32 by its table.
@@ -275,7 +293,8 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
   regexp_extract_all(unnest(string_split_regex({FOLDED}, '[.,;:!?
--]')), '[^ 	]+') AS w FROM documents),
+-
+]')), '[^ 	]+') AS w FROM documents),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 o AS (SELECT lang, size, unnest(list_transform(range(1, greatest(1, len(w) - size + 2)), lambda i: w[i:i + size - 1])) AS words
   FROM p CROSS JOIN (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size),
