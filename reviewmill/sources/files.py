@@ -24,6 +24,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from reviewmill.fixed import HEADER_SYNONYMS, STANDARD_COLUMNS
 from reviewmill.functions.numbers import coerce_numeric
 from reviewmill.functions.text import null_literals
+from reviewmill.session import scratch_dir
+from reviewmill.sizes import broadcast_if_small
 from reviewmill.sources.headers import (
     choose_delimiter,
     map_columns,
@@ -32,6 +34,7 @@ from reviewmill.sources.headers import (
     sniff_delimiter,
     split_header,
 )
+from reviewmill.sources.records import PIECES, RECORD, SPLIT, TAIL, UNKNOWN, split_records
 
 SUFFIXES = (".csv", ".txt")
 POSITION_BITS = 43
@@ -167,11 +170,6 @@ def schema_audit(spark: SparkSession, sources: Sequence[ReviewSource]) -> DataFr
     return audit.orderBy("source_file", "unified_col")
 
 
-def needs_multiline(spark: SparkSession, paths: Sequence[str], delimiter: str = ",") -> bool:
-    """True if some line leaves a quoted cell open, read as the first line of a record."""
-    return not spark.read.text(list(paths)).filter(leaves_open(F.col("value"), delimiter, False)).isEmpty()
-
-
 def leaves_open(line: Column, delimiter: str, inside: bool) -> Column:
     """Whether a quoted cell is open after the line, which starts a record or ``inside`` such a cell.
 
@@ -195,12 +193,10 @@ def read_delimited(
     """All cells as text, plus ``_path`` and ``_position``.
 
     ``multi_line``: True reads each file in one task; False splits files and ends a record at
-    every line break; 'stitch' splits files and keeps quoted line breaks (see ``read_stitched``);
-    'auto' looks for quoted line breaks and stitches where there are any.
+    every line break; 'stitch' and 'auto' split files and keep quoted line breaks (see
+    ``read_stitched``).
     """
-    if multi_line == "auto":
-        multi_line = "stitch" if needs_multiline(spark, paths, delimiter) else False
-    if multi_line == "stitch":
+    if multi_line in ("auto", "stitch"):
         return read_stitched(spark, paths, headers, delimiter)
     schema = StructType([StructField(h, StringType()) for h in headers])
     rows = (
@@ -219,63 +215,66 @@ def read_delimited(
 def read_stitched(
     spark: SparkSession, paths: Sequence[str], headers: Sequence[str], delimiter: str = ","
 ) -> DataFrame:
-    """Splittable scan of files whose quoted cells hold line breaks.
+    """Splittable scan, in one pass, of files whose quoted cells may hold line breaks.
 
-    A line opens a record if no quoted cell is open before it. Each line is a function of that
-    state, so within a block the state is known up to what the blocks before contribute; that
-    comes from a table with one row per block, which keeps the last opening line for either
-    state. A record is named by the place of its opening line, and only lines of one record meet
-    in a group.
+    A line opens a record if no quoted cell is open before it. A task reads its split from both
+    possible states until a line leaves the same state after either; from there on records are
+    known and complete (see ``reviewmill.sources.records``). They are stored as they are met; one
+    row per split then decides the state of the lines before, which are records of one line as a
+    rule, and only the lines of a record that crosses that point or the end of a split are grouped.
     """
     value = F.col("value")
+    plain = ~F.contains(value, F.lit('"'))  # keeps whatever state it meets
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        _position().alias("_at"),
-        value.alias("_line"),
-        leaves_open(value, delimiter, False).alias("_from_closed"),
-        leaves_open(value, delimiter, True).alias("_from_open"),
-        (F.trim("value") != "").cast("int").alias("_written"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        _position().alias("at"),
+        value.alias("line"),
+        F.when(plain, False).otherwise(leaves_open(value, delimiter, False)).alias("from_closed"),
+        F.when(plain, True).otherwise(leaves_open(value, delimiter, True)).alias("from_open"),
     )
-    in_block = Window.partitionBy("_path", "_block").orderBy("_at")
-    up_to = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    head = (F.col("_block") == 0) & (F.col("_written") == 1) & (F.sum("_written").over(up_to) == 1)
-    local = _with_states(lines, in_block).withColumn("_head", head)
-
-    def after(before: Column) -> Column:
-        return F.when(before, F.col("_from_open")).otherwise(F.col("_from_closed"))
-
-    blocks = local.groupBy("_path", "_block").agg(
-        F.max_by(after(F.col("_open")), "_at").alias("_from_closed"),
-        F.max_by(after(F.col("_open_else")), "_at").alias("_from_open"),
-        F.max(F.when(~F.col("_open"), F.col("_at"))).alias("_last_if_closed"),
-        F.max(F.when(~F.col("_open_else"), F.col("_at"))).alias("_last_if_open"),
-    )
-    in_file = Window.partitionBy("_path").orderBy("_block")
-    blocks = _with_states(blocks, in_file).withColumn(
-        "_last", F.when(F.col("_open"), F.col("_last_if_open")).otherwise(F.col("_last_if_closed"))
+    kept = scratch_dir(spark, "records")
+    lines.mapInArrow(split_records, PIECES).write.partitionBy("kind").parquet(kept)
+    pieces = spark.read.schema(PIECES).parquet(kept)
+    records = pieces.where(F.col("kind") == RECORD).select("path", F.col("at").alias("record"), "line", "head")
+    kinds = {r["kind"] for r in pieces.select("kind").distinct().collect()}
+    if kinds & {UNKNOWN, TAIL}:
+        records = records.unionByName(_crossing(pieces))
+    schema = ", ".join(f"c{i} string" for i in range(len(headers)))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
+    record = F.rtrim(F.col("line"), F.lit("\r"))
+    cells = records.filter(~F.col("head") & (F.trim(record) != "")).select(
+        F.from_csv(record, F.lit(schema), options).alias("_cells"), "path", "record"
     )
-    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(
-        "_path", "_block", F.col("_open").alias("_late"), F.max("_last").over(earlier).alias("_carried")
+    return cells.select("_cells.*", "path", "record").toDF(*headers, "_path", "_position")
+
+
+def _crossing(pieces: DataFrame) -> DataFrame:
+    """Records that begin or end where the state of a split was not known: (path, record, line, head)."""
+    in_file = Window.partitionBy("path").orderBy("block")
+    splits = pieces.where(F.col("kind") == SPLIT).select(
+        "path", "block", F.col("from_closed").alias("_from_closed"), F.col("from_open").alias("_from_open"),
+        F.col("last_if_closed"), F.col("last_if_open"),
     )
-    opening = F.when(~F.when(F.col("_late"), F.col("_open_else")).otherwise(F.col("_open")), F.col("_at"))
-    placed = local.join(carried, ["_path", "_block"]).withColumn(
-        "_record", F.coalesce(F.max(opening).over(up_to), F.col("_carried"))
+    last = F.when(F.col("_open"), F.col("last_if_open")).otherwise(F.col("last_if_closed"))
+    states = _with_states(splits, in_file).withColumn("_last", last).select(
+        "path", "block", F.col("_open").cast("int").alias("state"),
+        F.max("_last").over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
     )
-    parts = F.array_sort(F.collect_list(F.struct("_at", "_line")))
-    records = placed.groupBy("_path", "_record").agg(
-        F.array_join(F.transform(parts, lambda part: part["_line"]), "\n").alias("_text"),
-        F.max("_head").alias("_head"),
+    # one row per split that has lines of an unknown state
+    unknown = pieces.where(F.col("kind") == UNKNOWN)
+    met = unknown.join(broadcast_if_small(states), ["path", "block"])
+    opening = F.when(F.col("state") == 0, F.col("last_if_closed")).otherwise(F.col("last_if_open"))
+    placed = met.select(
+        "path", F.coalesce(opening, "carried").alias("record"), "at", "line", "head",
+        ((F.col("parity") == F.col("state")) & ~F.col("from_closed")).alias("whole"),
     )
-    schema = ", ".join(f"c{i} string" for i in range(len(headers)))
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
-    record = F.rtrim(F.col("_text"), F.lit("\r"))
-    cells = records.filter(~F.col("_head") & (F.trim(record) != "")).select(
-        F.from_csv(record, F.lit(schema), options).alias("_cells"), "_path", "_record"
+    tails = pieces.where(F.col("kind") == TAIL).select("path", F.col("record"), "at", "line", "head")
+    parts = F.array_sort(F.collect_list(F.struct("at", "line")))
+    crossing = placed.where("not whole").drop("whole").unionByName(tails).groupBy("path", "record").agg(
+        F.array_join(F.transform(parts, lambda part: part["line"]), "\n").alias("line"), F.max("head").alias("head"),
     )
-    placed = cells.select("_cells.*", "_path", F.col("_record").alias("_position"))
-    return placed.toDF(*headers, "_path", "_position")
+    return placed.where("whole").select("path", "record", "line", "head").unionByName(crossing)
 
 
 def _with_states(rows: DataFrame, order: WindowSpec) -> DataFrame:
@@ -334,9 +333,8 @@ def scan_reviews(
     # pushed down, that predicate would parse every column a second time.
     hold = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
     parts = []
-    for group in by_layout(sources):
+    for group, rows in _scan_layouts(spark, sources, multi_line):
         mapping = group[0].mapping
-        rows = _scan_layout(spark, group, multi_line)
         cells = {t: null_literals(F.col(f"`{h}`")) for t, h in mapping.items()}
         present = F.lit(False)
         for cell in cells.values():
@@ -357,8 +355,7 @@ def scan_raw(
 ) -> list[DataFrame]:
     """One frame per header layout, under the headers as written, with ``source_file``."""
     frames = []
-    for group in by_layout(sources):
-        rows = _scan_layout(spark, group, multi_line)
+    for group, rows in _scan_layouts(spark, sources, multi_line):
         named = [
             null_literals(F.col(f"`{h}`")).alias(raw)
             for h, raw in zip(group[0].headers, group[0].raw_headers)
@@ -367,6 +364,15 @@ def scan_raw(
     return frames
 
 
+def _scan_layouts(
+    spark: SparkSession, sources: Sequence[ReviewSource], multi_line: bool | str
+) -> list[tuple[list[ReviewSource], DataFrame]]:
+    """The sources and rows of each layout; stitched ones are read side by side."""
+    groups = by_layout(sources)
+    with ThreadPoolExecutor(8) as pool:
+        return list(zip(groups, pool.map(lambda group: _scan_layout(spark, group, multi_line), groups)))
+
+
 def _scan_layout(
     spark: SparkSession, group: list[ReviewSource], multi_line: bool | str
 ) -> DataFrame:
@@ -384,7 +390,7 @@ def _scan_layout(
         )
     else:
         # The scan reports paths percent-encoded.
-        encoded = {_bare(unquote(p)): _bare(p) for p in rows.inputFiles()}
+        encoded = {_bare(unquote(p)): _bare(p) for p in spark.read.text(paths).inputFiles()}
         listed = [
             (encoded.get(_bare(p), _bare(p)), s.first_rank + i, s.name)
             for s in group

@@ -154,12 +154,39 @@ def test_stitch_reads_stray_quotes_like_the_plain_reader(spark, folder, delimite
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert files.needs_multiline(spark, paths, delimiter)
 
 
-def test_stray_quotes_alone_need_no_stitching(spark, folder):
+def test_only_lines_that_cross_a_split_are_grouped(spark, folder):
+    """One scan of the text; records are not shuffled, but for those that meet a split's first lines or end."""
+    lines = ["id,comments"] + [f'{i},"a\nb {i}"' if i % 3 else f"{i},plain" for i in range(3000)]
+    path = put(folder, "a.csv", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = files.read_delimited(spark, [path], ["id", "comments"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(int(r["id"]) for r in rows.collect()) == list(range(3000))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in [x.strip() for x in plan.split()]
+    grouped = []
+
+    def count(node):
+        if node.nodeName() == "Aggregate":
+            frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(rows._jdf.sparkSession(), node.children().head())
+            grouped.append(frame.count())
+        children = node.children()
+        for i in range(children.size()):
+            count(children.apply(i))
+
+    count(rows._jdf.queryExecution().analyzed())
+    pieces = len(open(path).read()) // 4000
+    assert 0 < max(grouped) < 5 * pieces
+
+
+def test_stray_quotes(spark, folder):
     path = put(folder, "a.csv", 'id,comments\n1,5" pipe\n2,"said ""so"""\n3,x"\n')
-    assert not files.needs_multiline(spark, [path])
     assert [r["comments"] for r in files.scan_csv(spark, path).collect()] == ['5" pipe', 'said "so"', 'x"']
 
 
