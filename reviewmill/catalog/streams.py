@@ -57,7 +57,7 @@ def stream_intake(spark, sf):
 def stream_dedup(spark, sf):
     """One row per text is left over all micro-batches of the source."""
     out = scratch_dir(spark, "dedup")
-    intake.stream_dedup(stream(spark, sf), out, scratch_dir(spark, "keys"), scratch_dir(spark, "dedup-log"))
+    intake.stream_dedup(stream(spark, sf), out, scratch_dir(spark, "dedup-log"))
     return spark.read.parquet(out).select("review_text")
 
 
@@ -85,7 +85,8 @@ def stream_upsert(spark, sf):
     folder = os.path.join(scratch_dir(spark, "parts"), SOURCE)
     rows = raw(spark, sf).withColumn("review_id", F.expr(_ID))
     for i in range(4):
-        part = rows.filter(F.col("ord") % 4 == i).repartition(1).sortWithinPartitions("ord")
+        # a micro-batch takes one file of any size here; the table does not depend on which files are met together
+        part = rows.filter(F.col("ord") % 4 == i).repartitionByRange("ord").sortWithinPartitions("ord")
         named = part.select(*[F.col(c).cast("string").alias(h) for c, h in zip(COLUMNS, HEADERS)])
         write_one(named, folder, mode="append")
     table = VectorTable(spark, scratch_dir(spark, "vectors"), dim=DIM)
@@ -102,12 +103,6 @@ def stream_upsert(spark, sf):
 def stream_counts(spark, sf):
     """Counters of all micro-batches, beside the rows the sink holds."""
     out = os.path.join(scratch_dir(spark, "counted"), "rows")
-    totals = intake.stream_counts(stream(spark, sf), out, scratch_dir(spark, "count-log"))
-    stored = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n_rows"))
-    return stored.select(
-        "n_rows",
-        F.lit(totals["with_text"]).cast("long").alias("with_text"),
-        F.lit(totals["rated"]).cast("long").alias("rated"),
-    )
-
-
+    totals = intake.stream_counts(stream(spark, sf), out, scratch_dir(spark, "counts"), scratch_dir(spark, "count-log"))
+    stored = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n_rows"))  # one row, as the totals
+    return stored.join(totals.withColumnRenamed("rows", "n_rows"), "n_rows")

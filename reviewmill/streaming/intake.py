@@ -6,12 +6,14 @@ again after a failure leaves the same rows.
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reviewmill.fixed import HEADER_SYNONYMS
 from reviewmill.functions.numbers import coerce_numeric, rating_1_5, scale_from_max
@@ -27,6 +29,10 @@ from reviewmill.sources.headers import map_columns
 
 # Where a streamed row came from; used for its order inside a micro-batch.
 PLACE = ["_path", "_block"]
+# Texts that a task remembers, to leave out repeats before the shuffle.
+MET_TEXTS = 1_000_000
+# State that does not have to fit into the executors' memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_reviews(
@@ -78,7 +84,7 @@ def with_batch_order(batch: DataFrame) -> DataFrame:
     return ranked.select(*[c for c in batch.columns if c not in PLACE], order)
 
 
-def _run(stream: DataFrame, checkpoint: str, each) -> None:
+def _run(stream: DataFrame, checkpoint: str, each) -> list[dict]:
     query = (
         stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
@@ -86,20 +92,13 @@ def _run(stream: DataFrame, checkpoint: str, each) -> None:
         .start()
     )
     query.awaitTermination()
+    return query.recentProgress
 
 
 def _overwrite(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
 
 
-def _seen(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
-    """Rows written by earlier micro-batches; the first batch has number 0."""
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema + ", batch long").parquet(path)
-    return rows.filter(F.col("batch") < before).drop("batch")
-
-
 def stream_intake(stream: DataFrame, out: str, checkpoint: str, **coercion) -> None:
     """Typed rows appended as files arrive. Ratings are scaled when read (``read_scaled``)."""
     typed = coerce_types(stream.drop(*PLACE), **coercion)
@@ -113,30 +112,65 @@ def stream_intake(stream: DataFrame, out: str, checkpoint: str, **coercion) -> N
     query.awaitTermination()
 
 
-def stream_dedup(stream: DataFrame, out: str, keys_out: str, checkpoint: str) -> None:
-    """Keep-first by text across micro-batches.
+def stream_dedup(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
+    """Keep-first by text across micro-batches; returns what the batches report of their progress.
 
-    Each batch finds its own first rows, then drops keys that earlier batches wrote. The key
-    table holds a digest per text, not the text.
+    Which texts have been seen is kept in the query's state store, a flag per source and digest,
+    so a batch looks up its own texts and reads nothing that earlier ones wrote. A task leaves out
+    the texts that it has met already, so a text that many rows share is one row per task in the
+    shuffle. Of the rows of a batch the first counts: file by path, then position.
     """
-    key_schema = "source_file string, text_key binary, ord long"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = with_batch_order(batch)
-        typed = coerce_types(rows).withColumn("text_key", digest(F.col(TEXT_KEY[0])))
-        firsts = typed.groupBy("source_file", "text_key").agg(F.min("ord").alias("ord"))
-        seen = _seen(batch.sparkSession, keys_out, batch_id, key_schema)
-        fresh = firsts.alias("f").join(
-            seen.alias("s"),
-            (F.col("f.source_file") == F.col("s.source_file"))
-            & F.col("f.text_key").eqNullSafe(F.col("s.text_key")),
-            "left_anti",
+    typed = coerce_types(stream).withColumn("text_key", digest(F.col(TEXT_KEY[0])))
+    placed = StructType([*typed.schema.fields, StructField("_position", LongType())])
+    kept = StructType([f for f in typed.schema.fields if f.name not in PLACE])
+    firsts = typed.mapInArrow(_first_of_task, placed).groupBy("source_file", "text_key").applyInPandasWithState(
+        _first_unseen(kept.names), kept, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKS)
+    try:
+        return _run(firsts.drop("text_key"), checkpoint, lambda batch, batch_id: _overwrite(batch, out, batch_id))
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
+def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their position in the file, without texts that the task has met in the same source."""
+    met: set[tuple] = set()
+    at, file = 0, None
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in ("source_file", "text_key", "_path", "_block")]
+        keep, positions = [], []
+        for i, (source, key, path, block) in enumerate(zip(*columns)):
+            at = 0 if (path, block) != file else at + 1
+            file = (path, block)
+            if (source, key) not in met:
+                if len(met) < MET_TEXTS:  # beyond, rows go on to the state, which decides anyway
+                    met.add((source, key))
+                keep.append(i)
+                positions.append(block + at)
+        yield pa.RecordBatch.from_arrays(
+            [*(column.take(pa.array(keep, pa.int64())) for column in batch.columns), pa.array(positions, pa.int64())],
+            [*batch.schema.names, "_position"],
         )
-        _overwrite(fresh, keys_out, batch_id)
-        stored = batch.sparkSession.read.parquet(f"{keys_out}/batch={batch_id:010d}")
-        _overwrite(typed.join(stored.select("ord"), "ord", "left_semi"), out, batch_id)
 
-    _run(stream, checkpoint, each)
+
+def _first_unseen(columns: list[str]):
+    """The first row of a text that no batch has had before, for ``applyInPandasWithState``."""
+
+    def first(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        state.update((True,))
+        best = None
+        for frame in frames:
+            head = frame.sort_values(["_path", "_position"]).head(1)
+            best = head if best is None else pd.concat([best, head]).sort_values(["_path", "_position"]).head(1)
+        yield best[columns]
+
+    return first
 
 
 def stream_scale(stream: DataFrame, out: str, maxima_out: str, checkpoint: str) -> None:
@@ -188,51 +222,28 @@ def stream_upsert(
     _run(stream, checkpoint, each)
 
 
-class IntakeCounts(StreamingQueryListener):
-    """Sums the observed counters of all micro-batches."""
-
-    def __init__(self, name: str = "intake"):
-        self.name = name
-        self.totals: dict[str, int] = {}
-        self.done = threading.Event()
-
-    def onQueryStarted(self, event) -> None:
-        pass
+def stream_counts(stream: DataFrame, out: str, counts_out: str, checkpoint: str) -> DataFrame:
+    """Writes the stream and returns its counters: rows seen, with text, and with a rating that parses.
 
-    def onQueryProgress(self, event) -> None:
-        observed = event.progress.observedMetrics.get(self.name)
-        if observed is not None:
-            for key, value in observed.asDict().items():
-                self.totals[key] = self.totals.get(key, 0) + int(value or 0)
+    A batch counts its rows while it writes them and stores the counters under its number, so that
+    neither another stream nor a batch that runs again changes the totals.
+    """
 
-    def onQueryIdle(self, event) -> None:
-        pass
+    def each(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        counted = batch.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.count("review_text").alias("with_text"),
+            F.count(coerce_numeric(F.col("rating_raw"))).alias("rated"),
+        )
+        _overwrite(counted.drop(*PLACE), out, batch_id)
+        row = batch.sparkSession.createDataFrame([seen.get], COUNTERS)
+        _overwrite(row, counts_out, batch_id)
 
-    def onQueryTerminated(self, event) -> None:
-        self.done.set()
+    _run(stream, checkpoint, each)
+    stored = stream.sparkSession.read.schema(COUNTERS).parquet(counts_out)
+    return stored.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "with_text", "rated")])
 
 
-def stream_counts(stream: DataFrame, out: str, checkpoint: str) -> dict[str, int]:
-    """Writes the stream and returns rows seen, with text, and with a rating that parses."""
-    counted = stream.observe(
-        "intake",
-        F.count(F.lit(1)).alias("rows"),
-        F.count("review_text").alias("with_text"),
-        F.count(coerce_numeric(F.col("rating_raw"))).alias("rated"),
-    )
-    spark = stream.sparkSession
-    listener = IntakeCounts()
-    spark.streams.addListener(listener)
-    try:
-        query = (
-            counted.drop(*PLACE).writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-        listener.done.wait()  # the last counters arrive before the end does
-    finally:
-        spark.streams.removeListener(listener)
-    return listener.totals
+COUNTERS = "rows bigint, with_text bigint, rated bigint"
