@@ -151,6 +151,21 @@ def skip_unreadable(spark, sf):
     return files.file_report(spark, files.resolve_sources(spark, listed)).select("source_file", "status")
 
 
+@query(
+    "refused_files",
+    from_raw("SELECT DISTINCT replace(source_file, '.csv', CASE WHEN " + _GROUP + " = 2 THEN '.txt' ELSE '.csv' END) "
+             "AS source, 'taken' AS status, false AS has_reason FROM raw UNION ALL SELECT r_name || '.json', 'refused', true FROM region"),
+)
+def refused_files(spark, sf):
+    """Files of another type lie beside the reviews; each has its status."""
+    root = stage_reviews(spark, sf)
+    other = fixture.table(spark, sf, "region").withColumn("source", F.concat("r_name", F.lit(".json")))
+    other.write.mode("append").partitionBy("source").json(root)
+    found = files.file_statuses(spark, root)
+    source = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    return found.select(F.url_decode(source).alias("source"), "status", F.col("error").isNotNull().alias("has_reason")).distinct()
+
+
 _SCANNED = from_raw(
     """SELECT replace(source_file, '.csv', CASE WHEN """ + _GROUP + """ = 2 THEN '.txt' ELSE '.csv' END) AS source_file,
       review_id, customer_name, review_date, rating_raw, review_text, location, restaurant_name,

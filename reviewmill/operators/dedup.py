@@ -92,37 +92,26 @@ def dedup_reviews(df: DataFrame, order: str = "ord", **options) -> DataFrame:
 
 
 def dedup_counts(
-    df: DataFrame, mapped: Sequence[str], order: str = "ord", null_text: str = "collapse"
+    df: DataFrame, mapped: Sequence[str], null_text: str = "collapse"
 ) -> DataFrame:
     """Rows per source before, after each step, and dropped in all.
 
-    Empty rows get no ordinal instead of a filter: a predicate over every column would be
-    copied below each join.
+    One narrow grouping tells how many rows a text has (or a missing text's other key columns, where
+    missing texts are kept); each group leaves one row, and the groups are summed per source.
     """
     present = F.lit(False)
     for column in mapped:
         present = present | F.col(column).isNotNull()
-    marked = df.withColumn(order, F.when(present, F.col(order)))
-
-    def step(name: str, frame: DataFrame, *, rows) -> DataFrame:
-        counts = frame.groupBy("source_file").agg(rows.alias("n"))
-        return counts.withColumn("step", F.lit(name))
-
-    kept = F.count(order)
-    steps = {
-        "rows_before": step("rows_before", marked, rows=F.count(F.lit(1))),
-        "rows_nonempty": step("rows_nonempty", marked, rows=kept),
-        "rows_text": step(
-            "rows_text", first_ordinals(marked, TEXT_KEY, order, null_text=null_text), rows=kept
-        ),
-        "rows_key": step(
-            "rows_key", surviving_ordinals(marked, order, null_text=null_text), rows=kept
-        ),
-    }
-    tagged = None
-    for counts in steps.values():
-        tagged = counts if tagged is None else tagged.unionByName(counts)
-    wide = tagged.groupBy("source_file").agg(
-        *[F.coalesce(F.max(F.when(F.col("step") == s, F.col("n"))), F.lit(0)).alias(s) for s in steps]
+    missing = F.col("review_text").isNull()
+    keys = [digest(F.col("review_text")).alias("k0")]
+    if null_text != "collapse":
+        others = [c for c in COMPOSITE_KEY if c != "review_text" and c in df.columns]
+        keys += [F.when(missing, F.col(c)).alias(f"k{i}") for i, c in enumerate(others, 1)]
+    groups = df.groupBy("source_file", *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(present).alias("filled"))
+    left = F.count_if(F.col("filled") > 0)
+    lone = F.sum(F.when(F.col("k0").isNull(), F.col("filled") - (F.col("filled") > 0).cast("long")).otherwise(0))
+    counts = groups.groupBy("source_file").agg(
+        F.sum("n").alias("rows_before"), F.sum("filled").alias("rows_nonempty"),
+        (left if null_text == "collapse" else left + lone).alias("rows_text"), left.alias("rows_key"),
     )
-    return wide.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_key"))
+    return counts.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_key"))

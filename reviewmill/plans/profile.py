@@ -28,7 +28,7 @@ def describe(
     A frame of at most ``sortable`` rows takes one pass with ``percentile``; a larger one takes
     its quartiles from ``exact_quantiles``, which never gathers a column in one task.
     """
-    small = df.limit(sortable + 1).count() <= sortable
+    small = df.count() <= sortable
 
     def facts(column: str):
         c = F.col(column).cast("double")
@@ -135,7 +135,7 @@ def sum_flags(df: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int = 5, seed: int = 42, key: str = "ord") -> DataFrame:
     """A repeatable sample: the rows with the smallest seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def preview_rows(df: DataFrame, n: int = 6, order: str = "ord") -> DataFrame:

@@ -82,6 +82,16 @@ def discover_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _review_paths(spark, folder)], "path string")
 
 
+def file_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file below a folder and whether it is taken: those of other types are refused, with the reason."""
+    paths = spark.createDataFrame([(p,) for p in list_files(spark, folder)], "path string")
+    taken = F.lit(False)
+    for suffix in SUFFIXES:
+        taken = taken | F.lower("path").endswith(suffix)
+    reason = F.concat(F.lit("unsupported file type: "), F.element_at(F.split("path", "/"), -1))
+    return paths.select("path", F.when(taken, "taken").otherwise("refused").alias("status"), F.when(~taken, reason).alias("error"))
+
+
 def _review_paths(spark: SparkSession, folder: str) -> list[str]:
     found = [p for p in list_files(spark, folder) if p.endswith(SUFFIXES)]
     if not found:

@@ -85,3 +85,27 @@ def test_conflicts(spark):
         "review_id string, customer_name string")
     assert [r["review_id"] for r in enrich.conflicting_ids(df).collect()] == ["1"]
     assert enrich.flag_conflicts(df).count() == 2
+
+
+@pytest.mark.parametrize("null_text", ["collapse", "keep"])
+def test_counts_are_those_of_the_steps(spark, null_text):
+    """One scan, with texts that repeat, are missing, and rows that are empty."""
+    rng = random.Random(6)
+    rows = [
+        (i, rng.choice("ab"), rng.choice(["x", "y", None, None, f"t{i}"]), rng.choice(["n", None]), rng.choice(["d", None]))
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "ord long, source_file string, review_text string, customer_name string, location string")
+    mapped = ["review_text", "customer_name", "location"]
+    found = {r["source_file"]: r.asDict() for r in dedup.dedup_counts(df, mapped, null_text).collect()}
+    filled = dedup.drop_empty_rows(df, mapped)
+    text = dedup.first_ordinals(filled, ["review_text"], null_text=null_text).groupBy("source_file").count().collect()
+    key = dedup.surviving_ordinals(filled, null_text=null_text).groupBy("source_file").count().collect()
+    for r in text:
+        assert found[r["source_file"]]["rows_text"] == r["count"]
+    for r in key:
+        n = found[r["source_file"]]
+        assert n["rows_key"] == r["count"] and n["rows_dropped"] == n["rows_before"] - r["count"]
+    assert sum(n["rows_nonempty"] for n in found.values()) == filled.count()
+    plan = dedup.dedup_counts(df, mapped, null_text)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") + plan.count("LocalTableScan") <= 2 and plan.count("Scan ExistingRDD") <= 1
