@@ -1,9 +1,10 @@
-"""Command line for the whole jobs: ``python -m reviewmill etl|rows|chunks ...``."""
+"""Command line for the whole jobs: ``python -m reviewmill etl|rows|chunks|search|evaluate ...``."""
 
 from __future__ import annotations
 
 import argparse
 
+from reviewmill.fixed import SERVICE_K
 from reviewmill.plans import jobs
 from reviewmill.session import build_session
 
@@ -24,6 +25,17 @@ def main() -> None:
     chunks = commands.add_parser("chunks", help="processed reviews to chunk vectors")
     chunks.add_argument("processed")
     chunks.add_argument("out")
+    search = commands.add_parser("search", help="best stored reviews of every question")
+    search.add_argument("table")
+    search.add_argument("questions", help="text, one question a line")
+    search.add_argument("out")
+    search.add_argument("--k", type=int, default=SERVICE_K)
+    search.add_argument("--where", action="append", default=[], metavar="FIELD=VALUE", help="several values of a field: any")
+    scores = commands.add_parser("evaluate", help="answer and score questions with known keywords")
+    scores.add_argument("table")
+    scores.add_argument("gold", help='JSON lines: {"question": ..., "keywords": [...]}')
+    scores.add_argument("out")
+    scores.add_argument("--k", type=int, default=SERVICE_K)
     args = parser.parse_args()
 
     spark = build_session(f"reviewmill-{args.command}")
@@ -32,6 +44,16 @@ def main() -> None:
     elif args.command == "rows":
         processed = spark.read.parquet(args.processed)
         print(jobs.run_row_index(spark, processed, args.table, args.version))
+    elif args.command == "search":
+        lines = spark.read.text(args.questions).where("trim(value) <> ''").withColumnRenamed("value", "question")
+        filters: dict[str, list[str]] = {}
+        for pair in args.where:
+            name, _, value = pair.partition("=")
+            filters.setdefault(name, []).append(value)
+        jobs.run_search(lines, args.table, args.out, args.k, filters)
+    elif args.command == "evaluate":
+        gold = spark.read.schema("question string, keywords array<string>").json(args.gold)
+        print(jobs.run_evaluate(gold, args.table, args.out, args.k).first().asDict())
     else:
         print(jobs.run_chunk_index(spark.read.parquet(args.processed), args.out))
 

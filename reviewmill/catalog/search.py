@@ -17,7 +17,7 @@ from reviewmill.operators.search import knn_exact, recall_at_k, result_projectio
 from reviewmill.operators.vector_table import (
     VectorTable, append_chunks, distinct_chunks, merge_latest,
 )
-from reviewmill.plans import evaluate, index
+from reviewmill.plans import evaluate, index, jobs
 from reviewmill.session import scratch_dir
 from reviewmill.sizes import spread
 
@@ -486,6 +486,22 @@ def search_questions(spark, sf):
     return hits.select("question", "rank", "review_id", F.round("score", 5).alias("score"))
 
 
+@query("search_stored", from_final(
+    "SELECT question, rank, h.review_id, location, h.restaurant_name, rating, h.text, round(score, 5) AS score FROM hits h "
+    "JOIN (SELECT CAST(review_id AS VARCHAR) AS review_id, coalesce(location, '') AS location, "
+    "round(CAST(coalesce(rating_1_5, 0.0) AS FLOAT), 4) AS rating FROM final) USING (review_id)", *_SEARCH))
+def search_stored(spark, sf):
+    """Vectors stored by one job, questions answered by another: score and all stored fields."""
+    path = scratch_dir(spark, "vectors")
+    jobs.run_row_index(spark, final(spark, sf), path, 1, EMBEDDER)
+    questions = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("text").alias("question"))
+    hits = jobs.run_search(questions, path, scratch_dir(spark, "hits"), embedder=EMBEDDER)
+    return hits.select(
+        "question", "rank", "review_id", "location", "restaurant_name", F.round("rating", 4).alias("rating"), "text",
+        F.round("score", 5).alias("score"),
+    )
+
+
 @query("result_projection", from_final("SELECT review_id, restaurant_name, text FROM hits", *_SEARCH))
 def result_projection_query(spark, sf):
     _, hits = _searched(spark, sf)

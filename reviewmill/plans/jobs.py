@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmill.fixed import SERVICE_K
 from reviewmill.operators.dedup import surviving_ordinals
 from reviewmill.operators.embed import Embedder, HashingEmbedder
 from reviewmill.operators.enrich import enrich_left_join
 from reviewmill.operators.numbering import number_rows
 from reviewmill.operators.vector_table import VectorTable, append_chunks
-from reviewmill.plans import index, reports, standardize
+from reviewmill.plans import evaluate, index, reports, standardize
 from reviewmill.sizes import spread
 from reviewmill.sources import files, sinks
 
@@ -150,3 +152,41 @@ def run_chunk_index(
     return append_chunks(
         index.embed_documents(docs, embedder or HashingEmbedder(), "chunk_text"), path
     )
+
+
+def run_search(
+    questions: DataFrame, table_path: str, out: str, k: int = SERVICE_K,
+    filters: Mapping[str, object] | None = None, embedder: Embedder | None = None,
+) -> DataFrame:
+    """The k best stored reviews of every question, with score and all stored fields; written and returned.
+
+    ``filters`` limits the reviews before the k are chosen.
+    """
+    embedder = embedder or HashingEmbedder()
+    spark = questions.sparkSession
+    table = VectorTable(spark, table_path, dim=embedder.dim)
+    stored = table.read()
+    fields = [c for c in stored.columns if c not in ("vector", table.key)]
+    hits = evaluate.search(questions, stored, embedder, k=k, key=table.key, keep=fields, filters=filters)
+    hits.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def run_evaluate(
+    gold: DataFrame, table_path: str, out: str, k: int = SERVICE_K, embedder: Embedder | None = None,
+) -> DataFrame:
+    """Answer the questions of ``gold`` (question, keywords) from the stored reviews and score the answers.
+
+    Hits, answers with their scores, and the summary are written below ``out``; the summary is returned.
+    A log of answers with latencies is scored by ``evaluate.run_eval``; here ``p95_ms`` is null.
+    """
+    embedder = embedder or HashingEmbedder()
+    asked = gold.select("question").distinct()
+    hits = run_search(asked, table_path, f"{out}/hits", k, embedder=embedder)
+    answers = evaluate.answer_log(asked, hits)
+    scored = evaluate.score_semantic(evaluate.score_keywords(answers, gold), gold, embedder)
+    scored.write.mode("overwrite").parquet(f"{out}/answers")
+    kept = gold.sparkSession.read.parquet(f"{out}/answers")
+    summary = evaluate.eval_summary(kept, None)
+    sinks.write_report(summary, f"{out}/summary")
+    return summary

@@ -111,6 +111,24 @@ def test_index_jobs(spark, run):
     assert distinct_chunks(spark.read.parquet(f"{root}/chunks")).count() == counts["indexed"]
 
 
+def test_search_and_evaluate_stored_vectors(spark):
+    root = tempfile.mkdtemp(prefix="answers-")
+    rows = [("1", "Fresh bread", "north"), ("2", "cold soup", "north"), ("3", "fresh bread and soup", "south")]
+    df = spark.createDataFrame([(i, t, 4.0, p, "r") for i, t, p in rows],
+                               "review_id string, review_text string, rating_1_5 double, location string, restaurant_name string")
+    jobs.run_row_index(spark, df, f"{root}/vectors", 1)
+    questions = spark.createDataFrame([("fresh bread",), ("soup",), ("soup",)], "question string")
+    hits = jobs.run_search(questions, f"{root}/vectors", f"{root}/hits", 2).collect()
+    assert len(hits) == 4 and {"score", "location", "rating", "restaurant_name", "text"} <= set(hits[0].asDict())
+    assert {(r["question"], r["review_id"]) for r in hits if r["rank"] == 1} == {("fresh bread", "1"), ("soup", "2")}
+    only = jobs.run_search(questions, f"{root}/vectors", f"{root}/south", 2, {"location": ["south"]}).collect()
+    assert {r["review_id"] for r in only} == {"3"}
+    gold = spark.createDataFrame([("fresh bread", ["bread", "tea"]), ("soup", ["soup"])], "question string, keywords array<string>")
+    summary = jobs.run_evaluate(gold, f"{root}/vectors", f"{root}/scores", 1).first()
+    assert (summary["n"], summary["avg_keyword_acc"], summary["p95_ms"]) == (2, 0.75, None)
+    assert 0 < summary["avg_semantic_acc"] <= 1
+
+
 def test_row_index_takes_the_later_review_of_an_id(spark):
     root = tempfile.mkdtemp(prefix="index-")
     rows = [("R-1", "one"), ("R-2", "two"), ("7", "old"), ("7", "new"), ("R-1", " "), (None, "lone"), ("R-1", None)]
