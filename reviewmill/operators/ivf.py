@@ -7,7 +7,6 @@ read; a hot list is just more batches to score, since documents are never groupe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +19,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from reviewmill.operators.search import (
     _matrix,
     _no_hits,
-    _search_slice,
     _unit,
-    query_slices,
+    score_stored,
+    store_queries,
     topk_per_query,
 )
 
@@ -95,24 +94,36 @@ def knn_approx(
     """k best documents per query among its ``nprobe`` nearest lists."""
     nprobe = min(nprobe, len(centres))
     lean = indexed.select(key, vector, "list_id")
-    parts = []
-    for ids, matrix in query_slices(queries, query, query_vector):
-        gaps = (centres**2).sum(1)[None, :] - 2 * _space(matrix, metric) @ centres.T
-        near = np.argpartition(gaps, nprobe - 1, axis=1)[:, :nprobe]
-        probes = np.zeros((len(ids), len(centres)), dtype=bool)
-        np.put_along_axis(probes, near, True, axis=1)
-        probed = [int(i) for i in np.flatnonzero(probes.any(axis=0))]
-        wanted = lean.filter(F.col("list_id").isin(probed))
-        parts.append(
-            _search_slice(
-                wanted, ids, matrix, k, metric, key, vector, query, queries.schema[query], probes
-            )
-        )
-    if not parts:
+    stored = store_queries(queries, query, query_vector)
+    if stored is None:
         return _no_hits(lean.drop("list_id"), vector, query, queries)
-    hits = topk_per_query(
-        reduce(DataFrame.unionByName, parts), k, query, key, score=F.desc("_order")
+    shared = queries.sparkSession.sparkContext.broadcast(centres)  # as many rows as lists
+
+    def nearest(matrix: np.ndarray) -> np.ndarray:
+        middle = shared.value
+        gaps = (middle**2).sum(1)[None, :] - 2 * _space(matrix, metric) @ middle.T
+        return np.argpartition(gaps, nprobe - 1, axis=1)[:, :nprobe]
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = np.unique(nearest(_matrix(batch.column(query_vector), centres.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32))], ["list_id"])
+
+    def pairs(buffer: pa.Table, matrix: np.ndarray):
+        near = nearest(matrix)
+        lists = buffer.column("list_id").to_numpy()
+        for number in np.unique(lists):
+            asked = np.flatnonzero((near == number).any(axis=1))
+            if len(asked):
+                yield buffer.filter(pa.array(lists == number)).combine_chunks(), asked
+
+    # Folders of lists that no query probes are not read; at most one row per list comes back.
+    asked = queries.sparkSession.read.parquet(stored.folder).select(query_vector)
+    wanted = [row[0] for row in asked.mapInArrow(probed, "list_id int").distinct().collect()]
+    found = score_stored(
+        lean.filter(F.col("list_id").isin(wanted)), stored, k, metric, key, vector, queries.schema[query], pairs
     )
+    hits = topk_per_query(found, k, query, key, score=F.desc("_order"))
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
     return hits.select(query, "rank", key, "score")

@@ -1,26 +1,33 @@
 """Exact and approximate nearest neighbours for a table of queries.
 
-Documents never move: each partition scores its Arrow batches against the broadcast queries
-with one matrix product and keeps its k best per query; only these are shuffled. Queries are
-broadcast in slices of a fixed byte size, so any number of them can be answered.
+Documents never move and are read once. The queries are stored in the shared scratch folder;
+each task holds some megabytes of documents and scores them against one block of queries after
+the other, a matrix product per block. The k best per query and buffer are shuffled, nothing
+else. Neither the driver nor a task holds all queries, so any number of them can be answered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reviewmill.fixed import SEARCH_K
-from reviewmill.session import scratch_dir
+from reviewmill.session import file_store, scratch_dir
 
+# Queries of one block, and documents that a task holds while the blocks pass.
+QUERY_ROWS = 4096
 QUERY_BYTES = 32 * 1024 * 1024
+DOC_BYTES = 64 * 1024 * 1024
 # Scores are compared to this many digits, so that equal vectors tie in any batch.
 SCORE_DIGITS = 9
 BATCH_ROWS = 2048
@@ -102,12 +109,8 @@ def _local_topk(
     metric: str,
     key: str,
     vector: str,
-    probes: np.ndarray | None = None,
 ) -> pa.Table | None:
-    """k best documents of this partition per query.
-
-    ``probes`` (queries x lists, boolean) limits each query to the documents of its lists.
-    """
+    """k best documents of these batches per query."""
     kept = None
     bar = np.full(len(queries), -np.inf)
     step = max(1, min(BATCH_ROWS, SCORE_CELLS // len(queries)))
@@ -117,9 +120,6 @@ def _local_topk(
             docs = _matrix(part.column(vector), queries.shape[1])
             scores = score_matrix(docs, queries, metric)
             order = np.round(scores, SCORE_DIGITS)
-            if probes is not None:
-                lists = part.column("list_id").to_numpy(zero_copy_only=False)
-                order = np.where(probes[:, lists].T, order, -np.inf)
             floor = bar
             if len(docs) > k:
                 floor = np.maximum(bar, np.partition(order, -k, axis=0)[-k])
@@ -150,34 +150,57 @@ def topk_per_query(
     return hits.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def query_slices(
-    queries: DataFrame, query: str, vector: str, max_bytes: int = QUERY_BYTES
-) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and vectors of the queries, in slices that are safe to broadcast."""
-    facts = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dim"),
-        F.min(F.size(vector)).alias("min_dim"),
-    ).first()
-    if not facts["n"]:
-        return
-    if facts["dim"] != facts["min_dim"]:
+@dataclass
+class StoredQueries:
+    """Queries as a table in the scratch folder, which tasks read in blocks."""
+
+    folder: str
+    query: str
+    vector: str
+    dim: int
+    kind: pa.DataType
+    rows: int
+
+    def blocks(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Ids and vectors, at most ``rows`` at a time."""
+        store, root = file_store(self.folder)
+        files = [f.path for f in store.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
+        for path in sorted(files):
+            with store.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(self.rows, columns=[self.query, self.vector]):
+                    yield batch.column(self.query).cast(self.kind), _matrix(batch.column(self.vector), self.dim)
+
+
+def store_queries(
+    queries: DataFrame, query: str, vector: str, max_bytes: int = QUERY_BYTES, max_rows: int = QUERY_ROWS
+) -> StoredQueries | None:
+    """Write the queries once, so that they are embedded once; None if there are none.
+
+    A query without a vector has no hits and is left out.
+    """
+    folder = scratch_dir(queries.sparkSession, "queries")
+    queries.select(query, vector).where(F.col(vector).isNotNull()).write.parquet(folder)
+    sizes = queries.sparkSession.read.parquet(folder).select(F.size(vector).alias("n"))
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    if least is None:
+        return None
+    if least != most:
         raise ValueError("query vectors differ in size")
-    # The slice number is a hash: allow for slices above the mean.
-    slices = 1 + facts["n"] * (facts["dim"] * 8 + 64) * 2 // max_bytes
-    if slices == 1:
-        slices_of = [queries]
-    else:
-        # Stored once: reading a slice must not embed all queries again.
-        spark, path = queries.sparkSession, scratch_dir(queries.sparkSession, "queries")
-        place = F.pmod(F.xxhash64(F.col(query)), F.lit(slices)).alias("slice")
-        queries.select(query, vector, place).write.partitionBy("slice").parquet(path)
-        stored = spark.read.parquet(path)
-        slices_of = [stored.filter(F.col("slice") == i) for i in range(slices)]
-    for part in slices_of:
-        fetched = part.select(query, vector).toArrow().combine_chunks()
-        if fetched.num_rows:
-            column = fetched.column(vector).combine_chunks()
-            yield fetched.column(query).to_pylist(), _matrix(column, facts["dim"])
+    rows = max(1, min(max_rows, max_bytes // (8 * most + 64)))
+    return StoredQueries(folder, query, vector, most, to_arrow_type(queries.schema[query].dataType), rows)
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], max_bytes: int = DOC_BYTES) -> Iterator[pa.Table]:
+    """Batches together up to some bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= max_bytes:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def knn_exact(
@@ -192,6 +215,7 @@ def knn_exact(
     query: str = "query_id",
     query_vector: str = "query_vector",
     keep: Sequence[str] = (),
+    block_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """k nearest documents per query: (query, rank, key, score, kept columns).
 
@@ -204,15 +228,11 @@ def knn_exact(
         docs = filter_terms(docs, filters)
     carried = list(dict.fromkeys([key, *keep, *(filters or {})]))
     lean = docs.select(*carried, vector).filter(F.col(vector).isNotNull())
-    parts = [
-        _search_slice(lean, ids, matrix, k, metric, key, vector, query, queries.schema[query])
-        for ids, matrix in query_slices(queries, query, query_vector)
-    ]
-    if not parts:
+    stored = store_queries(queries, query, query_vector, block_bytes)
+    if stored is None:
         return _no_hits(lean, vector, query, queries)
-    hits = topk_per_query(
-        reduce(DataFrame.unionByName, parts), k, query, key, score=F.desc("_order")
-    )
+    found = score_stored(lean, stored, k, metric, key, vector, queries.schema[query])
+    hits = topk_per_query(found, k, query, key, score=F.desc("_order"))
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
     if filter_mode == "post":
@@ -231,43 +251,46 @@ def _no_hits(docs: DataFrame, vector: str, query: str, queries: DataFrame) -> Da
     )
 
 
-def _search_slice(
+def score_stored(
     docs: DataFrame,
-    ids: list,
-    matrix: np.ndarray,
+    stored: StoredQueries,
     k: int,
     metric: str,
     key: str,
     vector: str,
-    query: str,
     query_field: StructField,
-    probes: np.ndarray | None = None,
+    pairs: Callable[[pa.Table, np.ndarray], Iterator[tuple[pa.Table, np.ndarray]]] | None = None,
 ) -> DataFrame:
-    dim = matrix.shape[1]
-    fits = docs.filter(F.size(vector) == dim)
-    dropped = {vector, "list_id"} if probes is not None else {vector}
-    payload = [f for f in docs.schema.fields if f.name not in dropped]
+    """The k best documents of each buffer per query, in one pass over the documents.
+
+    ``pairs`` takes a buffer and a block of query vectors and gives (documents, numbers of the
+    queries that are compared with them); without it every query meets every document.
+    """
+    payload = [f for f in docs.schema.fields if f.name not in (vector, "list_id")]
     schema = StructType(
         [
-            StructField(query, query_field.dataType),
+            StructField(stored.query, query_field.dataType),
             *payload,
             StructField("score", DoubleType()),
             StructField("_order", DoubleType()),
         ]
     )
-    shared = docs.sparkSession.sparkContext.broadcast((ids, matrix, probes))
     names = [f.name for f in payload]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_matrix, query_probes = shared.value
-        best = _local_topk(batches, query_matrix, k, metric, key, vector, query_probes)
-        if best is not None:
-            labels = pa.array(query_ids).take(best.column("query").combine_chunks())
-            columns = [best.column(n) for n in [*names, "score", "order"]]
-            hits = pa.table([labels, *columns], [query, *names, "score", "_order"])
-            yield from hits.combine_chunks().to_batches()
-
-    return fits.mapInArrow(run, schema)
+        for buffer in _buffers(batches):
+            for ids, matrix in stored.blocks():
+                met = pairs(buffer, matrix) if pairs else [(buffer, np.arange(len(matrix)))]
+                for part, asked in met:
+                    best = _local_topk(iter(part.to_batches()), matrix[asked], k, metric, key, vector)
+                    if best is None:
+                        continue
+                    labels = ids.take(pa.array(asked[best.column("query").to_numpy()]))
+                    columns = [best.column(n) for n in [*names, "score", "order"]]
+                    hits = pa.table([labels, *columns], [stored.query, *names, "score", "_order"])
+                    yield from hits.combine_chunks().to_batches()
+
+    return docs.filter(F.size(vector) == stored.dim).mapInArrow(run, schema)
 
 
 def result_projection(hits: DataFrame) -> DataFrame:

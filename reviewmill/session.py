@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -50,3 +51,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def file_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that holds a shared path and the path inside it, for reads in a task."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))

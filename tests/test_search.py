@@ -139,10 +139,34 @@ def test_ties_across_batches_go_to_the_smaller_id(spark, monkeypatch):
     assert got == {f"q{i}": truth(rows, rows[i * 3], 6, "cosine") for i in range(20)}
 
 
-def test_query_slices_change_nothing(spark):
+def test_many_blocks_of_queries_read_the_documents_once(spark, tmp_path):
     rows, docs, queries = make(spark)
-    sizes = [len(ids) for ids, _ in search.query_slices(queries, "query_id", "query_vector", 1500)]
-    assert len(sizes) > 1 and sum(sizes) == 20
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    stored = search.store_queries(queries.coalesce(1), "query_id", "query_vector", 300)
+    sizes = [len(ids) for ids, _ in stored.blocks()]
+    assert len(sizes) >= 10 and sum(sizes) == 20
+    found = search.knn_exact(docs, queries.coalesce(1), 6, block_bytes=300)
+    assert ranked(found) == {f"q{i}": truth(rows, rows[i * 3], 6, "cosine") for i in range(20)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_documents_beyond_one_buffer(spark, monkeypatch):
+    _, docs, _ = make(spark)
+    batches = docs.coalesce(1).toArrow().to_batches(max_chunksize=50)
+    buffers = list(search._buffers(iter(batches), 5000))
+    assert len(buffers) > 2 and sum(b.num_rows for b in buffers) == docs.count()
+
+
+def test_queries_without_a_vector_or_of_other_size(spark):
+    rows, docs, queries = make(spark)
+    missing = spark.createDataFrame([("none", None)], queries.schema)
+    assert "none" not in ranked(search.knn_exact(docs, queries.union(missing), 6))
+    assert search.knn_exact(docs, missing, 6).count() == 0
+    short = spark.createDataFrame([("short", [1.0])], queries.schema)
+    with pytest.raises(ValueError, match="differ in size"):
+        search.knn_exact(docs, queries.union(short), 6)
 
 
 def test_filters(spark):
