@@ -131,6 +131,28 @@ def coerce_date_strict(spark, sf):
     return strict.select("ord", day("review_date").alias("review_date"))
 
 
+_SLASHED = from_typed(
+    """SELECT ord, strftime(CASE WHEN votes > 0
+        THEN coalesce(try_strptime(cell, '%d/%m/%Y'), try_strptime(cell, '%m/%d/%Y'))
+        ELSE coalesce(try_strptime(cell, '%m/%d/%Y'), try_strptime(cell, '%d/%m/%Y')) END, '%Y-%m-%d') AS review_date
+      FROM (SELECT *, sum(CASE WHEN CAST(cell[1:2] AS INT) > 12 THEN 1 WHEN CAST(cell[4:5] AS INT) > 12 THEN -1
+              ELSE 0 END) OVER (PARTITION BY source_file) AS votes FROM slashed)""",
+    """slashed AS (SELECT ord, source_file, CASE WHEN source_file = (SELECT min(source_file) FROM raw)
+      THEN strftime(review_date, '%d/%m/%Y') ELSE strftime(review_date, '%m/%d/%Y') END AS cell FROM typed)""",
+)
+
+
+@query("coerce_date_by_source", _SLASHED)
+def coerce_date_by_source(spark, sf):
+    """Dates written with slashes, in one source with the day first, in the others with the month first."""
+    rows = typed(spark, sf).select("ord", "source_file", "review_date")
+    first = rows.agg(F.min("source_file")).first()[0]
+    written = F.when(F.col("source_file") == F.lit(first), F.date_format("review_date", "dd/MM/yyyy"))
+    cells = rows.withColumn("review_date", written.otherwise(F.date_format("review_date", "MM/dd/yyyy")))
+    read = std.coerce_types(std.apply_facts(cells, std.source_facts(cells)))
+    return read.select("ord", day("review_date").alias("review_date"))
+
+
 @query(
     "text_len_trunc",
     from_std("SELECT ord, CAST(review_length AS BIGINT) AS review_length, review_text_trunc FROM std"),

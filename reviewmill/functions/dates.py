@@ -26,8 +26,12 @@ LAYOUTS = {
     "yyyyMMdd": (r"^(\d{4})(\d{2})(\d{2})" + _CLOCK + "$", 1, 2, 3, 4),
     "d MMM yyyy": (r"^(\d{1,2}) ([A-Za-z]{3})[a-z]*\.? (\d{4})" + _CLOCK + "$", 3, 2, 1, 4),
     "MMM d, yyyy": (r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})" + _CLOCK + "$", 3, 1, 2, 4),
+    "dd-MM-yyyy": (r"^(\d{1,2})-(\d{1,2})-(\d{4})" + _CLOCK + "$", 3, 2, 1, 4),
 }
 DEFAULT_LAYOUTS = list(LAYOUTS)
+# Layouts whose cells also fit the other order of day and month.
+DAY_FIRST = {"MM/dd/yyyy": "dd/MM/yyyy", "MM-dd-yyyy": "dd-MM-yyyy"}
+_EITHER = r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}(?:[ T]|$)"
 
 
 def parse_layout(c: Column, layout: str) -> Column:
@@ -50,9 +54,31 @@ def parse_layout(c: Column, layout: str) -> Column:
     return F.when(text.rlike(pattern), iso.try_cast("timestamp_ntz"))
 
 
-def coerce_date(c: Column, layouts: Sequence[str] = DEFAULT_LAYOUTS) -> Column:
-    """First layout that parses wins; nothing parses gives null."""
-    return F.coalesce(*[parse_layout(c, layout) for layout in layouts])
+def day_first_vote(c: Column) -> Column:
+    """1 for a cell that only day-first order explains, -1 for month-first only, else 0."""
+    first, second = (F.regexp_extract(F.trim(c), _EITHER, i).try_cast("int") for i in (1, 2))
+    return (
+        F.when((first > 12) & second.between(1, 12), F.lit(1))
+        .when((second > 12) & first.between(1, 12), F.lit(-1))
+        .otherwise(F.lit(0))
+    )
+
+
+def coerce_date(
+    c: Column, layouts: Sequence[str] = DEFAULT_LAYOUTS, day_first: Column | None = None
+) -> Column:
+    """First layout that parses wins; nothing parses gives null.
+
+    Where ``day_first`` is true, 03/04/2024 is the third of April. A cell that the order of its
+    source cannot explain is still read in the other one.
+    """
+    parsed = []
+    for layout in layouts:
+        twin = DAY_FIRST.get(layout)
+        if day_first is not None and twin in layouts:
+            parsed.append(F.when(day_first, parse_layout(c, twin)))
+        parsed.append(parse_layout(c, layout))
+    return F.coalesce(*parsed)
 
 
 def layout_index(c: Column, layouts: Sequence[str] = DEFAULT_LAYOUTS) -> Column:

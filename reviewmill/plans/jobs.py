@@ -65,9 +65,9 @@ def run_etl(
     staged = spark.read.parquet(paths.staged)
     present = staged.filter("has_content")
 
-    typed = standardize.coerce_types(present, **coercion)
-    scaled = standardize.apply_scales(typed, standardize.rating_scales(typed))
-    ready = standardize.extend(standardize.derive(scaled))
+    facts = standardize.source_facts(present, coercion.get("date_mode", "source"))
+    typed = standardize.coerce_types(standardize.apply_facts(present, facts), **coercion)
+    ready = standardize.extend(standardize.derive(typed))
     # File ordinals rise over all files, so no leading column is needed.
     survivors = surviving_ordinals(typed, null_text=null_text)
     numbers = number_rows(survivors, [], "ord", "row_id").select("ord", "row_id")

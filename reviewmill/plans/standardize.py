@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.fixed import (
@@ -40,11 +40,16 @@ def fill_missing_columns(df: DataFrame) -> DataFrame:
 def coerce_types(
     mapped: DataFrame,
     layouts: Sequence[str] = dates.DEFAULT_LAYOUTS,
-    date_mode: str = "lenient",
+    date_mode: str = "source",
     blank_to_null: bool = False,
     fill_text: str | None = None,
 ) -> DataFrame:
-    """Text cells to typed columns; what does not parse becomes null."""
+    """Text cells to typed columns; what does not parse becomes null.
+
+    ``date_mode``: 'source' reads day and month in the order of the row's source, if the rows
+    carry it (``apply_facts``; a stream cannot), 'lenient' takes the first layout that fits the
+    cell, 'strict' one layout per source, that of its first cell.
+    """
     have = set(mapped.columns)
     typed = {}
     for name in LABELS:
@@ -62,18 +67,22 @@ def coerce_types(
         elif dict(mapped.dtypes)["review_date"].startswith("timestamp"):
             typed["review_date"] = F.col("review_date").cast("timestamp_ntz")
         else:
-            typed["review_date"] = dates.coerce_date(F.col("review_date"), layouts)
-    kinds = dict(mapped.dtypes)
+            ordered = date_mode == "source" and "_day_first" in have
+            day_first = F.col("_day_first") if ordered else None
+            typed["review_date"] = dates.coerce_date(F.col("review_date"), layouts, day_first)
     for name in ["rating_raw", *AMOUNTS]:
         if name in have:
-            if kinds[name] == "string":
-                typed[name] = numbers.coerce_numeric(F.col(name))
-            else:
-                typed[name] = numbers.null_nan(F.col(name).cast("double"))
+            typed[name] = _number(mapped, name)
     for raw in CATEGORIES:
         if raw in have:
             typed[raw] = categories.raw_category(F.col(raw).cast("string"))
-    return mapped.withColumns(typed).drop("_layout")
+    return mapped.withColumns(typed).drop("_layout", "_day_first")
+
+
+def _number(mapped: DataFrame, name: str) -> Column:
+    if dict(mapped.dtypes)[name] == "string":
+        return numbers.coerce_numeric(F.col(name))
+    return numbers.null_nan(F.col(name).cast("double"))
 
 
 def _with_source_layout(mapped: DataFrame, layouts: Sequence[str]) -> DataFrame:
@@ -95,10 +104,36 @@ def rating_scales(typed: DataFrame) -> DataFrame:
     A source whose file has no rating column gets a null scale: the scan marks it with
     ``has_rating`` false.
     """
-    scale = numbers.scale_from_max(F.max("rating_raw"))
-    if "has_rating" in typed.columns:
+    return typed.groupBy("source_file").agg(_scale(typed))
+
+
+def _scale(df: DataFrame) -> Column:
+    scale = numbers.scale_from_max(F.max(_number(df, "rating_raw")))
+    if "has_rating" in df.columns:
         scale = F.when(F.max("has_rating"), scale)
-    return typed.groupBy("source_file").agg(scale.alias("rating_scale"))
+    return scale.alias("rating_scale")
+
+
+def source_facts(
+    mapped: DataFrame, date_mode: str = "source", scale: bool = True
+) -> DataFrame | None:
+    """What all cells of a source decide together, in one aggregation over the mapped text.
+
+    ``rating_scale``, and ``_day_first``: whether more of its dates can only be read with the
+    day first than with the month first. A source without such dates is month-first.
+    """
+    kinds, facts = dict(mapped.dtypes), []
+    if scale and "rating_raw" in kinds:
+        facts.append(_scale(mapped))
+    if date_mode == "source" and kinds.get("review_date") == "string":
+        votes = F.sum(dates.day_first_vote(F.col("review_date")))
+        facts.append((votes > 0).alias("_day_first"))
+    return mapped.groupBy("source_file").agg(*facts) if facts else None
+
+
+def apply_facts(mapped: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """The facts of its source beside each row. One row per source."""
+    return mapped if facts is None else mapped.join(broadcast_if_small(facts), "source_file", "left")
 
 
 def apply_scales(typed: DataFrame, scales: DataFrame) -> DataFrame:
@@ -158,9 +193,10 @@ def standardize(
     ``scales`` (source_file, rating_scale) replaces the scale found in the data. Empty rows are
     dropped by the scan (sources.files).
     """
-    typed = coerce_types(mapped, **coercion)
-    if "rating_raw" in typed.columns or scales is not None:
-        typed = apply_scales(typed, rating_scales(typed) if scales is None else scales)
+    facts = source_facts(mapped, coercion.get("date_mode", "source"), scale=scales is None)
+    typed = coerce_types(apply_facts(mapped, facts), **coercion)
+    if scales is not None:
+        typed = apply_scales(typed, scales)
     ready = derive(typed)
     if extended:
         ready = extend(ready)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.fixed import GENDER_NORMS, NULL_SPELLINGS
 from reviewmill.functions import categories, dates, numbers, text, vectors
+from reviewmill.plans import standardize
 
 
 def apply(spark, function, values, kind="string"):
@@ -66,6 +67,25 @@ def test_dates_first_layout_wins(spark):
     assert apply(spark, dates.coerce_date, cells) == wanted
 
 
+def test_order_of_day_and_month_is_voted_by_source(spark):
+    cells = {
+        "day": ["03/04/2024", "25/12/2024", "31-01-2024", "04-03-2024 10:30", "2024-04-03", "04/25/2024", None],
+        "month": ["03/04/2024", "12/25/2024", "04-03-2024", "25/12/2024", "01/31/2024"],
+        "open": ["03/04/2024", "04-03-2024", "", "99/99/2024"],  # no cell decides: month first
+    }
+    rows = [(s, i, c) for s, found in cells.items() for i, c in enumerate(found)]
+    df = spark.createDataFrame(rows, "source_file string, ord long, review_date string")
+    read = standardize.coerce_types(standardize.apply_facts(df, standardize.source_facts(df)))
+    got = {(r["source_file"], r["ord"]): r["review_date"] and r["review_date"].strftime("%m-%d") for r in read.collect()}
+    wanted = {
+        "day": ["04-03", "12-25", "01-31", "03-04", "04-03", "04-25", None],
+        "month": ["03-04", "12-25", "04-03", "12-25", "01-31"],
+        "open": ["03-04", "04-03", None, None],
+    }
+    assert got == {(s, i): d for s, found in wanted.items() for i, d in enumerate(found)}
+    assert "_day_first" not in read.columns
+
+
 @pytest.mark.parametrize(
     ("top", "scale"),
     [(None, 5), (0.0, 5), (5.0, 5), (5.1, 10), (10.0, 10), (10.5, 100), (100.0, 100), (100.1, 5)],
