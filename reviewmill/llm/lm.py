@@ -1,13 +1,16 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing over add-one unigrams:
+The model has n-grams up to an order, with Dirichlet smoothing over add-one unigrams. h' is the
+context h without its first token; a text starts in the context of a start mark:
 
     P(v)     = (c(v) + 1) / (N + V + 1)
-    P(v | w) = (c(w v) + strength * P(v)) / (c(w) + strength)
+    P(v | h) = (c(h v) + strength * P(v | h')) / (c(h) + strength)
 
-As an automaton: the root has an arc for every known token and one for unknown ones; each known
-word is a state with arcs for the tokens seen after it and a failure arc to the root that costs
-log10(strength / (c(w) + strength)). A token leads to its own state, from whichever arc.
+As an automaton: the states are the seen contexts of up to order - 1 tokens. A state has an arc for
+each token seen after it, which costs log10 P(v | h) and leads to the longest seen context that ends
+with the token, and a failure arc to the state of h' that costs log10(strength / (c(h) + strength)).
+The root, the empty context, has an arc for every token. A text is read once from left to right: the
+state is carried, failure arcs are followed until there is an arc for the token, costs are added up.
 
 Counts are over all training documents. They never meet in one place: chunks of documents send
 their distinct n-grams with counts through a packed exchange and get back the corpus counts of
@@ -24,48 +27,121 @@ from pyspark.sql import functions as F
 from reviewmill.llm import common as c
 
 STRENGTH = 100.0
+# Tokens of the longest n-gram.
+ORDER = 3
+# Long texts are read as lanes of this many tokens, side by side.
+LANE = 512
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _TAG = np.uint64(1)
 
 
 class Tokens:
-    """Tokens of a chunk: lower-cased words and one end per text, as hashes."""
+    """Tokens of a chunk, lower-cased words and one end per text, and the n-grams that end at each.
 
-    def __init__(self, texts: pa.Array):
+    ``grams[m]`` has the number of the n-gram of m tokens that ends at a token, -1 where there is
+    none; the start mark counts as a token before the first one. ``keys`` are their hashes.
+    """
+
+    def __init__(self, texts: pa.Array, order: int):
         found = c.Texts(texts, lower=True)
         n = len(texts)
+        self.order = order
         self.lengths = found.counts + 1
-        self.hashes = np.full(len(found.words) + n, c.END_WORD, np.uint64)
-        self.hashes[np.arange(len(found.words)) + found.doc] = found.words
+        hashes = np.full(len(found.words) + n, c.END_WORD, np.uint64)
+        hashes[np.arange(len(found.words)) + found.doc] = found.words
         self.doc = np.repeat(np.arange(n), self.lengths)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        before = np.roll(self.hashes, 1)
-        before[self.begin] = ~c.END_WORD  # the start of a text
-        one, two = self.hashes & ~_TAG, c.mix(before * _ODD + self.hashes) | _TAG
-        self.keys, which = np.unique(np.concatenate([one, two]), return_inverse=True)
-        self.one, self.two = which[: len(one)], which[len(one) :]
+        place = np.arange(len(hashes)) - self.begin[self.doc]
+        sizes, at = [hashes & ~_TAG], [np.arange(len(hashes))]
+        ending = hashes
+        for size in range(2, order + 1):
+            before = np.roll(ending, 1)
+            if size == 2:
+                before[self.begin] = ~c.END_WORD  # the start of a text
+            ending = c.mix(before * _ODD + hashes) | _TAG
+            at.append(np.flatnonzero(place >= size - 2))
+            sizes.append(ending[at[-1]])
+        self.keys, which = np.unique(np.concatenate(sizes), return_inverse=True)
+        self.grams = np.full((order + 1, len(hashes)), -1, np.int32)
+        for size, (where, part) in enumerate(zip(at, np.split(which, np.cumsum([len(x) for x in at[:-1]]))), 1):
+            self.grams[size, where] = part
+
+    def contexts(self, size: int) -> np.ndarray:
+        """The n-gram of ``size`` tokens before each token."""
+        before = np.roll(self.grams[size], 1)
+        if size == 1:  # a text starts as often as one ends
+            before[self.begin] = self.grams[1, self.begin + self.lengths - 1]
+        return before
+
+    def lanes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where to start to read, the first token that counts, the end, whether it starts a text.
+
+        The state depends on the order - 1 tokens before, so a lane reads these first, from the root.
+        """
+        number = -(-self.lengths // LANE)
+        text = np.repeat(np.arange(len(number)), number)
+        first = self.begin[text] + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number))
+        stop = np.minimum(first + LANE, self.begin[text] + self.lengths[text])
+        start = np.maximum(first - (self.order - 1), self.begin[text])
+        longest = np.argsort(start - stop, kind="stable")
+        return start[longest], first[longest], stop[longest], (start == self.begin[text])[longest]
 
 
 class Automaton:
-    """The arcs that a chunk can use. Weights are log10 probabilities."""
+    """The states and arcs that a chunk can reach. Weights are log10 probabilities."""
 
-    def __init__(self, counts: np.ndarray, tokens: int, types: int, strength: float):
-        self.counts = counts
-        self.root = np.log10((counts + 1.0) / (tokens + types + 1.0))
+    def __init__(self, counts: np.ndarray, t: Tokens, tokens: int, types: int, strength: float):
+        self.seen = counts > 0
         self.failure = np.log10(strength / (counts + strength))
-        self.strength = strength
+        chance = (counts + 1.0) / (tokens + types + 1.0)
+        self.root = np.log10(chance)
+        self.context = [None]
+        for size in range(2, t.order + 1):
+            self.context.append(t.contexts(size - 1))
+            at = np.flatnonzero(t.grams[size] >= 0)
+            gram, shorter, held = t.grams[size, at], t.grams[size - 1, at], self.context[-1][at]
+            chance[gram] = (counts[gram] + strength * chance[shorter]) / (counts[held] + strength)
+        self.arc = np.log10(chance)
 
     def traverse(self, t: Tokens) -> np.ndarray:
-        """The weight of each token, read from the state that the token before it led to."""
-        ends = self.counts[t.one]
-        state = np.roll(t.one, 1)
-        held = np.roll(ends, 1)
-        last = t.begin + t.lengths - 1
-        state[t.begin], held[t.begin] = t.one[last], ends[last]  # a text starts as often as one ends
-        seen = self.counts[t.two]
-        root = self.root[t.one]
-        arc = np.log10((seen + self.strength * 10.0**root) / (held + self.strength))
-        return np.where(seen > 0, arc, self.failure[state] + root)
+        """The weight of each token; the state of a lane is the length of its context."""
+        weight = np.zeros(t.grams.shape[1])
+        start, first, stop, fresh = t.lanes()
+        lengths = stop - start
+        state = np.where(fresh, min(1, t.order - 1), 0)
+        for step in range(int(lengths.max(initial=0))):
+            reading = int(np.searchsorted(-lengths, -step))  # the longest lanes come first
+            at, held = start[:reading] + step, state[:reading]
+            cost = np.zeros(reading)
+            for size in range(t.order - 1, 0, -1):
+                there = np.flatnonzero(held == size)
+                fails = there[~self.seen[t.grams[size + 1, at[there]]]]
+                cost[fails] += self.failure[self.context[size][at[fails]]]
+                held[fails] = size - 1
+            gram = t.grams[held + 1, at]
+            cost += self.arc[gram]
+            state[:reading] = np.where(self.seen[gram], np.minimum(held + 1, t.order - 1), 0)
+            counts = at >= first[:reading]
+            weight[at[counts]] = cost[counts]
+        return weight
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first and the gaps, in as many bytes each as the largest gap needs."""
+    gaps = np.diff(keys)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + low.tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    raw = bytes(raw)
+    width = raw[0]
+    low = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width) if width else np.zeros((0, 0), np.uint8)
+    keys = np.zeros((len(low) + 1, 8), np.uint8)
+    keys[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    keys[1:, :width] = low
+    return np.cumsum(keys.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _small(values: np.ndarray) -> bytes:
@@ -81,9 +157,9 @@ def _wide(raw) -> np.ndarray:
 
 def score_texts(
     df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-    strength: float = STRENGTH,
+    strength: float = STRENGTH, order: int = ORDER,
 ) -> DataFrame:
-    """Score every text by a model of the rows where ``train`` is true.
+    """Score every text by a model of the rows where ``train`` is true, with n-grams up to ``order``.
 
     Tokens are the lower-cased (A-Z) words between ASCII white space, then one end. Returns id,
     ``trained``, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``,
@@ -98,17 +174,17 @@ def score_texts(
     buckets = c.bucket_count(chunks)
 
     def count(row: pa.RecordBatch):
-        t = Tokens(c.listed(row, "text"))
-        weight = np.asarray(c.listed(row, "train")).astype(bool)[t.doc]
-        n = np.bincount(t.one[weight], minlength=len(t.keys)) + np.bincount(t.two[weight], minlength=len(t.keys))
+        t = Tokens(c.listed(row, "text"), order)
+        trained = t.grams[1:, np.asarray(c.listed(row, "train")).astype(bool)[t.doc]]
+        n = np.bincount(trained[trained >= 0], minlength=len(t.keys))
         bounds = c.split(t.keys, buckets)
         return [
-            (b, t.keys[s:e].tobytes(), _small(n[s:e]))
+            (b, _packed(t.keys[s:e]), _small(n[s:e]))
             for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s
         ]
 
     def total(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
+        keys = [_unpacked(x.as_buffer()) for x in table["keys"]]
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([_wide(x.as_buffer()) for x in table["extra"]])
         sums = np.zeros(len(every), np.int64)
@@ -131,16 +207,16 @@ def score_texts(
     tokens, types = (int(x or 0) for x in replies.agg(F.sum("tokens"), F.sum("types")).first())
 
     def read(row: pa.RecordBatch, back):
-        t = Tokens(c.listed(row, "text"))
+        t = Tokens(c.listed(row, "text"), order)
         n = len(t.lengths)
         counts = np.zeros(len(t.keys), np.int64)
         bounds = c.split(t.keys, buckets)
         for b, raw in back.items():
             counts[bounds[b] : bounds[b + 1]] = _wide(raw)
-        model = Automaton(counts, tokens, types, strength)
+        model = Automaton(counts, t, tokens, types, strength)
         score = np.add.reduceat(model.traverse(t), t.begin)
-        base = np.add.reduceat(model.root[t.one], t.begin)
-        known = np.add.reduceat((counts[t.one] > 0).astype(np.int64), t.begin)
+        base = np.add.reduceat(model.root[t.grams[1]], t.begin)
+        known = np.add.reduceat(model.seen[t.grams[1]].astype(np.int64), t.begin)
         return pa.RecordBatch.from_arrays(
             [c.listed(row, "id"), c.listed(row, "train"), pa.array(t.lengths, pa.int64()), pa.array(known),
              pa.array(np.full(n, tokens)), pa.array(base), pa.array(score)],

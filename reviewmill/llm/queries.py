@@ -164,18 +164,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH d AS (SELECT doc_id, {crc_sql('doc_id::VARCHAR')} % 7 = 2 AS held_out,
   list_concat(regexp_extract_all({FOLDED}, '{WORD}'), [' ']) AS w FROM documents),
-t AS (SELECT doc_id, held_out, unnest(w) AS v, unnest(list_concat(['  '], w[:-2])) AS u FROM d),
+t AS (SELECT doc_id, held_out, unnest(w) AS v, unnest(list_concat(['  '], w[:-2])) AS u,
+  unnest(list_concat([NULL, '  '], w[:-3])[:len(w)]) AS t FROM d),
 one AS (SELECT v, count(*) AS c FROM t WHERE NOT held_out GROUP BY v),
 two AS (SELECT u, v, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, v),
 ctx AS (SELECT u, sum(c) AS c FROM two GROUP BY u),
+three AS (SELECT t, u, v, count(*) AS c FROM t WHERE NOT held_out AND t IS NOT NULL GROUP BY t, u, v),
+ctx2 AS (SELECT t, u, sum(c) AS c FROM three GROUP BY t, u),
 n AS (SELECT coalesce(sum(c), 0)::BIGINT AS tokens, count(*) AS types FROM one),
 p AS (SELECT doc_id, held_out, one.c AS known, tokens,
     (coalesce(one.c, 0) + 1.0::DOUBLE) / (tokens + types + 1) AS base,
-    coalesce(two.c, 0) AS seen, coalesce(ctx.c, 0) AS held
-  FROM t CROSS JOIN n LEFT JOIN one USING (v) LEFT JOIN two USING (u, v) LEFT JOIN ctx USING (u))
+    (coalesce(two.c, 0) + {lm.STRENGTH} * base) / (coalesce(ctx.c, 0) + {lm.STRENGTH}) AS shorter,
+    coalesce(three.c, 0) AS seen, coalesce(ctx2.c, 0) AS held
+  FROM t CROSS JOIN n LEFT JOIN one USING (v) LEFT JOIN two USING (u, v) LEFT JOIN ctx USING (u)
+    LEFT JOIN three USING (t, u, v) LEFT JOIN ctx2 USING (t, u))
 SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, max(tokens) AS train_tokens,
   round(sum(log10(base)), 6) AS base_score,
-  round(sum(log10((seen + {lm.STRENGTH} * base) / (held + {lm.STRENGTH}))), 6) AS score
+  round(sum(log10((seen + {lm.STRENGTH} * shorter) / (held + {lm.STRENGTH}))), 6) AS score
 FROM p GROUP BY doc_id, held_out""")
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = common.crc_mod(F.col("doc_id"), 7) != 2

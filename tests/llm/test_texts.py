@@ -204,48 +204,78 @@ def test_components(spark):
     assert found == {**dict.fromkeys([b"a", b"b", b"c", b"d", b"e", b"f"], b"a"), b"x": b"x", b"y": b"x"}
 
 
-def language_model(rows, train, strength):
-    one, two, held = Counter(), Counter(), Counter()
+def language_model(rows, train, strength, order):
+    counts, held = Counter(), Counter()
     tokens = {n: [fold(w) for w in words(t)] + [None] for n, (_, t) in enumerate(rows)}
+
+    def contexts(text, i):
+        """The tokens before the i-th, from none to order - 1, the start mark among them."""
+        past = ["", *text[:i]]
+        return [tuple(past[len(past) - m :]) for m in range(min(order - 1, len(past)) + 1)]
+
     for n, (i, _) in enumerate(rows):
         if train(i):
-            one.update(tokens[n])
-            pairs = list(zip(["", *tokens[n]], tokens[n]))
-            two.update(pairs)
-            held.update(u for u, _ in pairs)
-    total, types = sum(one.values()), len(one)
+            for at, v in enumerate(tokens[n]):
+                for h in contexts(tokens[n], at):
+                    counts[h, v] += 1
+                    held[h] += 1
+    total, types = held[()], sum(1 for h, _ in counts if not h)
     out = []
     for n, (i, _) in enumerate(rows):
         base = score = 0.0
-        for u, v in zip(["", *tokens[n]], tokens[n]):
-            p = (one[v] + 1) / (total + types + 1)
+        for at, v in enumerate(tokens[n]):
+            p = (counts[(), v] + 1) / (total + types + 1)
             base += math.log10(p)
-            score += math.log10((two[u, v] + strength * p) / (held[u] + strength))
-        out.append((i, len(tokens[n]), sum(v in one for v in tokens[n]), total, round(base, 6), round(score, 6)))
+            for h in contexts(tokens[n], at)[1:]:
+                p = (counts[h, v] + strength * p) / (held[h] + strength)
+            score += math.log10(p)
+        known = sum(counts[(), v] > 0 for v in tokens[n])
+        out.append((i, len(tokens[n]), known, total, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
 
-def scored(df, train):
-    rows = lm.score_texts(df, train).collect()
+def scored(df, train, order):
+    rows = lm.score_texts(df, train, order=order).collect()
     return sorted(
         ((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
          for r in rows), key=str)
 
 
-def test_lm_scores(spark, corpus, monkeypatch):
-    monkeypatch.setattr(common, "CHUNK_CHARS", 5000)
-    found = scored(docs(spark, corpus), F.col("doc_id") % 3 != 0)
-    for a, b in zip(found, language_model(corpus, lambda i: i % 3 != 0, lm.STRENGTH), strict=True):
+def same_scores(found, wanted):
+    for a, b in zip(found, wanted, strict=True):
         assert a[:4] == b[:4]
         assert a[4:] == pytest.approx(b[4:], abs=2e-6)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, corpus, monkeypatch, order):
+    monkeypatch.setattr(common, "CHUNK_CHARS", 5000)
+    found = scored(docs(spark, corpus), F.col("doc_id") % 3 != 0, order)
+    same_scores(found, language_model(corpus, lambda i: i % 3 != 0, lm.STRENGTH, order))
+
+
 def test_lm_edges(spark):
-    assert scored(docs(spark, []), F.lit(True)) == []
-    rows = [(1, None), (1, None), (2, "a a"), (None, "a")]
-    assert scored(docs(spark, rows), F.lit(False)) == language_model(rows, lambda i: False, lm.STRENGTH)
-    known = scored(docs(spark, rows), F.col("doc_id") > 0)
-    assert known == language_model(rows, lambda i: i is not None, lm.STRENGTH)
+    assert scored(docs(spark, []), F.lit(True), 3) == []
+    rows = [(1, None), (1, None), (2, "a a"), (None, "a"), (3, "a b a"), (4, "")]
+    for order in (2, 3):
+        same_scores(scored(docs(spark, rows), F.lit(False), order), language_model(rows, lambda i: False, lm.STRENGTH, order))
+        known = scored(docs(spark, rows), F.col("doc_id") > 0, order)
+        same_scores(known, language_model(rows, lambda i: i is not None, lm.STRENGTH, order))
+
+
+def test_lm_long_texts_are_read_in_lanes(spark, monkeypatch):
+    """Texts of several lanes, and of exactly one, two and three."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(n))) for i, n in enumerate([511, 512, 1023, 1024, 1535, 5000, 3])]
+    same_scores(scored(docs(spark, rows), F.col("doc_id") != 4, 4), language_model(rows, lambda i: i != 4, lm.STRENGTH, 4))
+
+
+def test_lm_keys_are_packed_without_loss():
+    rng = np.random.default_rng(4)
+    top = np.uint64(2**64 - 1)
+    for keys in ([0], [top], [0, 1], [0, top], [5, 6, 7, 2**63], rng.integers(0, 2**63, 1000)):
+        keys = np.unique(np.array(keys, np.uint64))
+        assert np.array_equal(lm._unpacked(lm._packed(keys)), keys)
 
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
