@@ -270,12 +270,15 @@ def test_lm_long_texts_are_read_in_lanes(spark, monkeypatch):
     same_scores(scored(docs(spark, rows), F.col("doc_id") != 4, 4), language_model(rows, lambda i: i != 4, lm.STRENGTH, 4))
 
 
-def test_lm_keys_are_packed_without_loss():
+def test_lm_keys_and_counts_are_packed_without_loss():
     rng = np.random.default_rng(4)
-    top = np.uint64(2**64 - 1)
-    for keys in ([0], [top], [0, 1], [0, top], [5, 6, 7, 2**63], rng.integers(0, 2**63, 1000)):
+    top = 2**64 - 256
+    for keys in ([0], [top], [0, 256], [0, top], [512, 768, 1024, 2**63], rng.integers(0, 2**55, 1000) << 8):
         keys = np.unique(np.array(keys, np.uint64))
         assert np.array_equal(lm._unpacked(lm._packed(keys)), keys)
+    for counts in ([], [0], [14, 15], [15, 0, 16], [70_000, 1, 2**40, 15, 3], rng.integers(0, 40, 999)):
+        counts = np.array(counts, np.int64)
+        assert np.array_equal(lm._wide(lm._small(counts), len(counts)), counts)
 
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
