@@ -72,6 +72,11 @@ class Tokens:
         for size, (where, part) in enumerate(zip(at, np.split(which, np.cumsum([len(x) for x in at[:-1]]))), 1):
             self.grams[size, where] = part
 
+    def counts(self, train: pa.Array) -> np.ndarray:
+        """How often each key occurs in the chunk's training texts."""
+        trained = self.grams[1:, np.asarray(train).astype(bool)[self.doc]]
+        return np.bincount(trained[trained >= 0], minlength=len(self.keys))
+
     def contexts(self, size: int) -> np.ndarray:
         """The n-gram of ``size`` tokens before each token."""
         before = np.roll(self.grams[size], 1)
@@ -151,20 +156,22 @@ def _unpacked(raw) -> np.ndarray:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Counts in four bits each. 15 stands for those that follow, in as many bytes as the largest needs."""
+    """Counts in four bits each, zstd on top. 15 stands for those that follow, as wide as the largest."""
     low = np.minimum(values, 15).astype(np.uint8)
     low = np.append(low, np.zeros(len(low) % 2, np.uint8))
     high = values[values >= 15]
     kind = np.min_scalar_type(int(high.max()) if len(high) else 0)
-    return bytes([kind.itemsize]) + (low[::2] | low[1::2] << 4).tobytes() + high.astype(kind).tobytes()
+    body = bytes([kind.itemsize]) + (low[::2] | low[1::2] << 4).tobytes() + high.astype(kind).tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _wide(raw, n: int) -> np.ndarray:
     """The ``n`` counts of ``_small``."""
     raw = bytes(raw)
-    pairs = np.frombuffer(raw, np.uint8, (n + 1) // 2, 1)
+    body = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    pairs = np.frombuffer(body, np.uint8, (n + 1) // 2, 1)
     counts = np.stack([pairs & 15, pairs >> 4], axis=1).reshape(-1)[:n].astype(np.int64)
-    counts[counts == 15] = np.frombuffer(raw, f"u{raw[0]}", offset=1 + len(pairs))
+    counts[counts == 15] = np.frombuffer(body, f"u{body[0]}", offset=1 + len(pairs))
     return counts
 
 
@@ -188,8 +195,7 @@ def score_texts(
 
     def count(row: pa.RecordBatch):
         t = Tokens(c.listed(row, "text"), order)
-        trained = t.grams[1:, np.asarray(c.listed(row, "train")).astype(bool)[t.doc]]
-        n = np.bincount(trained[trained >= 0], minlength=len(t.keys))
+        n = t.counts(c.listed(row, "train"))
         bounds = c.split(t.keys, buckets)
         return [
             (b, _packed(t.keys[s:e]), _small(n[s:e]))
@@ -206,7 +212,8 @@ def score_texts(
         stats = np.zeros((2, table.num_rows), np.int64)
         stats[:, 0] = words.sum(), (words > 0).sum()
         ends = np.cumsum([len(k) for k in keys])
-        back = [_small(x) for x in np.split(sums[where], ends[:-1])]
+        # A chunk knows its own counts: what the others add is zero for most n-grams.
+        back = [_small(x) for x in np.split(sums[where] - counts, ends[:-1])]
         return pa.Table.from_arrays(
             [table["chunk"], table["bucket"], c.binaries(back), pa.array(stats[0]), pa.array(stats[1])],
             names=["chunk", "bucket", "back", "tokens", "types"])
@@ -222,10 +229,10 @@ def score_texts(
     def read(row: pa.RecordBatch, back):
         t = Tokens(c.listed(row, "text"), order)
         n = len(t.lengths)
-        counts = np.zeros(len(t.keys), np.int64)
+        counts = t.counts(c.listed(row, "train"))
         bounds = c.split(t.keys, buckets)
         for b, raw in back.items():
-            counts[bounds[b] : bounds[b + 1]] = _wide(raw, bounds[b + 1] - bounds[b])
+            counts[bounds[b] : bounds[b + 1]] += _wide(raw, bounds[b + 1] - bounds[b])
         model = Automaton(counts, t, tokens, types, strength)
         score = np.add.reduceat(model.traverse(t), t.begin)
         base = np.add.reduceat(model.root[t.grams[1]], t.begin)
