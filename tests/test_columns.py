@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.fixed import GENDER_NORMS, NULL_SPELLINGS
+from reviewmill import sizes
 from reviewmill.functions import categories, dates, numbers, text, vectors
 from reviewmill.plans import standardize
 
@@ -134,3 +135,15 @@ def test_row_key_is_stable(spark):
     first = [r[0] for r in df.select(key).collect()]
     assert first == [r[0] for r in df.repartition(5).select(key, "o").orderBy("o").collect()]
     assert first[0].startswith("r_2024-01-02 00:00:00_") and first[1].startswith("NA_NA_")
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    rows = spark.range(200).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in plan(sizes.broadcast_if_small(rows))
+    assert "ResolvedHint" not in plan(sizes.broadcast_if_small(rows, max_bytes=2_000_000))
+    assert "ResolvedHint" not in plan(sizes.broadcast_if_small(rows, max_rows=199))
+    assert "ResolvedHint" in plan(sizes.broadcast_if_small(rows.limit(0)))
+    fetched = sizes._fetched(rows, 1000, 2_000_000)
+    assert 2_000_000 < fetched.nbytes < 2_500_000
+    assert sizes._fetched(rows, 150, 1 << 30).num_rows == 150
