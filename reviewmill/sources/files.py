@@ -1,22 +1,26 @@
 """Scans of delimited review files.
 
-A row's place in its input is kept as one long, ``ord``: the file's rank in the listing in the
-high bits, a byte-scale position in the low 43 bits (block start plus row count inside the
-task). A row takes at least one byte, so positions rise within a file and never repeat. One
-long keeps "first row" rules inside hash aggregation.
+A row's place in its input is kept as one long, ``ord``: a byte-scale position (block start plus
+row count inside the task) in the files laid end to end in the order of the listing. A row takes at
+least one byte, so positions rise and never repeat; between files lies room for the rows that a task
+may have counted in other files before. One long keeps "first row" rules inside hash aggregation.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import unquote
+from itertools import accumulate
+from urllib.parse import quote, unquote
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,7 +28,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from reviewmill.fixed import HEADER_SYNONYMS, STANDARD_COLUMNS
 from reviewmill.functions.numbers import coerce_numeric
 from reviewmill.functions.text import null_literals
-from reviewmill.session import scratch_dir
+from reviewmill.session import file_store, scratch_dir
 from reviewmill.sizes import broadcast_if_small
 from reviewmill.sources.headers import (
     choose_delimiter,
@@ -37,8 +41,9 @@ from reviewmill.sources.headers import (
 from reviewmill.sources.records import PIECES, RECORD, SPLIT, TAIL, UNKNOWN, split_records
 
 SUFFIXES = (".csv", ".txt")
-POSITION_BITS = 43
-MAX_FILES = 1 << 20
+# Files whose first lines one task reads.
+HEADS_PER_TASK = 256
+HEADS = "place bigint, size bigint, digest binary, line string"
 # Targets whose cells come from the file; the others are derived later.
 TEXT_TARGETS = [n for n, _ in STANDARD_COLUMNS if n in HEADER_SYNONYMS]
 
@@ -49,7 +54,7 @@ class ReviewSource:
 
     path: str
     parts: list[str] = field(default_factory=list)
-    first_rank: int = 0
+    sizes: list[int] = field(default_factory=list)
     status: str = "ok"
     delimiter: str = ","
     raw_headers: list[str] = field(default_factory=list)
@@ -116,49 +121,98 @@ def header_line(spark: SparkSession, *paths: str) -> str:
 def list_sources(spark: SparkSession, folder: str, by: str = "file") -> list[ReviewSource]:
     """Sources below a folder in path order. ``by='folder'`` takes each folder as one source.
 
-    Only the listing reaches the driver. Every part has a rank, the high bits of its ordinals.
+    Only the listing reaches the driver.
     """
-    paths = _review_paths(spark, folder)
-    if len(paths) > MAX_FILES:
-        raise ValueError(f"{len(paths)} files; merge them below {MAX_FILES} first")
     sources: dict[str, ReviewSource] = {}
-    for path in paths:
+    for path in _review_paths(spark, folder):
         unit = os.path.dirname(path) if by == "folder" else path
         sources.setdefault(unit, ReviewSource(unit)).parts.append(path)
-    rank = 0
-    for source in sources.values():
-        source.first_rank = rank
-        rank += len(source.parts)
     return list(sources.values())
 
 
 def sources_of(paths: Sequence[str]) -> list[ReviewSource]:
     """Sources from an explicit list of files, in that order."""
-    return [ReviewSource(p, [p], i) for i, p in enumerate(paths)]
-
-
-def resolve_source(
-    spark: SparkSession, source: ReviewSource, synonyms: Mapping[str, list[str]] = HEADER_SYNONYMS
-) -> ReviewSource:
-    """Read the header line; a source that cannot be read gets status 'unreadable'."""
-    check_suffix(source.name)
-    try:
-        line = header_line(spark, *source.parts)
-        if source.name.lower().endswith(".txt"):
-            source.delimiter = sniff_delimiter(line)
-        source.raw_headers = split_header(line, source.delimiter)
-        source.mapping = map_columns(source.headers, synonyms)
-    except (ValueError, AnalysisException) as problem:  # no header or a wrong one; storage faults stop the job
-        source.status, source.error = "unreadable", str(problem)
-    return source
+    return [ReviewSource(p, [p]) for p in paths]
 
 
 def resolve_sources(
-    spark: SparkSession, sources: Sequence[ReviewSource], synonyms=HEADER_SYNONYMS
+    spark: SparkSession, sources: Sequence[ReviewSource], synonyms: Mapping[str, list[str]] = HEADER_SYNONYMS
 ) -> list[ReviewSource]:
-    """Headers of all sources, one short read each."""
-    with ThreadPoolExecutor(16) as pool:
-        return list(pool.map(lambda s: resolve_source(spark, s, synonyms), sources))
+    """Sizes and header lines of all sources, in one job whatever the number of files.
+
+    A source has the header of its first part that is not blank. One that cannot be read gets status
+    'unreadable'; storage faults stop the job. Per file two numbers and a digest come to the driver,
+    and a header line once per task that met it.
+    """
+    for source in sources:
+        check_suffix(source.name)
+    paths = [p for s in sources for p in s.parts]
+    if not paths:
+        return list(sources)
+    listed = pa.table({"place": pa.array(range(len(paths)), pa.int64()), "path": pa.array(paths, pa.string())})
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(paths) // HEADS_PER_TASK))
+    heads = spark.createDataFrame(listed).repartition(min(tasks, len(paths))).mapInArrow(_read_heads, HEADS).toArrow()
+    heads = heads.sort_by("place")
+    lines = {d: line for d, line in zip(heads["digest"].to_pylist(), heads["line"].to_pylist()) if line is not None}
+    sizes, digests = heads["size"].to_pylist(), heads["digest"].to_pylist()
+    known: dict[tuple, dict] = {}
+    first = 0
+    for source in sources:
+        own = range(first, first + len(source.parts))
+        first = own.stop
+        source.sizes = [max(sizes[i], 0) for i in own]
+        missing = [paths[i] for i in own if sizes[i] < 0]
+        digest = next((digests[i] for i in own if digests[i] is not None), None)
+        key = (digest, source.name.lower().endswith(".txt"))
+        if missing:
+            source.status, source.error = "unreadable", f"no such file: {missing[0]}"
+            continue
+        if key not in known:
+            known[key] = _header_facts(lines.get(digest), key[1], synonyms)
+        for name, value in known[key].items():
+            setattr(source, name, value)
+    return list(sources)
+
+
+def _header_facts(line: str | None, sniff: bool, synonyms: Mapping[str, list[str]]) -> dict:
+    """What a header line says about its source; sources with one line share the result."""
+    try:
+        if line is None:
+            raise ValueError("file is empty")
+        delimiter = sniff_delimiter(line) if sniff else ","
+        raw = split_header(line, delimiter)
+        mapping = map_columns([normalize_header(h) for h in raw], synonyms)
+    except ValueError as problem:
+        return {"status": "unreadable", "error": str(problem)}
+    return {"delimiter": delimiter, "raw_headers": raw, "mapping": mapping}
+
+
+def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and first line of each file; a size below 0 stands for a missing file."""
+    told = set()
+    for batch in batches:
+        rows = []
+        for place, path in zip(batch["place"].to_pylist(), batch["path"].to_pylist()):
+            size, line = _head(path)
+            digest = None if line is None else hashlib.md5(line.encode()).digest()
+            rows.append((place, size, digest, None if digest in told else line))
+            told.add(digest)
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+        yield pa.RecordBatch.from_arrays(columns, names=["place", "size", "digest", "line"])
+
+
+def _head(path: str) -> tuple[int, str | None]:
+    local = "://" not in path or path.startswith("file:")
+    store, inner = file_store(path if local else quote(path, safe=":/@"))
+    found = store.get_file_info(inner)
+    if found.type != pafs.FileType.File:
+        return -1, None
+    with store.open_input_stream(inner, compression=None) as raw:
+        for line in io.TextIOWrapper(raw, "utf-8", "replace"):
+            if line.strip(" \n"):
+                return found.size, line.removesuffix("\n").lstrip("\ufeff")
+    return found.size, None
 
 
 def file_report(spark: SparkSession, sources: Sequence[ReviewSource]) -> DataFrame:
@@ -378,13 +432,24 @@ def _scan_layouts(
     spark: SparkSession, sources: Sequence[ReviewSource], multi_line: bool | str
 ) -> list[tuple[list[ReviewSource], DataFrame]]:
     """The sources and rows of each layout; stitched ones are read side by side."""
-    groups = by_layout(sources)
+    groups, starts = by_layout(sources), _starts(spark, sources)
     with ThreadPoolExecutor(8) as pool:
-        return list(zip(groups, pool.map(lambda group: _scan_layout(spark, group, multi_line), groups)))
+        return list(zip(groups, pool.map(lambda group: _scan_layout(spark, group, starts, multi_line), groups)))
+
+
+def _starts(spark: SparkSession, sources: Sequence[ReviewSource]) -> dict[str, int]:
+    """The first ordinal of each file."""
+    paths = [p for s in sources for p in s.parts]
+    # rows that a task has counted in other files take no more bytes than its partition has
+    room = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    starts = list(accumulate((n + room for s in sources for n in s.sizes), initial=0))
+    if starts[-1] >= 1 << 63:
+        raise ValueError("the files take more than 2^63 bytes")
+    return dict(zip(paths, starts))
 
 
 def _scan_layout(
-    spark: SparkSession, group: list[ReviewSource], multi_line: bool | str
+    spark: SparkSession, group: list[ReviewSource], starts: Mapping[str, int], multi_line: bool | str
 ) -> DataFrame:
     """Cells under normalized headers, with the source name and the ordinal."""
     paths = [p for s in group for p in s.parts]
@@ -395,27 +460,28 @@ def _scan_layout(
         ranked = rows.withColumns(
             {
                 "source_file": F.lit(group[0].name),
-                "_rank": F.lit(group[0].first_rank).cast("long"),
+                "_start": F.lit(starts[paths[0]]).cast("long"),
             }
         )
     else:
         # The scan reports paths percent-encoded.
         encoded = {_bare(unquote(p)): _bare(p) for p in spark.read.text(paths).inputFiles()}
         listed = [
-            (encoded.get(_bare(p), _bare(p)), s.first_rank + i, s.name)
+            (encoded.get(_bare(p), _bare(p)), starts[p], s.name)
             for s in group
-            for i, p in enumerate(s.parts)
+            for p in s.parts
         ]
         if len({path for path, _, _ in listed}) < len(listed):
             raise ValueError("two input files have the same path on different stores")
-        ranks = spark.createDataFrame(listed, "_file string, _rank long, source_file string")
+        columns = [pa.array(values) for values in zip(*listed)]
+        places = spark.createDataFrame(pa.table(columns, names=["_file", "_start", "source_file"]))
         bare = F.regexp_replace("_path", SCHEME, "/")
-        # One row per listed file, at most MAX_FILES.
-        ranked = rows.join(F.broadcast(ranks), bare == F.col("_file"))
+        # one row per listed file
+        ranked = rows.join(broadcast_if_small(places), bare == F.col("_file"))
     return ranked.select(
         *[F.col(f"`{h}`") for h in headers],
         "source_file",
-        F.shiftleft("_rank", POSITION_BITS).bitwiseOR(F.col("_position")).alias("ord"),
+        (F.col("_start") + F.col("_position")).alias("ord"),
     )
 
 

@@ -144,17 +144,17 @@ class _Split:
         if self.header:
             # the first record with a line that is not blank; the order is that of the places
             for i in np.argsort(place):
-                if text[i].as_py().replace("\n", "").strip(" "):
+                if text[i].as_py().replace("\n", "").strip(" \r"):
                     head[i], self.header = True, False
                     break
-            if self.header and any(x.strip(" ") for x in self.lines):
+            if self.header and any(x.strip(" \r") for x in self.lines):
                 self.head, self.header = True, False
         if len(place):
             yield self.rows(RECORD, at=pa.array(place), line=text, head=pa.array(head))
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.lines:
-            if self.header and any(x.strip(" ") for x in self.lines):
+            if self.header and any(x.strip(" \r") for x in self.lines):
                 self.head = True
             yield self.rows(TAIL, at=[self.opened], record=[self.opened], line=["\n".join(self.lines)], head=[self.head])
         if self.known or self.settled:

@@ -24,11 +24,12 @@ from reviewmill.operators.vector_table import VectorTable
 from reviewmill.plans.index import embed_projection
 from reviewmill.plans.standardize import apply_scales, coerce_types, derive, final_projection
 from reviewmill.sizes import broadcast_if_small
-from reviewmill.sources.files import POSITION_BITS
 from reviewmill.sources.headers import map_columns
 
 # Where a streamed row came from; used for its order inside a micro-batch.
 PLACE = ["_path", "_block"]
+# Low bits of an order, for the place in a file; the file's rank in its batch lies above.
+POSITION_BITS = 43
 # Texts that a task remembers, to leave out repeats before the shuffle.
 MET_TEXTS = 1_000_000
 # State that does not have to fit into the executors' memory.

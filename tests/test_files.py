@@ -230,3 +230,36 @@ def test_paths_with_special_characters_keep_their_ranks(spark, folder):
     rows = files.scan_reviews(spark, sources).orderBy("ord").collect()
     assert [(r["source_file"], r["review_id"]) for r in rows] == [
         (n, i) for n in ("a%20x.csv", "b c.csv", "ü.csv") for i in ("1", "2")]
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_headers_of_all_files_are_read_in_one_job(spark, folder, n):
+    for i in range(n):
+        put(folder, f"f{i:03d}.{'txt' if i % 3 == 2 else 'csv'}", "\n  \r\nid;a\n" if i % 3 == 2 else f"\nid,c{i % 2}\r\n{i},x\r\n")
+    put(folder, "blank.csv", " \n\n")
+    sources = files.list_sources(spark, folder)
+    sources += files.sources_of([os.path.join(folder, "gone.csv")])
+    context = spark.sparkContext
+    context.setJobGroup(folder, "headers")
+    try:
+        resolved = files.resolve_sources(spark, sources)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup(folder)) <= 2  # a shuffle of paths, its reader
+    by_name = {s.name: s for s in resolved}
+    assert by_name["blank.csv"].error == "file is empty" and by_name["gone.csv"].status == "unreadable"
+    assert by_name["f002.txt"].raw_headers == ["id", "a"] and by_name["f002.txt"].delimiter == ";"
+    assert by_name["f001.csv"].raw_headers == ["id", "c1"] and by_name["f001.csv"].sizes == [len("\nid,c1\r\n1,x\r\n")]
+    rows = files.scan_reviews(spark, resolved).orderBy("ord").collect()
+    assert [r["source_file"] for r in rows] == [f"f{i:03d}.csv" for i in range(n) if i % 3 != 2]
+
+
+def test_ordinals_of_packed_files_do_not_meet(spark, folder):
+    """A task counts the rows of all files that it reads, so positions pass the size of a file."""
+    for f in range(30):
+        put(folder, f"f{f:02d}.csv", "id\n" + "".join(f"{i}\n" for i in range(f % 7)))
+    resolved = files.resolve_sources(spark, files.list_sources(spark, folder))
+    rows = files.scan_reviews(spark, resolved, False).orderBy("ord").collect()
+    assert [(r["source_file"], r["review_id"]) for r in rows] == [
+        (f"f{f:02d}.csv", str(i)) for f in range(30) for i in range(f % 7)]
+    assert len({r["ord"] for r in rows}) == len(rows)
