@@ -11,7 +11,7 @@ from reviewmill.fixed import SERVICE_K
 from reviewmill.functions.numbers import round_even
 from reviewmill.functions.vectors import cosine
 from reviewmill.operators.embed import Embedder, with_vectors
-from reviewmill.operators.quantiles import SORTABLE, value_at_ranks
+from reviewmill.operators.quantiles import ACCURACY, Spot, exact_quantiles
 from reviewmill.operators.search import knn_exact
 from reviewmill.sizes import broadcast_if_small
 
@@ -57,15 +57,13 @@ def p95_rank(n: int) -> int:
     return max(1, int(n * 0.95))
 
 
-def p95_value(df: DataFrame, column: str, sortable: int = SORTABLE) -> float | None:
-    n = df.agg(F.count(column).alias("n")).first()["n"]
-    if not n:
-        return None
-    rank = p95_rank(n)
-    return value_at_ranks(df, column, [rank], sortable)[rank]
+def p95_value(df: DataFrame, column: str, accuracy: int = ACCURACY) -> Column:
+    """The value at ``p95_rank``, to be used in another frame; null without any value."""
+    spot = Spot(0.95, lambda n: F.greatest(F.floor(n * F.lit(0.95)), F.lit(1)) - 1)
+    return exact_quantiles(df, [column], [spot], accuracy).select(F.get("values", F.lit(0))).scalar()
 
 
-def eval_summary(scored: DataFrame, p95: float | None) -> DataFrame:
+def eval_summary(scored: DataFrame, p95: Column | float | None) -> DataFrame:
     """Questions, p95 latency and mean scores; no questions give nulls."""
     semantic = F.avg("semantic_acc") if "semantic_acc" in scored.columns else F.lit(None)
     return scored.agg(

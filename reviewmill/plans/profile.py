@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import mentions_any, norm_text_dupkey
 from reviewmill.operators.dedup import digest
-from reviewmill.operators.quantiles import SORTABLE, exact_quantiles
+from reviewmill.operators.quantiles import ACCURACY, exact_quantiles, linear, sketches
 
 NUMERIC = [
     "rating_raw", "rating_scale", "rating_1_5", "total_spent", "tip_amount", "tip_percentage",
@@ -21,30 +21,32 @@ TEXT_COLUMNS = ["customer_name", "review_text", "location", "restaurant_name"]
 
 
 def describe(
-    df: DataFrame, columns: Sequence[str] = NUMERIC, sortable: int = SORTABLE
+    df: DataFrame, columns: Sequence[str] = NUMERIC, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles, max; one row per column.
 
-    A frame of at most ``sortable`` rows takes one pass with ``percentile``; a larger one takes
-    its quartiles from ``exact_quantiles``, which never gathers a column in one task.
+    Two passes whatever the number of columns: the first also sketches the quartiles, the second
+    counts around them (``exact_quantiles``). No column is gathered in one task.
     """
-    small = df.count() <= sortable
 
     def facts(column: str):
         c = F.col(column).cast("double")
-        basics = [
+        return [
             F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
             F.min(c).alias("min"), F.max(c).alias("max"),
         ]
-        if small:
-            return basics + [F.percentile(c, F.lit(q)).alias(f"q{int(q * 100)}") for q in QUARTILES]
-        cuts = exact_quantiles(df, column, QUARTILES, sortable)
-        return basics + [
-            F.lit(v).cast("double").alias(f"q{int(q * 100)}") for q, v in zip(QUARTILES, cuts)
-        ]
 
-    stats = [F.struct(F.lit(c).alias("column"), *facts(c)) for c in columns]
-    return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
+    spots = [linear(q) for q in QUARTILES]
+    sketch = sketches(df, columns, spots, accuracy, facts)
+    shown = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"s.c{i}.{name}").alias(name) for name in ("count", "mean", "std", "min", "max")])
+        for i, c in enumerate(columns)
+    ]
+    one = df.sparkSession.range(1, numPartitions=1).select(sketch.scalar().alias("s"))
+    cuts = exact_quantiles(df, columns, spots, accuracy, sketch).select(
+        "column", *[F.get("values", F.lit(i)).alias(f"q{int(q * 100)}") for i, q in enumerate(QUARTILES)]
+    )
+    return one.select(F.inline(F.array(*shown))).join(cuts, "column", "left")
 
 
 def scale_by_source(df: DataFrame) -> DataFrame:
@@ -56,44 +58,33 @@ def scale_by_source(df: DataFrame) -> DataFrame:
 
 
 def quantile_outliers(
-    df: DataFrame, column: str = "total_spent", q: float = 0.99, sortable: int = SORTABLE
+    df: DataFrame, column: str = "total_spent", q: float = 0.99, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Rows strictly above the exact quantile."""
-    limit = exact_quantiles(df, column, [q], sortable)[0]
-    return df.filter(F.col(column) > F.lit(limit).cast("double"))
+    limit = exact_quantiles(df, [column], [linear(q)], accuracy).select(F.get("values", F.lit(0)))
+    return df.filter(F.col(column) > limit.scalar())
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 25) -> DataFrame:
     """Equal-width bin counts per column; the last bin is closed.
 
-    The bounds are two literals per column, from one aggregation. A column with a single value
-    gets a range of half a unit to either side.
+    The bounds are one aggregation, looked up when the bins are counted. A column with a single
+    value gets a range of half a unit to either side.
     """
-    bounds = df.agg(
-        *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
-    ).first()
+    ends = [
+        F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    bounds = df.agg(F.struct(*ends).alias("b"))
     cells = []
-    for column in columns:
-        lo, hi = bounds[f"lo_{column}"], bounds[f"hi_{column}"]
-        if lo is None:
-            continue
-        lo, hi = float(lo), float(hi)
-        if lo == hi:
-            lo, hi = lo - 0.5, hi + 0.5
-        value = F.col(column).cast("double")
-        place = F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins))
-        place = F.when(place > bins, F.lit(bins)).otherwise(place)
-        cells.append(
-            F.struct(
-                F.lit(column).alias("column"),
-                place.cast("int").alias("bin"),
-                F.lit(lo).alias("lo"),
-                F.lit(hi).alias("hi"),
-            )
-        )
-    if not cells:
-        return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, n long")
-    long = df.select(F.inline(F.array(*cells))).filter(F.col("bin").isNotNull())
+    for i, column in enumerate(columns):
+        lo, hi = F.col(f"b.c{i}.lo"), F.col(f"b.c{i}.hi")
+        lo, hi = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
+        place = F.width_bucket(F.col(f"v{i}"), lo, hi, F.lit(bins))
+        place = F.when(place > bins, F.lit(bins)).otherwise(place).cast("int")
+        cells.append(F.struct(F.lit(column).alias("column"), place.alias("bin"), lo.alias("lo"), hi.alias("hi")))
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    long = rows.withColumn("b", bounds.scalar()).select(F.inline(F.array(*cells))).filter(F.col("bin").isNotNull())
     return long.groupBy("column", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 

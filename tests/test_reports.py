@@ -1,13 +1,14 @@
 """Quantiles, status rules, evaluation."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.operators.embed import HashingEmbedder
-from reviewmill.operators.quantiles import exact_quantiles, value_at_ranks
+from reviewmill.operators.quantiles import Spot, exact_quantiles, linear
 from reviewmill.plans import evaluate, profile, reports
 from reviewmill.sizes import broadcast_if_small
 
@@ -19,21 +20,50 @@ from reviewmill.sizes import broadcast_if_small
     [5.0],
     [float("-inf"), 1.0, 2.0, float("inf")],
 ])
-@pytest.mark.parametrize("sortable", [3, 10_000])
-def test_order_statistics(spark, values, sortable):
+@pytest.mark.parametrize("accuracy", [10, 100, 100_000])
+def test_order_statistics(spark, values, accuracy):
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
-    ranks = sorted({1, len(values), max(1, len(values) // 2), max(1, int(len(values) * 0.95))})
-    assert value_at_ranks(df, "v", ranks, sortable) == {r: sorted(values)[r - 1] for r in ranks}
+    ranks = sorted({1, 2, len(values) // 4, len(values) // 2, len(values) - 1, len(values)} & set(range(1, len(values) + 1)))
+    spots = [Spot(r / len(values), lambda n, r=r: F.lit(r - 1)) for r in ranks]
+    got = exact_quantiles(df, ["v"], spots, accuracy).first()["values"]
+    assert got == [sorted(values)[r - 1] for r in ranks]
 
 
-@pytest.mark.parametrize("sortable", [50, 10_000])
-def test_quantiles_equal_numpy(spark, sortable):
-    values = [random.Random(2).gauss(0, 100) for _ in range(2000)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
+@pytest.mark.parametrize("accuracy", [10, 200, 100_000])
+def test_quantiles_equal_numpy(spark, accuracy):
+    rng = random.Random(2)
+    values = [(rng.gauss(0, 100), float(rng.randint(1, 5))) for _ in range(2000)]
+    df = spark.createDataFrame([(*v, None) for v in values], "v double, w double, e double")
     probabilities = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "v", probabilities, sortable)
-    assert np.allclose(got, np.quantile(values, probabilities), rtol=1e-12)
-    assert exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    found = exact_quantiles(df, ["v", "w", "e"], [linear(q) for q in probabilities], accuracy)
+    got = {r["column"]: r["values"] for r in found.collect()}
+    assert set(got) == {"v", "w"}
+    for name, column in zip("vw", zip(*values)):
+        assert np.allclose(got[name], np.quantile(column, probabilities), rtol=1e-12)
+    for n in range(1, 6):
+        some = exact_quantiles(df.limit(n), ["v"], [linear(q) for q in probabilities], accuracy)
+        assert np.allclose(some.first()["values"], np.quantile([v for v, _ in values[:n]], probabilities))
+    assert exact_quantiles(df.limit(0), ["v"], [linear(0.5)]).count() == 0
+
+
+def test_statistics_of_all_columns_take_two_scans(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(5000).selectExpr(*[f"rand({i}) * {i} AS {c}" for i, c in enumerate(profile.NUMERIC)]).write.parquet(path)
+    context = spark.sparkContext
+    context.setJobGroup(path, "describe")
+    try:
+        stats = profile.describe(spark.read.parquet(path))
+        bins = profile.histogram(spark.read.parquet(path), profile.NUMERIC)
+        high = profile.quantile_outliers(spark.read.parquet(path))
+        before = set(context.statusTracker().getJobIdsForGroup(path))
+        assert stats.count() == len(profile.NUMERIC) and bins.count() > 100 and high.count() == 50
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(before) <= 3  # the schemas of three reads, nothing else
+    rows = stats.collect()
+    assert {r["column"] for r in rows} == set(profile.NUMERIC) and all(r["q25"] <= r["q50"] <= r["q75"] for r in rows)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"FileScan parquet \[rating_raw#(\d+)", plan))) == 2  # shown more than once, read once each
 
 
 def test_histogram_edges(spark):
