@@ -43,8 +43,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; ``n_chars`` follows the text."""
-    masked = pii.mask_text(docs, count_col=common.free_name(docs, "n_values")).select(docs.columns)
+    """Documents with personal data replaced; ``n_chars`` follows the text.
+
+    The secret is the session's (``queries.KEY_SETTING``); the test tables do with the sample key.
+    """
+    masked = pii.mask_text(docs, queries.pseudonym_key(spark), count_col=common.free_name(docs, "n_values")).select(docs.columns)
     if "n_chars" not in docs.columns:
         return masked
     return masked.withColumn("n_chars", F.length("text").cast("long"))
