@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "pseudonyms"
 
 #: Fixed formats, in the order in which they are tried at one place.
 EMAIL = (
@@ -272,7 +271,7 @@ def _pattern(text: Column) -> Column:
     return F.when(text.rlike(IBAN), F.try_element_at(named, F.lit(1)))
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a candidate, the candidate itself if it is not valid."""
 
     def is_(pattern: str) -> Column:
@@ -300,13 +299,16 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 
 
 def mask_text(
-    df: DataFrame, key: str = KEY, text_col: str = "text", count_col: str = "n_values"
+    df: DataFrame, key: str, text_col: str = "text", count_col: str = "n_values"
 ) -> DataFrame:
     """Replace personal data in a text column by pseudonyms and add ``count_col``, how many.
 
     All rows and other columns stay; a column named ``count_col`` is replaced. A null text stays
-    null with 0 values; an empty one stays empty. ``key`` is the secret of the permutation.
+    null with 0 values; an empty one stays empty. ``key`` is the secret of the permutation:
+    who knows it can undo the pseudonyms. It has no default and must not be empty.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.col(text_col)
     patterns = F.array(F.coalesce(_pattern(text), F.lit(f"{_FIRST}|{_LAST}")))
     found = F.transform(patterns, lambda p: F.struct(

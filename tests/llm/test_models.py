@@ -229,9 +229,12 @@ def test_no_rows_to_shard(spark):
 # --- personal data -----------------------------------------------------------
 
 
-def masked(spark, values, **more):
+KEY = "a secret of the tests"
+
+
+def masked(spark, values, key=KEY, **more):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(values)], "id int, text string, n_values string")
-    rows = sorted(pii.mask_text(df.repartition(2), **more).collect())
+    rows = sorted(pii.mask_text(df.repartition(2), key, **more).collect())
     return [r["text"] for r in rows], [r["n_values"] for r in rows]
 
 
@@ -260,7 +263,7 @@ def test_pseudonyms_keep_the_format(spark):
 
 
 def keyed(tweak, turn, value):
-    return hashlib.sha512(f"{pii.KEY}|{tweak}|{turn}|{value}".encode()).hexdigest()
+    return hashlib.sha512(f"{KEY}|{tweak}|{turn}|{value}".encode()).hexdigest()
 
 
 def feistel_text(value, tweak, letters=26, back=False):
@@ -328,7 +331,7 @@ def test_pseudonyms_are_those_of_a_plain_network_and_go_back(spark):
         mails.append((f"a{name}@site.example.org", feistel_text(f"a{name}@site.example", "email") + ".org"))
     pairs = cards + addresses + socials + secrets + mails
     df = spark.createDataFrame(pairs, "value string, wanted string")
-    found = df.select("value", "wanted", pii.pseudonym(F.col("value")).alias("got")).collect()
+    found = df.select("value", "wanted", pii.pseudonym(F.col("value"), KEY).alias("got")).collect()
     assert [(r["value"], r["got"]) for r in found] == [(r["value"], r["wanted"]) for r in found]
 
 
@@ -405,12 +408,14 @@ def test_layouts_of_a_value_stay_linked(spark):
 
 def test_masking_keeps_all_else(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
-    found = pii.mask_text(df)
+    found = pii.mask_text(df, KEY)
     assert found.columns == [*df.columns, "n_values"]
     joined = found.join(df.select("doc_id", F.col("text").alias("old")), "doc_id")
     assert joined.where((F.col("n_values") == 0) & (F.col("text") != F.col("old"))).count() == 0
     assert joined.where((F.col("n_values") > 0) & (F.col("text") == F.col("old"))).count() == 0
-    assert pii.mask_text(df.limit(0)).collect() == []
+    assert pii.mask_text(df.limit(0), KEY).collect() == []
+    with pytest.raises(ValueError, match="secret"):
+        pii.mask_text(df, "")
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
