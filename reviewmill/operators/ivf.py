@@ -121,9 +121,9 @@ def knn_approx(
     asked = queries.sparkSession.read.parquet(stored.folder).select(query_vector)
     wanted = [row[0] for row in asked.mapInArrow(probed, "list_id int").distinct().collect()]
     found = score_stored(
-        lean.filter(F.col("list_id").isin(wanted)), stored, k, metric, key, vector, queries.schema[query], pairs
+        lean.filter(F.col("list_id").isin(wanted)), stored, k, metric, key, vector, pairs
     )
-    hits = topk_per_query(found, k, query, key, score=F.desc("_order"))
+    hits = topk_per_query(found, k, stored.label, key, score=F.desc("_order"))
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
-    return hits.select(query, "rank", key, "score")
+    return stored.named(hits).select(query, "rank", key, "score")

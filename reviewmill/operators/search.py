@@ -3,7 +3,8 @@
 Documents never move and are read once. The queries are stored in the shared scratch folder;
 each task holds some megabytes of documents and scores them against one block of queries after
 the other, a matrix product per block. The k best per query and buffer are shuffled, nothing
-else. Neither the driver nor a task holds all queries, so any number of them can be answered.
+else: a number for a long query id, and none of the fields that the hits show, which are joined to
+the k best. Neither the driver nor a task holds all queries, so any number of them can be answered.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from reviewmill.fixed import SEARCH_K
 from reviewmill.session import file_store, scratch_dir
@@ -33,6 +34,11 @@ SCORE_DIGITS = 9
 BATCH_ROWS = 2048
 # Cells of one score matrix: documents of a batch times queries.
 SCORE_CELLS = 4_000_000
+# Pairs scored at once, and the share of a matrix (one in so many) above which it is scored whole.
+PAIR_ROWS = 16_384
+DENSE = 16
+# Ids of queries longer than this are numbers until the k best are known.
+LONG_ID = 32
 
 
 def filter_terms(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
@@ -82,62 +88,114 @@ def score_matrix(docs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarr
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _best(hits: pa.Table, k: int, key: str) -> pa.Table:
-    """k best hits per query of one partition's candidates."""
-    hits = hits.sort_by([("query", "ascending"), ("order", "descending"), (key, "ascending")])
-    query = hits.column("query").to_numpy()
-    first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.array([], bool)
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
-    return hits.filter(pa.array(np.arange(len(query)) - begin < k))
-
-
 def _first_k(order: np.ndarray, floor: np.ndarray, key: pa.Array, k: int):
     """(row, query) of at most k rows per query at or above its floor; of equals the smaller keys."""
-    place = np.empty(len(key), np.int64)
-    place[pc.sort_indices(key).to_numpy()] = np.arange(len(key))
     rows, cols = np.nonzero((order >= floor) & (order > -np.inf))
-    best = np.lexsort((place[rows], -order[rows, cols], cols))
-    rows, cols = rows[best], cols[best]
-    nth = np.arange(len(cols)) - np.searchsorted(cols, cols)
-    return rows[nth < k], cols[nth < k]
+    best = _best(cols, order[rows, cols], _places(key)[rows], k)
+    return rows[best], cols[best]
+
+
+def _places(key: pa.Array) -> np.ndarray:
+    """Rank of each key; a missing key comes first, as in Spark."""
+    place = np.empty(len(key), np.int64)
+    place[pc.sort_indices(key, null_placement="at_start").to_numpy()] = np.arange(len(key))
+    return place
+
+
+def _best(query: np.ndarray, order: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the k best pairs per query, by query."""
+    best = np.lexsort((place, -order, query))
+    sorted_query = query[best]
+    return best[np.arange(len(best)) - np.searchsorted(sorted_query, sorted_query) < k]
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest score per query of a matrix (documents x queries)."""
+    return np.partition(np.ascontiguousarray(scores.T), -k, axis=1)[:, -k]
+
+
+class _Coarse:
+    """Products in single precision that tell which pairs can be among the best.
+
+    With lengths of at most one, the rounding of a product of ``dim`` terms is below ``slack``.
+    """
+
+    def __init__(self, queries: np.ndarray, metric: str):
+        self.exact = _unit(queries) if metric == "cosine" else queries
+        self.metric = metric
+        sizes = np.linalg.norm(queries, axis=1)
+        # Products are compared in units of the query's length; it is part of the score of 'dot' only.
+        self.sizes = np.where(sizes > 0, sizes, 1.0) if metric == "dot" else np.ones(len(queries))
+        self.single = np.ascontiguousarray(_unit(queries).astype(np.float32).T)
+        self.slack = (queries.shape[1] + 4) * 2.0**-23 + 1e-6
+        self.usable = metric in ("cosine", "dot") and bool(np.isfinite(sizes).all())
+
+    def pairs(self, docs: np.ndarray, bar: np.ndarray, k: int):
+        """(row, query, score) of all pairs whose rounded score can reach the bar and the k-th of these
+        documents; None if these are so many that the whole matrix is cheaper, or if a vector is not finite."""
+        sizes = np.linalg.norm(docs, axis=1)
+        if not (self.usable and np.isfinite(sizes).all()):
+            return None
+        most = sizes.max(initial=0.0) or 1.0
+        scale = self.sizes * most if self.metric == "dot" else self.sizes
+        exact = _unit(docs) if self.metric == "cosine" else docs
+        near = (exact if self.metric == "cosine" else docs / most).astype(np.float32) @ self.single
+        with np.errstate(over="ignore"):
+            floor = ((bar - 10.0**-SCORE_DIGITS) / scale - self.slack).astype(np.float32)
+        if len(docs) > k and np.isneginf(bar).any():
+            floor = np.maximum(floor, _kth(near, k) - np.float32(2 * self.slack))
+        able = near >= floor
+        if np.count_nonzero(able) * DENSE > able.size:
+            return None
+        rows, cols = np.divmod(np.flatnonzero(able), able.shape[1])
+        scores = np.empty(len(rows))
+        for start in range(0, len(rows), PAIR_ROWS):
+            part = slice(start, start + PAIR_ROWS)
+            scores[part] = np.einsum("ij,ij->i", exact[rows[part]], self.exact[cols[part]])
+        return rows, cols, scores
 
 
 def _local_topk(
-    batches: Iterator[pa.RecordBatch],
-    queries: np.ndarray,
-    k: int,
-    metric: str,
-    key: str,
-    vector: str,
-) -> pa.Table | None:
-    """k best documents of these batches per query."""
-    kept = None
+    docs: pa.Table, queries: np.ndarray, k: int, metric: str, key: str, vector: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """k best of these documents per query as (row, query, score, rounded score).
+
+    Pairs are sifted in single precision against the k best so far; what may be among them is scored
+    in double precision, so the outcome is that of the whole matrix.
+    """
+    vectors = docs.column(vector).combine_chunks()
+    keys = docs.column(key).combine_chunks()
+    place = _places(keys)
     bar = np.full(len(queries), -np.inf)
+    coarse = _Coarse(queries, metric)
+    held: list[tuple] = []
+    waiting = 0
     step = max(1, min(BATCH_ROWS, SCORE_CELLS // len(queries)))
-    for whole in batches:
-        for start in range(0, whole.num_rows, step):
-            part = whole.slice(start, step)
-            docs = _matrix(part.column(vector), queries.shape[1])
-            scores = score_matrix(docs, queries, metric)
-            order = np.round(scores, SCORE_DIGITS)
-            floor = bar
-            if len(docs) > k:
-                floor = np.maximum(bar, np.partition(order, -k, axis=0)[-k])
-            rows, cols = _first_k(order, floor, part.column(key), k)
-            if not len(rows):
-                continue
-            payload = pa.Table.from_batches([part.drop_columns([vector])]).take(rows)
-            fresh = payload.append_column("query", pa.array(cols))
-            fresh = fresh.append_column("score", pa.array(scores[rows, cols]))
-            fresh = fresh.append_column("order", pa.array(order[rows, cols]))
-            kept = _best(fresh if kept is None else pa.concat_tables([kept, fresh]), k, key)
-            counts = np.bincount(kept.column("query").to_numpy(), minlength=len(queries))
+
+    def merged() -> tuple:
+        row, query, score, order = (np.concatenate(c) for c in zip(*held))
+        best = _best(query, order, place[row], k)
+        return row[best], query[best], score[best], order[best]
+
+    for start in range(0, docs.num_rows, step):
+        matrix = _matrix(vectors.slice(start, step), queries.shape[1])
+        found = coarse.pairs(matrix, bar, k)
+        if found is None:
+            scores = score_matrix(matrix, queries, metric)
+            order = np.where(np.isnan(scores), -np.inf, np.round(scores, SCORE_DIGITS))
+            floor = np.maximum(bar, _kth(order, k)) if len(matrix) > k else bar
+            rows, cols = _first_k(order, floor, keys.slice(start, step), k)
+            found = rows, cols, scores[rows, cols]
+        rows, cols, scores = found
+        held.append((rows + start, cols, scores, np.round(scores, SCORE_DIGITS)))
+        waiting += len(rows)
+        if waiting >= len(queries) * k // 2 or start + step >= docs.num_rows:
+            held, waiting = [merged()], 0
+            counts = np.bincount(held[0][1], minlength=len(queries))
             worst = np.full(len(queries), np.inf)
-            np.minimum.at(
-                worst, kept.column("query").to_numpy(), kept.column("order").to_numpy()
-            )
+            np.minimum.at(worst, held[0][1], held[0][3])
             bar = np.where(counts >= k, worst, -np.inf)
-    return kept
+    return held[0]
 
 
 def topk_per_query(
@@ -152,23 +210,43 @@ def topk_per_query(
 
 @dataclass
 class StoredQueries:
-    """Queries as a table in the scratch folder, which tasks read in blocks."""
+    """Queries as a table in the scratch folder, which tasks read in blocks.
+
+    ``label`` is the column that stands for a query in the hits of a task: its id, or its number
+    where ids are long texts.
+    """
 
+    spark: SparkSession
     folder: str
     query: str
     vector: str
     dim: int
-    kind: pa.DataType
+    field: StructField
     rows: int
 
+    @property
+    def label(self) -> str:
+        return self.field.name
+
     def blocks(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Ids and vectors, at most ``rows`` at a time."""
+        """Labels and vectors, at most ``rows`` at a time."""
+        kind = to_arrow_type(self.field.dataType)
         store, root = file_store(self.folder)
         files = [f.path for f in store.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
         for path in sorted(files):
             with store.open_input_file(path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(self.rows, columns=[self.query, self.vector]):
-                    yield batch.column(self.query).cast(self.kind), _matrix(batch.column(self.vector), self.dim)
+                for batch in pq.ParquetFile(file).iter_batches(self.rows, columns=[self.label, self.vector]):
+                    yield batch.column(self.label).cast(kind), _matrix(batch.column(self.vector), self.dim)
+
+    def named(self, hits: DataFrame) -> DataFrame:
+        """Hits with the id of their query."""
+        if self.label == self.query:
+            return hits
+        ids = self.spark.read.parquet(self.folder).select(self.label, self.query)
+        return hits.join(ids, self.label).drop(self.label)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "spark": None}  # tasks read the folder
 
 
 def store_queries(
@@ -178,16 +256,22 @@ def store_queries(
 
     A query without a vector has no hits and is left out.
     """
-    folder = scratch_dir(queries.sparkSession, "queries")
-    queries.select(query, vector).where(F.col(vector).isNotNull()).write.parquet(folder)
-    sizes = queries.sparkSession.read.parquet(folder).select(F.size(vector).alias("n"))
-    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    spark = queries.sparkSession
+    folder = scratch_dir(spark, "queries")
+    present = queries.select(query, vector).where(F.col(vector).isNotNull())
+    present.withColumn("_query", F.monotonically_increasing_id()).write.parquet(folder)
+    field = queries.schema[query]
+    wide = F.max(F.octet_length(query)) if isinstance(field.dataType, StringType) else F.lit(0)
+    sizes = spark.read.parquet(folder).withColumn("n", F.size(vector))
+    least, most, longest = sizes.agg(F.min("n"), F.max("n"), wide).first()
     if least is None:
         return None
     if least != most:
         raise ValueError("query vectors differ in size")
+    if (longest or 0) > LONG_ID:
+        field = StructField("_query", LongType())
     rows = max(1, min(max_rows, max_bytes // (8 * most + 64)))
-    return StoredQueries(folder, query, vector, most, to_arrow_type(queries.schema[query].dataType), rows)
+    return StoredQueries(spark, folder, query, vector, most, field, rows)
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], max_bytes: int = DOC_BYTES) -> Iterator[pa.Table]:
@@ -226,18 +310,28 @@ def knn_exact(
         raise ValueError(f"unknown filter mode {filter_mode!r}")
     if filter_mode == "pre":
         docs = filter_terms(docs, filters)
-    carried = list(dict.fromkeys([key, *keep, *(filters or {})]))
-    lean = docs.select(*carried, vector).filter(F.col(vector).isNotNull())
+    shown = [c for c in dict.fromkeys(keep) if c != key]
+    later = [c for c in (filters or {}) if filter_mode == "post"]
+    lean = docs.select(*dict.fromkeys([key, *shown, *later]), vector).filter(F.col(vector).isNotNull())
     stored = store_queries(queries, query, query_vector, block_bytes)
     if stored is None:
-        return _no_hits(lean, vector, query, queries)
-    found = score_stored(lean, stored, k, metric, key, vector, queries.schema[query])
-    hits = topk_per_query(found, k, query, key, score=F.desc("_order"))
+        return _no_hits(lean, vector, query, queries).select(query, "rank", key, "score", *shown)
+    whole = None
+    if shown or later:
+        # Hits take the number of a row; its fields are joined to the few that are left.
+        folder = scratch_dir(docs.sparkSession, "searched")
+        lean.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+        whole = docs.sparkSession.read.schema(StructType([*lean.schema.fields, StructField("_row", LongType())])).parquet(folder)
+        lean = whole.select(key, "_row", vector)
+    found = score_stored(lean, stored, k, metric, key, vector)
+    hits = topk_per_query(found, k, stored.label, key, score=F.desc("_order"))
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
+    if whole is not None:
+        hits = hits.join(whole.drop(key, vector), "_row")
     if filter_mode == "post":
         hits = filter_terms(hits, filters)
-    return hits.select(query, "rank", key, "score", *[c for c in keep if c != key])
+    return stored.named(hits).select(query, "rank", key, "score", *shown)
 
 
 def _no_hits(docs: DataFrame, vector: str, query: str, queries: DataFrame) -> DataFrame:
@@ -258,7 +352,6 @@ def score_stored(
     metric: str,
     key: str,
     vector: str,
-    query_field: StructField,
     pairs: Callable[[pa.Table, np.ndarray], Iterator[tuple[pa.Table, np.ndarray]]] | None = None,
 ) -> DataFrame:
     """The k best documents of each buffer per query, in one pass over the documents.
@@ -269,7 +362,7 @@ def score_stored(
     payload = [f for f in docs.schema.fields if f.name not in (vector, "list_id")]
     schema = StructType(
         [
-            StructField(stored.query, query_field.dataType),
+            stored.field,
             *payload,
             StructField("score", DoubleType()),
             StructField("_order", DoubleType()),
@@ -282,12 +375,12 @@ def score_stored(
             for ids, matrix in stored.blocks():
                 met = pairs(buffer, matrix) if pairs else [(buffer, np.arange(len(matrix)))]
                 for part, asked in met:
-                    best = _local_topk(iter(part.to_batches()), matrix[asked], k, metric, key, vector)
-                    if best is None:
+                    if not part.num_rows:
                         continue
-                    labels = ids.take(pa.array(asked[best.column("query").to_numpy()]))
-                    columns = [best.column(n) for n in [*names, "score", "order"]]
-                    hits = pa.table([labels, *columns], [stored.query, *names, "score", "_order"])
+                    row, query, score, order = _local_topk(part, matrix[asked], k, metric, key, vector)
+                    labels = ids.take(pa.array(asked[query]))
+                    payload = part.select(names).take(pa.array(row)).columns
+                    hits = pa.table([labels, *payload, pa.array(score), pa.array(order)], [stored.label, *names, "score", "_order"])
                     yield from hits.combine_chunks().to_batches()
 
     return docs.filter(F.size(vector) == stored.dim).mapInArrow(run, schema)

@@ -262,3 +262,57 @@ def test_vector_table(spark):
     small = table.compact(path + "-small")
     assert small.versions().count() == small.read().count() == 22
     assert {r["review_id"]: r["text"] for r in small.read().collect()}["R-4"] == "with its vector"
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_sifted_scores_are_those_of_the_whole_matrix(metric, monkeypatch):
+    """Close vectors, copies, zeros and many lengths; few pairs are scored in double precision."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3000, 32)) * 10.0 ** rng.integers(-3, 4, (3000, 1))
+    rows[100:140] = rows[5]
+    rows[140:180] = rows[6] * (1 + 1e-7 * rng.normal(size=(40, 32)))
+    rows[7] = 0
+    rows = rows.astype(np.float32)
+    asked = np.concatenate([rows[:40], np.zeros((1, 32))]).astype(np.float64)
+    docs = search.pa.table({
+        "vec_id": search.pa.array(range(len(rows))), "embedding": search.pa.array(list(rows), search.pa.list_(search.pa.float32())),
+    })
+    monkeypatch.setattr(search, "BATCH_ROWS", 250)
+    scored, plain = [], search._Coarse.pairs
+
+    def counted(*args):
+        found = plain(*args)
+        scored.append(0 if found is None else len(found[0]))
+        return found
+
+    monkeypatch.setattr(search._Coarse, "pairs", counted)
+    row, query, score, order = search._local_topk(docs, asked, 6, metric, "vec_id", "embedding")
+    for i, q in enumerate(asked):
+        exact = search.score_matrix(rows.astype(np.float64), q[None], metric)[:, 0]
+        wanted = sorted(range(len(rows)), key=lambda d: (-round(exact[d], 9), d))[:6]
+        assert row[query == i].tolist() == wanted
+        assert np.allclose(score[query == i], exact[wanted], rtol=1e-12, atol=1e-15)
+    assert 0 < sum(scored) < rows.shape[0] * len(asked) // 6
+
+
+def test_a_vector_that_is_not_finite_is_no_hit(spark):
+    rows, docs, queries = make(spark)
+    broken = spark.createDataFrame([(1000, [float("nan")] * 8, 1)], docs.schema)
+    got = ranked(search.knn_exact(docs.union(broken).coalesce(1), queries, 6))
+    assert got == {f"q{i}": truth(rows, rows[i * 3], 6, "cosine") for i in range(20)}
+
+
+def test_tasks_send_neither_texts_nor_long_ids(spark):
+    """The shown fields and the questions are joined to the k best; a task's hits are numbers."""
+    rows, docs, queries = make(spark)
+    docs = docs.withColumn("text", F.concat(F.lit("text of "), "vec_id"))
+    long = queries.withColumn("query_id", F.concat(F.lit("x" * 40), "query_id"))
+    hits = search.knn_exact(docs.repartition(3), long, 6, keep=("text",))
+    assert hits.columns == ["query_id", "rank", "vec_id", "score", "text"]
+    found = hits.collect()
+    assert all(r["text"] == f"text of {r['vec_id']}" for r in found) and len(found) == 120
+    got = {q[40:]: ids for q, ids in ranked(hits).items()}
+    assert got == {f"q{i}": truth(rows, rows[i * 3], 6, "cosine") for i in range(20)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "text" not in sent.split(")")[-2] and "_row" in sent and "_query" in sent
