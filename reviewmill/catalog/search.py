@@ -473,16 +473,16 @@ _SEARCH = [
 ]
 
 
-def _searched(spark, sf):
+def _searched(spark, sf, **options):
     docs = with_vectors(index.embed_projection(final(spark, sf)), EMBEDDER)
     asked = table(spark, sf, "conversations").filter("role = 'user'")
     questions = asked.select(F.col("text").alias("question")).distinct()
-    return questions, evaluate.search(questions, docs, EMBEDDER)
+    return questions, evaluate.search(questions, docs, EMBEDDER, **options)
 
 
 @query("search_questions", from_final("SELECT question, rank, review_id, round(score, 5) AS score FROM hits", *_SEARCH))
 def search_questions(spark, sf):
-    _, hits = _searched(spark, sf)
+    _, hits = _searched(spark, sf, keep=())  # the texts are not shown
     return hits.select("question", "rank", "review_id", F.round("score", 5).alias("score"))
 
 
