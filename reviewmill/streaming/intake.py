@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from reviewmill.fixed import HEADER_SYNONYMS
@@ -116,17 +114,18 @@ def stream_intake(stream: DataFrame, out: str, checkpoint: str, **coercion) -> N
 def stream_dedup(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
     """Keep-first by text across micro-batches; returns what the batches report of their progress.
 
-    Which texts have been seen is kept in the query's state store, a flag per source and digest,
+    Which texts have been seen is kept in the query's state store, an entry per source and digest,
     so a batch looks up its own texts and reads nothing that earlier ones wrote. A task leaves out
     the texts that it has met already, so a text that many rows share is one row per task in the
-    shuffle. Of the rows of a batch the first counts: file by path, then position.
+    shuffle. Of the rows of a batch the first counts: file by path, then position. It is picked
+    before the state is asked, which then meets a text once per batch.
     """
     typed = coerce_types(stream).withColumn("text_key", digest(F.col(TEXT_KEY[0])))
     placed = StructType([*typed.schema.fields, StructField("_position", LongType())])
     kept = StructType([f for f in typed.schema.fields if f.name not in PLACE])
-    firsts = typed.mapInArrow(_first_of_task, placed).groupBy("source_file", "text_key").applyInPandasWithState(
-        _first_unseen(kept.names), kept, "seen boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    key = ["source_file", "text_key"]
+    firsts = typed.mapInArrow(_first_of_task, placed).repartition(*key).mapInArrow(_first_of_batch(kept.names), kept)
+    firsts = firsts.dropDuplicates(key)
     spark = stream.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -138,17 +137,22 @@ def stream_dedup(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
 
 
 def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their position in the file, without texts that the task has met in the same source."""
+    """Rows with their position in the file, without texts that the task has met in the same file.
+
+    A task may take files in any order, so that only the order inside a file decides here.
+    """
     met: set[tuple] = set()
     at, file = 0, None
     for batch in batches:
         columns = [batch.column(name).to_pylist() for name in ("source_file", "text_key", "_path", "_block")]
         keep, positions = [], []
         for i, (source, key, path, block) in enumerate(zip(*columns)):
-            at = 0 if (path, block) != file else at + 1
-            file = (path, block)
+            if (path, block) != file:
+                file, at = (path, block), -1
+                met.clear()
+            at += 1
             if (source, key) not in met:
-                if len(met) < MET_TEXTS:  # beyond, rows go on to the state, which decides anyway
+                if len(met) < MET_TEXTS:  # beyond, rows go on to the shuffle, which decides anyway
                     met.add((source, key))
                 keep.append(i)
                 positions.append(block + at)
@@ -158,18 +162,23 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _first_unseen(columns: list[str]):
-    """The first row of a text that no batch has had before, for ``applyInPandasWithState``."""
-
-    def first(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        state.update((True,))
-        best = None
-        for frame in frames:
-            head = frame.sort_values(["_path", "_position"]).head(1)
-            best = head if best is None else pd.concat([best, head]).sort_values(["_path", "_position"]).head(1)
-        yield best[columns]
+def _first_of_batch(columns: list[str]):
+    """The first row of each text by file and position, where all rows of a text are in one partition."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple] = {}
+        held = []
+        for batch in batches:
+            names = ("source_file", "text_key", "_path", "_position")
+            for i, (source, key, *place) in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+                row = (place, len(held), i)
+                best[source, key] = min(best.get((source, key), row), row)
+            held.append(batch.select(columns))
+        rows: list[list[int]] = [[] for _ in held]
+        for _, number, i in best.values():
+            rows[number].append(i)
+        for batch, taken in zip(held, rows):
+            yield batch.take(pa.array(taken, pa.int64()))
 
     return first
 

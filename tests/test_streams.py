@@ -65,3 +65,33 @@ def test_counts_of_two_streams_and_a_replay(spark, tmp_path):
         os.remove(crc)
     assert counts("a") == (36, 18, 12)
     assert spark.read.parquet(str(tmp_path / "of-a" / "rows")).count() == 36
+
+
+def test_first_of_a_batch_of_many_files(spark, tmp_path):
+    """All files are met at once; the first by path and position counts, and state is no Python group."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rng = random.Random(9)
+    first = {}
+    for number in range(12):
+        rows = [(f"{number}-{i}", f"text {rng.randrange(80)}", 1) for i in range(50)]
+        for review, text, _ in rows:
+            first.setdefault(text, review)
+        write(folder, number, rows)
+    whole = intake.read_reviews(spark, folder, HEADERS, files_per_batch=100, source="s.csv")
+    progress = intake.stream_dedup(whole, out, str(tmp_path / "log"))
+    assert {r["review_text"]: r["review_id"] for r in spark.read.parquet(out).collect()} == first
+    state = next(p for p in progress if p["numInputRows"])["stateOperators"][0]
+    assert state["operatorName"] == "dedupe" and state["numRowsTotal"] == len(first)
+
+
+def test_staged_files_are_bounded(spark, small, monkeypatch):
+    """More rows make more files of the same size, in as many micro-batches."""
+    import glob
+
+    from reviewmill.catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    files = streams.n_files(spark, small)
+    assert files == 10
+    found = glob.glob(streams.staged(spark, small) + "/part-*.csv")
+    assert len(found) == files
