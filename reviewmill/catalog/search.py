@@ -71,9 +71,9 @@ def sentence_split(spark, sf):
     "(SELECT k AS doc_id, packed, unnest(range(1, len(packed) + 1)) AS i FROM packed)",
 )
 def chunk_pack(spark, sf):
-    packed = chunks.chunk_pack(chunks.sentence_split(norm_ws(F.col("text"))))
-    exploded = F.posexplode_outer(packed).alias("chunk_no", "chunk_text")
-    return _documents(spark, sf).select("doc_id", exploded).filter("chunk_no IS NOT NULL")
+    packed = chunks.packed_chunks(_documents(spark, sf), "text")
+    exploded = F.posexplode_outer("_packed").alias("chunk_no", "chunk_text")
+    return packed.select("doc_id", exploded).filter("chunk_no IS NOT NULL")
 
 
 @query("chunk_overlap", _DOC_CHUNKS + " SELECT k AS doc_id, chunk_no, chunk_text FROM chunked")

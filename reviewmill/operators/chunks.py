@@ -65,7 +65,10 @@ def chunk_join(sentences: Column, starts: Column) -> Column:
 
 
 def chunk_pack(sentences: Column, target: int = CHUNK_CHARS) -> Column:
-    """Sentences of a text that is not blank, packed into chunks."""
+    """Sentences of a text that is not blank, packed into chunks.
+
+    ``packed_chunks`` does the same for whole tables, with each step evaluated once.
+    """
     return chunk_join(sentences, chunk_starts(sentences, target))
 
 
@@ -99,26 +102,34 @@ def chunk_texts(
     return F.when(normalized != "", chunks).otherwise(F.array().cast("array<string>"))
 
 
-def explode_chunks(
-    df: DataFrame, text: str = "review_text", target: int = CHUNK_CHARS,
-    overlap: int = CHUNK_OVERLAP, split_long: bool = False,
-) -> DataFrame:
-    """One row per non-empty chunk, with ``chunk_no`` and ``chunk_text``.
+def packed_chunks(df: DataFrame, text: str, target: int = CHUNK_CHARS, split_long: bool = False) -> DataFrame:
+    """``df`` with the chunks of its texts, before they overlap, in ``_packed``.
 
-    The steps are separate projections, so that each is evaluated once per row. The explode is
-    an outer one: for an inner one the optimizer adds a filter on the array's size and pushes
-    it, with a copy of the whole fold, below the projections.
+    The steps are separate projections, so that each is evaluated once per row. In one expression
+    the split and the fold are evaluated again for every chunk, as its lambda refers to them.
     """
     sentences = sentence_split(norm_ws(F.col(text)))
     if split_long:
         sentences = hard_split(sentences, target)
-    worked = (
-        df.filter(F.col(text).isNotNull() & (F.length(text) > 0))
-        .withColumn("_sentences", sentences)
+    return (
+        df.withColumn("_sentences", sentences)
         .withColumn("_starts", chunk_starts(F.col("_sentences"), target))
         .withColumn("_packed", chunk_join(F.col("_sentences"), F.col("_starts")))
-        .withColumn("_chunks", chunk_overlap(F.col("_packed"), target, overlap))
     )
+
+
+def explode_chunks(
+    df: DataFrame, text: str = "review_text", target: int = CHUNK_CHARS,
+    overlap: int = CHUNK_OVERLAP, split_long: bool = False,
+) -> DataFrame:
+    """One row per non-empty chunk, with ``chunk_no`` and ``chunk_text``.
+
+    The explode is an outer one: for an inner one the optimizer adds a filter on the array's size
+    and pushes it, with a copy of the whole fold, below the projections.
+    """
+    present = df.filter(F.col(text).isNotNull() & (F.length(text) > 0))
+    packed = packed_chunks(present, text, target, split_long)
+    worked = packed.withColumn("_chunks", chunk_overlap(F.col("_packed"), target, overlap))
     others = [c for c in df.columns if c != text]
     return (
         worked.select(*others, F.posexplode_outer("_chunks").alias("chunk_no", "chunk_text"))

@@ -316,3 +316,16 @@ def test_tasks_send_neither_texts_nor_long_ids(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     sent = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "text" not in sent.split(")")[-2] and "_row" in sent and "_query" in sent
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunk_pack_splits_a_text_once(spark, small):
+    """One expression for all steps split the text and folded it again for every chunk."""
+    from __spark_entry__ import queries
+
+    plan = optimized(queries()["chunk_pack"](spark, small))
+    assert plan.count("split(") == 1
+    assert plan.count("aggregate(") == 1
