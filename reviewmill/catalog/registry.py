@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewmill import fixture
 from reviewmill.fixed import CATEGORIES
-from reviewmill.functions.text import SPACE_CHARS
+from reviewmill.functions.text import SPACE_CHARS, clean_text
 from reviewmill.operators import dedup, numbering
 from reviewmill.plans import standardize as std
 
@@ -46,13 +46,20 @@ def standard(spark: SparkSession, sf_dir: str, extended: bool = True) -> DataFra
     return std.standardize(raw(spark, sf_dir), extended=extended)
 
 
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed rows with a digest of each text, made before the joins."""
+    return std.coerce_types(fixture.reviews_raw(spark, sf_dir, lambda c: F.sha2(clean_text(c), 256)))
+
+
 def deduped(spark: SparkSession, sf_dir: str, extended: bool = True) -> DataFrame:
-    return dedup.dedup_reviews(standard(spark, sf_dir, extended))
+    return dedup.dedup_reviews(standard(spark, sf_dir, extended), keys=text_keys(spark, sf_dir))
 
 
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated and numbered 1..N. The fixture's ordinals are dense: 2^20 rows per block."""
-    return numbering.dedup_and_renumber(standard(spark, sf_dir), block_bits=20)
+    return numbering.dedup_and_renumber(
+        standard(spark, sf_dir), block_bits=20, keys=text_keys(spark, sf_dir)
+    )
 
 
 def day(c: str | Column) -> Column:

@@ -85,9 +85,15 @@ def surviving_ordinals(
     return df.groupBy(*group).agg(F.min(order).alias(order)).select(*within, order)
 
 
-def dedup_reviews(df: DataFrame, order: str = "ord", **options) -> DataFrame:
-    """Text step, then composite step."""
-    firsts = surviving_ordinals(df, order, **options)
+def dedup_reviews(
+    df: DataFrame, order: str = "ord", keys: DataFrame | None = None, **options
+) -> DataFrame:
+    """Text step, then composite step.
+
+    ``keys`` are the same rows with other texts that are equal where those of ``df`` are, such as
+    digests made at the scan: where ``df`` is a join, the texts then do not move to be compared.
+    """
+    firsts = surviving_ordinals(df if keys is None else keys, order, **options)
     return df.join(firsts.select(order), order, "left_semi")
 
 

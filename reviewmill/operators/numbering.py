@@ -63,12 +63,13 @@ def dedup_and_renumber(
     order: str = "ord",
     block_bits: int = BLOCK_BITS,
     null_text: str = "collapse",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """``dedup_reviews`` then ``renumber``, with one shuffle of the full rows.
 
     The surviving ordinals are numbered while they are narrow; one inner join on the ordinal
-    then drops the duplicates and brings the number.
+    then drops the duplicates and brings the number. ``keys`` as in ``dedup_reviews``.
     """
-    survivors = surviving_ordinals(df, order, null_text=null_text)
+    survivors = surviving_ordinals(df if keys is None else keys, order, null_text=null_text)
     numbers = number_rows(survivors, lead, order, "review_id", block_bits)
     return df.drop("review_id").join(numbers.select(order, "review_id"), order)

@@ -1,10 +1,12 @@
 """Dedup and numbering against plain Python, under several partitionings."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from reviewmill.catalog import registry
 from reviewmill.operators import dedup, enrich, numbering
 
 
@@ -109,3 +111,31 @@ def test_counts_are_those_of_the_steps(spark, null_text):
     assert sum(n["rows_nonempty"] for n in found.values()) == filled.count()
     plan = dedup.dedup_counts(df, mapped, null_text)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ") + plan.count("LocalTableScan") <= 2 and plan.count("Scan ExistingRDD") <= 1
+
+
+def carrying_text(df) -> int:
+    """Exchanges whose rows hold a text."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    return len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\btext#", plan))
+
+
+def test_reviews_move_their_texts_once(spark, small):
+    """Texts went by document, by customer and by order where no side could be broadcast."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert carrying_text(registry.raw(spark, small)) == 1
+        kept = registry.final(spark, small).select("review_id", "review_text")
+        # the text itself, and its digest in the two uses of the survivors
+        assert carrying_text(kept) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_text_keys_are_equal_where_texts_are(spark, small):
+    digests = registry.text_keys(spark, small).select("ord", F.col("review_text").alias("key"))
+    texts = registry.typed(spark, small).select("ord", F.sha2("review_text", 256).alias("own"))
+    both = digests.join(texts, "ord", "full")
+    assert both.count() == texts.count()
+    assert both.filter(~F.col("key").eqNullSafe(F.col("own"))).count() == 0
