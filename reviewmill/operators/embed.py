@@ -26,6 +26,10 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+# The first 8 hex digits of an MD5, and the byte that the ninth begins.
+_DIGEST = np.dtype([("head", ">u4"), ("ninth", "u1"), ("rest", "V11")])
+
+
 class HashingEmbedder:
     """Signed counts of lower-case words in hashed buckets, scaled to unit length.
 
@@ -45,10 +49,10 @@ class HashingEmbedder:
         if flat:
             rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
             places = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            slots = np.array([places[w] for w in flat])
-            digests = [hashlib.md5(w.encode()).hexdigest() for w in places]
-            buckets = np.array([int(d[:8], 16) % self.dim for d in digests])
-            signs = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
+            slots = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+            digests = np.frombuffer(b"".join([hashlib.md5(w.encode()).digest() for w in places]), _DIGEST)
+            buckets = digests["head"].astype(np.int64) % self.dim
+            signs = np.where(digests["ninth"] < 128, 1.0, -1.0)
             matrix = np.bincount(
                 rows * self.dim + buckets[slots], signs[slots], len(texts) * self.dim
             )

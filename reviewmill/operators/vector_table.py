@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.fixed import VECTOR_DIM
 from reviewmill.operators.embed import Embedder, embed_batches
+from reviewmill.sizes import finer_partitions
 
 ROW_SCHEMA = (
     "review_id string, location string, restaurant_name string, rating float, text string, "
@@ -99,7 +100,8 @@ class VectorTable:
         counted = rows.observe(
             seen, F.count_if(fits).alias("indexed"), F.count_if(~fits).alias("failed")
         )
-        self._write(counted.filter(fits), version)
+        with finer_partitions(batch.sparkSession):
+            self._write(counted.filter(fits), version)
         found = {name: int(seen.get[name]) for name in ("indexed", "failed")}
         return {**found, "replaced": int(came.get["rows"]) - sum(found.values())}
 
@@ -120,7 +122,8 @@ def append_chunks(docs: DataFrame, path: str) -> dict[str, int]:
     counted = docs.observe(
         seen, F.count_if(~missing).alias("indexed"), F.count_if(missing).alias("failed")
     )
-    counted.filter(~missing).write.mode("append").parquet(path)
+    with finer_partitions(docs.sparkSession):
+        counted.filter(~missing).write.mode("append").parquet(path)
     return {name: int(seen.get[name]) for name in ("indexed", "failed")}
 
 

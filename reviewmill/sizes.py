@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def broadcast_if_small(
@@ -58,3 +60,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+
+
+@contextmanager
+def finer_partitions(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Inside the block, adaptive execution joins shuffled partitions up to ``size`` only.
+
+    For work that costs far more than reading its rows. The default makes about one part per core,
+    often one more, for which all other cores then wait. A size that the session sets is kept.
+    """
+    if spark.conf.get(ADVISORY, None) is not None:
+        yield
+        return
+    spark.conf.set(ADVISORY, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(ADVISORY)

@@ -1,5 +1,6 @@
 """Chunks, vectors and search against plain Python and numpy."""
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from reviewmill.operators import chunks, ivf, search
 from reviewmill.operators.embed import HashingEmbedder, embed_batches, ingest_counts, with_vectors
 from reviewmill.operators.vector_table import VectorTable, latest_per_key, merge_latest
+from reviewmill.sizes import ADVISORY
 
 
 def pieces(spark, texts, target=30, overlap=8):
@@ -329,3 +331,37 @@ def test_chunk_pack_splits_a_text_once(spark, small):
     plan = optimized(queries()["chunk_pack"](spark, small))
     assert plan.count("split(") == 1
     assert plan.count("aggregate(") == 1
+
+
+def test_vectors_are_made_in_even_parts(spark, tmp_path, monkeypatch):
+    """Parts of one per core and one more kept all other cores waiting; the session's own size stays."""
+    seen = []
+    write = VectorTable._write
+
+    def noted(self, rows, version):
+        seen.append(spark.conf.get(ADVISORY, None))
+        write(self, rows, version)
+
+    monkeypatch.setattr(VectorTable, "_write", noted)
+    rows = spark.createDataFrame(
+        [("a", 1, "x", "r", 1.0, "one two")],
+        "review_id string, seq int, location string, restaurant_name string, rating float, text string",
+    )
+    store = VectorTable(spark, str(tmp_path / "even"), dim=16)
+    assert store.upsert(rows, 1, embedder=HashingEmbedder(16)) == {"indexed": 1, "failed": 0, "replaced": 0}
+    assert spark.conf.get(ADVISORY, None) is None
+    spark.conf.set(ADVISORY, "32m")
+    try:
+        store.upsert(rows, 1, embedder=HashingEmbedder(16))
+        assert spark.conf.get(ADVISORY, None) == "32m"
+    finally:
+        spark.conf.unset(ADVISORY)
+    assert seen == ["16m", "32m"]
+
+
+def test_embedder_takes_bucket_and_sign_from_hex_digits():
+    words = [f"wört{i}" for i in range(300)]
+    for word, row in zip(words, HashingEmbedder(64).embed(words)):
+        digest = hashlib.md5(word.encode()).hexdigest()
+        assert np.flatnonzero(row).tolist() == [int(digest[:8], 16) % 64]
+        assert row.sum() == (1.0 if digest[8] < "8" else -1.0)
