@@ -239,13 +239,15 @@ def chunk_table(df: DataFrame, label: str, columns: list[str], chars: int | None
 
     Later joins on the chunk read their bucket without a shuffle.
     """
+    return bucketed(chunk_rows(df, columns, chars), label, "chunk")
+
+
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Store a table in buckets of a column: joins and groups on it read their bucket without a shuffle."""
     spark = df.sparkSession
     name = f"llm_{label}_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        chunk_rows(df, columns, chars).write.format("parquet").bucketBy(buckets, "chunk")
-        .option("path", scratch_dir(spark, label)).saveAsTable(name)
-    )
+    df.write.format("parquet").bucketBy(buckets, column).option("path", scratch_dir(spark, label)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -253,14 +255,14 @@ def chunk_rows(df: DataFrame, columns: list[str], chars: int | None = None) -> D
     """Rows as chunks, to be stored: the table fixes which rows make a chunk, so that a task that
     runs again sees the same ones.
 
-    ``columns`` ends with the text column. Chunk numbers follow the order of the partitions and of
-    the rows in them.
+    ``columns`` ends with the text column, or one of bytes; the others have any type. Chunk numbers
+    follow the order of the partitions and of the rows in them.
     """
     small_batches(df.sparkSession)
     chars = chars or CHUNK_CHARS
     picked = df.select(*columns)
     types = {"bigint": pa.int64(), "string": pa.large_string(), "boolean": pa.bool_(), "int": pa.int32()}
-    fields = [(c, types[t]) for c, t in picked.dtypes]
+    fields = [(c, types.get(t)) for c, t in picked.dtypes]
     schema = "chunk bigint, words bigint, " + ", ".join(f"{c} array<{t}>" for c, t in picked.dtypes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +274,8 @@ def chunk_rows(df: DataFrame, columns: list[str], chars: int | None = None) -> D
             table = pa.Table.from_batches(held).combine_chunks()
             lists = [
                 pa.LargeListArray.from_arrays(
-                    pa.array([0, table.num_rows], pa.int64()), column(table[c], t)
-                ).cast(pa.list_(t if t != pa.large_string() else pa.string()))
+                    pa.array([0, table.num_rows], pa.int64()), column(table[c], t or table[c].type)
+                ).cast(pa.list_((t or table[c].type) if t != pa.large_string() else pa.string()))
                 for c, t in fields
             ]
             serial += 1

@@ -25,9 +25,14 @@ Rows are linear in the shingles but for that last step, where T tight ones among
 2 T M / ``BLOCK_ROWS`` rows; tight members of one template are similar to each other, and so are
 one component already, unless they lack parts of it.
 
-*Hot keys.* A value, leader or component may belong to a third of all classes. What is joined on
-these is grouped first, with partial sums, and written as a table, so that both sides of the join
-are plain exchanges and adaptive execution can split the hot one.
+*Hot keys.* A value, leader or component may belong to a third of all classes. How many classes have
+a value is asked in a packed exchange (``common.py``), to which a chunk of classes sends it once.
+What is joined on leaders and components is grouped first, with partial sums, and written as a
+table, so that both sides of the join are plain exchanges and adaptive execution can split the hot
+one.
+
+*What moves.* Classes have numbers. Only texts that a bitmap of the wanted ones lets through are
+joined, and full sets are stored in buckets of their class, so that no join on it moves them.
 """
 
 from __future__ import annotations
@@ -47,6 +52,9 @@ KEPT = 48
 LEAST_SHARED = 22
 #: Members and shingles of a block in the comparison of open groups.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+#: Bytes of values in a chunk of classes, and 64-bit words at most in the bitmap of wanted texts.
+CHUNK_BYTES = 4 << 20
+BITMAP_WORDS = 1 << 18
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -79,16 +87,16 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _parts(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
-             c.binaries([_class_key(s) for s in sets]),
-             pa.array([s[:KEPT] for s in sets], pa.list_(pa.int64()))],
-            names=["id", "tag", "n", "cls", "sketch"])
+             c.binaries([_class_key(s) for s in sets]), c.binaries([s[:KEPT].tobytes() for s in sets])],
+            names=["id", "tag", "n", "key", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _parts(batches):
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), c.binaries([_class_key(s) for s in sets]), c.binaries([s.tobytes() for s in sets])],
-            names=["cls", "found", "shingles"])
+            [batch.column(0), batch.column(2), c.binaries([_class_key(s) for s in sets]),
+             c.binaries([s.tobytes() for s in sets])],
+            names=["cls", "key", "found", "shingles"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -101,19 +109,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         pa.default_memory_pool().release_unused()
 
 
-def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shingle of each set."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            sizes = [len(s) for s in sets]
-            of = pa.array(np.repeat(np.arange(len(sets)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(of), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))],
-                names=["cls", "n", "value"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Estimate by the union sketch, then exact Jaccard, for each row's two sets."""
     for batch in batches:
@@ -141,14 +136,14 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
 
 
-def _least_common(n: Column) -> Column:
+def _least_common(n: np.ndarray) -> np.ndarray:
     """How many shingles any partner shares."""
-    return F.floor((n * 4 + 4) / 5)
+    return (n * 4 + 4) // 5
 
 
-def _least_shared(n: Column) -> Column:
+def _least_shared(n: np.ndarray) -> np.ndarray:
     """How many retained values any partner shares. Sets of up to 38 are compared whole."""
-    return F.when(n * 5 <= 4 * KEPT, _least_common(n)).otherwise(F.lit(LEAST_SHARED))
+    return np.where(n * 5 <= 4 * KEPT, _least_common(n), LEAST_SHARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _open_pairs(table: pa.Table) -> pa.Table:
     """Links between components from a block of tight members to a block of members of a leader's group."""
     cls = table["cls"].to_pylist()
-    _, comp = np.unique(np.array([x.hex() for x in table["comp"].to_pylist()]), return_inverse=True)
+    _, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
     sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table["shingles"]]
     left = table["side"].to_numpy(zero_copy_only=False)
     sizes = np.array([len(s) for s in sets])
@@ -215,27 +210,68 @@ def _open_pairs(table: pa.Table) -> pa.Table:
             parent[x] = y
             a.append(cls[l[i]])
             b.append(cls[r[j]])
-    return pa.table({"a": c.binaries(a), "b": c.binaries(b)})
-
-
-def _candidates(values: DataFrame, least: Callable[[Column], Column], tight: str = "true") -> DataFrame:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _first_class(chunk: Column) -> Column:
+    """A chunk is named by its task (upper 32 bits) and its number there; it has at most 2^19 classes."""
+    number = F.shiftleft(chunk.bitwiseAND(F.lit((1 << 32) - 1)), 20)
+    return F.shiftleft(F.shiftright(chunk, 32), 44) + number
+
+
+def _values(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(class by place, value) of all values in a chunk."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in c.listed(row, "values")]
+    return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+
+
+def _listed(chunks: DataFrame, least: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(cls, n, m, value): of the m values of a class that others have too, the rarest ``m - least(n) + 1``."""
+    buckets = c.bucket_count(chunks)
+
+    def ask(row: pa.RecordBatch):
+        keys, often = np.unique(_values(row)[1], return_counts=True)
+        bounds, often = c.split(keys, buckets), often.astype(np.uint32)
+        return [
+            (b, keys[s:e].tobytes(), often[s:e].tobytes())
+            for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s
+        ]
+
+    def total(keys, often, _):
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(which, np.concatenate(often)).astype(np.uint32)
+        ends = np.cumsum([len(k) for k in keys])
+        return [x.tobytes() for x in np.split(sums[which], ends[:-1])]
+
+    def choose(row: pa.RecordBatch, back):
+        of, values = _values(row)
+        _, which = np.unique(values, return_inverse=True)
+        often = np.concatenate([np.frombuffer(back[b], np.uint32) for b in sorted(back)])[which]
+        several = often > 1
+        of, values, often = of[several], values[several], often[several]
+        order = np.lexsort((values, often, of))
+        of, values = of[order], values[order]
+        cls, n = (c.listed(row, x).to_numpy() for x in ("cls", "n"))
+        m = np.bincount(of, minlength=len(n))
+        place = np.arange(len(of)) - (np.cumsum(m) - m)[of]
+        rare = place <= (m - least(n))[of]
+        of, values = of[rare], values[rare]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cls[of]), pa.array(n[of]), pa.array(m[of]), pa.array(values.view(np.int64))],
+            names=["cls", "n", "m", "value"])
+
+    replies = c.answer(c.send(chunks.select("chunk", "values"), ask), total, np.uint32)
+    return c.resume(chunks, replies, choose, "cls bigint, n bigint, m bigint, value bigint")
+
+
+def _candidates(chunks: DataFrame, least: Callable[[np.ndarray], np.ndarray], tight: str = "true") -> DataFrame:
     """(cls, tight, leader): every class with the leader of each list that it is in.
 
-    ``values`` has a row (cls, n, value) per value of a class. ``tight`` is a condition on n and m,
-    the number of its values that other classes have too; a list counts if it holds for a member.
+    ``chunks`` hold classes: number, n and their values. ``tight`` is a condition on n and m, the
+    number of its values that other classes have too; a list counts if it holds for a member.
     """
-    often = c.stored(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    own = (
-        values.join(often, "value").groupBy("cls", "n")
-        .agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("ranked"))
-        .withColumn("listed", F.col("m") - least(F.col("n")) + 1).where("listed > 0")
-    )
-    lists = c.stored(
-        own.select(
-            "cls", "n", "m", F.expr(tight).alias("tight"), F.explode(F.expr("slice(ranked, 1, int(listed))")).alias("at")
-        ).select("cls", "n", "m", "tight", F.col("at.value").alias("value")),
-        "lists",
-    )
+    listed = _listed(chunks, least)
+    lists = c.stored(listed.select("cls", "n", "m", F.expr(tight).alias("tight"), "value"), "lists")
     leaders = c.stored(
         lists.groupBy("value").agg(F.max(F.struct("tight", "m", "n", "cls")).alias("top"), F.count("*").alias("members"))
         .where("members > 1 and top.tight").select("value", F.col("top.cls").alias("leader")),
@@ -245,23 +281,40 @@ def _candidates(values: DataFrame, least: Callable[[Column], Column], tight: str
     return c.stored(met.select("cls", "tight", "leader").distinct(), "pairs")
 
 
+def _let_through(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and tag may be in ``first``, by a bitmap of bounded size."""
+    found = F.xxhash64("id", "tag")
+    place = {"word": F.pmod(F.shiftright(found, 6), F.lit(BITMAP_WORDS)), "bit": found.bitwiseAND(F.lit(63)).cast("int")}
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    bitmap = first.withColumns(place).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    met = docs.withColumns(place).join(F.broadcast(bitmap), "word")
+    return met.where(F.getbit("bits", F.col("bit")) == 1).select(*docs.columns)
+
+
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the wanted classes, made again from the text of one document of each.
 
     A document is found by its id and a hash of its text, so that rows which share an id, or have
     none, do not all meet each other.
     """
-    first = wanted.join(classes, "cls").select("cls", F.col("first.id").alias("id"), F.col("first.tag").alias("tag"))
-    texts = docs.join(first, (docs["tag"] == first["tag"]) & docs["id"].eqNullSafe(first["id"])).select("cls", "text")
-    made = texts.mapInArrow(_full_sets, "cls binary, found binary, shingles binary")
-    return made.where(F.col("cls") == F.col("found")).select("cls", "shingles").dropDuplicates(["cls"])
+    first = c.stored(wanted.join(classes, "cls").select("cls", "key", "first.id", "first.tag"), "wanted")
+    near = _let_through(docs, first)
+    texts = near.join(first, (near["tag"] == first["tag"]) & near["id"].eqNullSafe(first["id"])).select("cls", "text", "key")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = texts.repartition(buckets, "cls").distinct().mapInArrow(
+        _full_sets, "cls bigint, key binary, found binary, shingles binary"
+    )
+    return made.where(F.col("key") == F.col("found")).select("cls", "shingles")
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): classes that are similar to their leader."""
-    right = sets.select(F.col("cls").alias("leader"), F.col("shingles").alias("other"))
-    star = pairs.join(sets, "cls").join(right, "leader").select("cls", "leader", "shingles", "other")
-    star = c.stored(star.mapInArrow(_verify, "cls binary, leader binary, linked boolean"), "star")
+    leaders = pairs.select(F.col("leader").alias("cls")).distinct()
+    # by another name than its bucket's, a leader's set is exchanged, and a hot leader can be split
+    right = sets.join(leaders, "cls", "left_semi").select(F.bitwise_not("cls").alias("to"), F.col("shingles").alias("other"))
+    left = pairs.join(sets, "cls").select("cls", "leader", "shingles", F.bitwise_not("leader").alias("to"))
+    star = left.join(right, "to").select("cls", "leader", "shingles", "other")
+    star = c.stored(star.mapInArrow(_verify, "cls bigint, leader bigint, linked boolean"), "star")
     return star.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
 
@@ -277,27 +330,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     c.small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     kind = dict(docs.dtypes)["id"]
-    profile = c.stored(
-        docs.mapInArrow(_profile, f"id {kind}, tag bigint, n bigint, cls binary, sketch array<bigint>"), "profile"
-    )
+    profile = c.stored(docs.mapInArrow(_profile, f"id {kind}, tag bigint, n bigint, key binary, sketch binary"), "profile")
     filled = profile.where("n > 0")
     smallest = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "tag"))
-    classes = c.stored(
-        filled.groupBy("cls").agg(smallest.alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
-    pairs = _candidates(classes.select("cls", "n", F.explode("sketch").alias("value")), _least_shared)
+    grouped = filled.groupBy("key").agg(smallest.alias("first"), F.first("n").alias("n"), F.first("sketch").alias("values"))
+    chunks = c.chunk_table(grouped, "classes", ["key", "first", "n", "values"], CHUNK_BYTES)
+    chunks = chunks.withColumn("cls", F.transform("n", lambda _, i: _first_class(F.col("chunk")) + i))
+    classes = chunks.select(F.explode(F.arrays_zip("cls", "key", "first")).alias("of")).select("of.*")
+    pairs = _candidates(chunks.select("chunk", "words", "cls", "n", "values"), _least_shared)
     wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
-    sets = c.stored(_sets_of(docs, classes, wanted), "sets")
+    sets = c.bucketed(_sets_of(docs, classes, wanted), "sets", "cls")
     labels = _closed(components(_star_links(pairs, sets)), pairs, sets)
 
     named = (
-        classes.select("cls", "first").join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
+        classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
         .withColumn("comp", F.coalesce("comp", "cls"))
     )
     least = c.stored(named.groupBy("comp").agg(F.min("first").alias("least")), "smallest")
-    of_class = named.join(least, "comp").select("cls", F.col("least.id").alias("component_id"))
-    grouped = filled.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id")
+    of_class = named.join(least, "comp").select("key", F.col("least.id").alias("component_id"))
+    grouped = filled.select("id", "n", "key").join(of_class, "key").select("id", "n", "component_id")
     alone = profile.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return grouped.union(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
@@ -323,8 +374,9 @@ def _closed(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     opened = c.stored(members.join(groups, "leader").select("cls").distinct(), "open")
     if opened.isEmpty():
         return labels
-    shingles = opened.join(sets, "cls").select("cls", "shingles").mapInArrow(_each_shingle, "cls binary, n bigint, value bigint")
-    again = _candidates(shingles, _least_common, "9 * m >= 8 * n")
+    size = (F.octet_length("shingles") / 8).cast("long").alias("n")
+    whole = opened.join(sets, "cls").select("cls", size, F.col("shingles").alias("values"))
+    again = _candidates(c.chunk_table(whole, "shingles", ["cls", "n", "values"], CHUNK_BYTES), _least_common, "9 * m >= 8 * n")
     labels = _joined(labels, _star_links(again, sets))
     return _joined(labels, c.stored(_block_links(again, sets, labels), "block-links"))
 
@@ -354,7 +406,7 @@ def _block_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
 
     left, right = dealt(spread.where("tight"), "lefts", "rights", True), dealt(spread, "rights", "lefts", False)
     met = left.unionByName(right).join(sets, "cls")
-    return met.groupBy("leader", "lefts", "rights").applyInArrow(_open_pairs, "a binary, b binary")
+    return met.groupBy("leader", "lefts", "rights").applyInArrow(_open_pairs, "a bigint, b bigint")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

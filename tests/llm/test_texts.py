@@ -197,6 +197,56 @@ def test_rows_without_an_id_are_found_by_their_text(spark, monkeypatch):
 sets_of = near_dup._sets_of
 
 
+def test_rarest_shared_values(spark, monkeypatch):
+    """Counts come back to classes that lie in several chunks."""
+    monkeypatch.setattr(near_dup, "CHUNK_BYTES", 400)
+    rng = random.Random(3)
+    sets = [sorted({rng.randrange(60) << rng.choice([0, 58]) for _ in range(rng.randint(1, 30))}) for _ in range(40)]
+    often = Counter(v for s in sets for v in s)
+    expected = set()
+    for i, s in enumerate(sets):
+        ranked = sorted((often[v], v) for v in s if often[v] > 1)
+        for _, v in ranked[: max(0, len(ranked) - (4 * len(s) + 4) // 5 + 1)]:
+            expected.add((i, len(s), len(ranked), v - (1 << 64) * (v >> 63)))
+    rows = [(i, len(s), bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cls bigint, n bigint, values binary").repartition(3)
+    chunks = common.chunk_table(df, "sets", ["cls", "n", "values"], 400)
+    assert chunks.count() > 3
+    found = near_dup._listed(chunks, near_dup._least_common)
+    assert {tuple(r) for r in found.collect()} == expected and expected
+
+
+def test_texts_that_nobody_wants_stay(spark, monkeypatch):
+    """Few texts pass the bitmap, and no join exchanges the sets by class."""
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(3000)]
+    long = [f"w{i}" for i in range(40)]
+    rows += [(3000, " ".join(long)), (3001, " ".join(long + ["x"])), (None, " ".join(long + ["y"]))]
+    moved, plans = [], []
+
+    def let_through(*a):
+        moved.append(through(*a).count())
+        return through(*a)
+
+    def stored(df, label):
+        if label == "star":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept_table(df, label)
+
+    monkeypatch.setattr(near_dup, "_let_through", let_through)
+    monkeypatch.setattr(common, "stored", stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {i: i for i in range(3001)} | {3001: 3000, None: 3000}
+    assert len(moved) == 1 and 3 <= moved[0] < 20
+    assert plans and all("Bucketed: true" in p for p in plans)
+
+
+through, kept_table = near_dup._let_through, common.stored
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"c", b"b"), (b"d", b"c"), (b"x", b"y"), (b"e", b"d"), (b"f", b"e")]
     df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")
