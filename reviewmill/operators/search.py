@@ -1,6 +1,7 @@
 """Exact and approximate nearest neighbours for a table of queries.
 
-Documents never move and are read once. The queries are stored in the shared scratch folder;
+Documents are read once; where hits show their fields, the vectors are dealt out evenly once, and
+nothing else of them moves. The queries are stored in the shared scratch folder;
 each task holds some megabytes of documents and scores them against one block of queries after
 the other, a matrix product per block. The k best per query and buffer are shuffled, nothing
 else: a number for a long query id, and none of the fields that the hits show, which are joined to
@@ -33,7 +34,7 @@ DOC_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 9
 BATCH_ROWS = 2048
 # Cells of one score matrix: documents of a batch times queries.
-SCORE_CELLS = 4_000_000
+SCORE_CELLS = 1 << 22
 # Pairs scored at once, and the share of a matrix (one in so many) above which it is scored whole.
 PAIR_ROWS = 16_384
 DENSE = 16
@@ -114,6 +115,57 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(np.ascontiguousarray(scores.T), -k, axis=1)[:, -k]
 
 
+class _Docs:
+    """A buffer of documents as its blocks of queries meet it: lengths, places and single precision are
+    made once, not once per block, and all products are written to the same memory."""
+
+    def __init__(self, table: pa.Table, dim: int, metric: str, key: str, vector: str):
+        flat = table.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.rows = flat.reshape(table.num_rows, dim)
+        self.keys = table.column(key).combine_chunks()
+        self.place = _places(self.keys)
+        self.metric, self.step = metric, BATCH_ROWS
+        self.sizes = np.empty(len(self.rows))
+        self.single = np.empty(self.rows.shape if metric in ("cosine", "dot") else (0, dim), np.float32)
+        self.longest: list[float | None] = []
+        for part in self.parts():
+            rows = self.rows[part].astype(np.float64)
+            self.sizes[part] = sizes = np.linalg.norm(rows, axis=1)
+            longest = sizes.max(initial=0.0) or 1.0
+            self.longest.append(longest if np.isfinite(longest) else None)
+            if len(self.single):
+                by = np.where(sizes > 0, sizes, 1.0)[:, None] if metric == "cosine" else longest
+                with np.errstate(invalid="ignore"):
+                    self.single[part] = rows / by
+        self._near, self._able = np.empty(0, np.float32), np.empty(0, bool)
+
+    def parts(self) -> Iterator[slice]:
+        """Steps through the rows. The first is short: the k-th best of its rows is found by a partition."""
+        start, stop = 0, max(1, self.step // 4)
+        while start < len(self.rows):
+            stop = min(stop, len(self.rows))
+            yield slice(start, stop)
+            start, stop = stop, stop + self.step
+
+    def matrix(self, rows: slice | np.ndarray) -> np.ndarray:
+        return self.rows[rows].astype(np.float64)
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """These rows in double precision, of unit length for cosine."""
+        found = self.matrix(rows)
+        if self.metric == "cosine":
+            sizes = self.sizes[rows]
+            found /= np.where(sizes > 0, sizes, 1.0)[:, None]
+        return found
+
+    def cells(self, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+        """Memory for a matrix of products and one of flags."""
+        size = rows * cols
+        if len(self._near) < size:
+            self._near, self._able = np.empty(size, np.float32), np.empty(size, bool)
+        return self._near[:size].reshape(rows, cols), self._able[:size].reshape(rows, cols)
+
+
 class _Coarse:
     """Products in single precision that tell which pairs can be among the best.
 
@@ -126,76 +178,138 @@ class _Coarse:
         sizes = np.linalg.norm(queries, axis=1)
         # Products are compared in units of the query's length; it is part of the score of 'dot' only.
         self.sizes = np.where(sizes > 0, sizes, 1.0) if metric == "dot" else np.ones(len(queries))
-        self.single = np.ascontiguousarray(_unit(queries).astype(np.float32).T)
+        unit = self.exact if metric == "cosine" else _unit(queries)
+        self.single = np.ascontiguousarray(unit.astype(np.float32).T)
         self.slack = (queries.shape[1] + 4) * 2.0**-23 + 1e-6
         self.usable = metric in ("cosine", "dot") and bool(np.isfinite(sizes).all())
 
-    def pairs(self, docs: np.ndarray, bar: np.ndarray, k: int):
-        """(row, query, score) of all pairs whose rounded score can reach the bar and the k-th of these
-        documents; None if these are so many that the whole matrix is cheaper, or if a vector is not finite."""
-        sizes = np.linalg.norm(docs, axis=1)
-        if not (self.usable and np.isfinite(sizes).all()):
+    def pairs(self, docs: _Docs, step: int, part: slice, bar: np.ndarray, k: int):
+        """(row, query, least, most) of all pairs whose rounded score can reach the bar and the k-th of these
+        documents, with bounds of that score; None if these are so many that the whole matrix is cheaper,
+        or if a vector is not finite."""
+        longest = docs.longest[step]
+        if not self.usable or longest is None:
             return None
-        most = sizes.max(initial=0.0) or 1.0
-        scale = self.sizes * most if self.metric == "dot" else self.sizes
-        exact = _unit(docs) if self.metric == "cosine" else docs
-        near = (exact if self.metric == "cosine" else docs / most).astype(np.float32) @ self.single
+        scale = self.sizes * longest if self.metric == "dot" else self.sizes
+        near, able = docs.cells(part.stop - part.start, len(bar))
+        np.matmul(docs.single[part], self.single, out=near)
         with np.errstate(over="ignore"):
             floor = ((bar - 10.0**-SCORE_DIGITS) / scale - self.slack).astype(np.float32)
-        if len(docs) > k and np.isneginf(bar).any():
+        if len(near) > k and np.isneginf(bar).any():
             floor = np.maximum(floor, _kth(near, k) - np.float32(2 * self.slack))
-        able = near >= floor
-        if np.count_nonzero(able) * DENSE > able.size:
+        np.greater_equal(near, floor, out=able)
+        found = _flagged(able, able.size // DENSE)
+        if found is None:
             return None
-        rows, cols = np.divmod(np.flatnonzero(able), able.shape[1])
+        rows, cols = np.divmod(found, able.shape[1])
+        close = near.reshape(-1)[found].astype(np.float64)
+        least = (close - self.slack) * scale[cols] - 10.0**-SCORE_DIGITS
+        most = (close + self.slack) * scale[cols] + 10.0**-SCORE_DIGITS
+        return rows + part.start, cols, least, most
+
+    def scores(self, docs: _Docs, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Scores of pairs in double precision."""
         scores = np.empty(len(rows))
         for start in range(0, len(rows), PAIR_ROWS):
-            part = slice(start, start + PAIR_ROWS)
-            scores[part] = np.einsum("ij,ij->i", exact[rows[part]], self.exact[cols[part]])
-        return rows, cols, scores
+            some = slice(start, start + PAIR_ROWS)
+            scores[some] = np.einsum("ij,ij->i", docs.exact(rows[some]), self.exact[cols[some]])
+        return scores
+
+
+def _flagged(able: np.ndarray, most: int) -> np.ndarray | None:
+    """Places of the flags that are set; None if these are more than ``most``. Few are: 64 are looked at together."""
+    flags = able.reshape(-1)
+    packed = np.packbits(flags)
+    if len(packed) % 8:
+        packed = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)])
+    words = np.flatnonzero(packed.view(np.uint64))
+    if len(words) > most:
+        return None
+    places = np.flatnonzero(np.unpackbits(packed.reshape(-1, 8)[words]).view(bool))
+    if len(places) > most:
+        return None
+    return words[places >> 6] * 64 + (places & 63)
 
 
 def _local_topk(
-    docs: pa.Table, queries: np.ndarray, k: int, metric: str, key: str, vector: str
+    docs: pa.Table | _Docs, queries: np.ndarray, k: int, metric: str, key: str, vector: str
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """k best of these documents per query as (row, query, score, rounded score).
 
-    Pairs are sifted in single precision against the k best so far; what may be among them is scored
+    Pairs are sifted in single precision; what may be among the best of all these documents is scored
     in double precision, so the outcome is that of the whole matrix.
     """
-    vectors = docs.column(vector).combine_chunks()
-    keys = docs.column(key).combine_chunks()
-    place = _places(keys)
-    bar = np.full(len(queries), -np.inf)
-    coarse = _Coarse(queries, metric)
-    held: list[tuple] = []
-    waiting = 0
-    step = max(1, min(BATCH_ROWS, SCORE_CELLS // len(queries)))
-
-    def merged() -> tuple:
-        row, query, score, order = (np.concatenate(c) for c in zip(*held))
-        best = _best(query, order, place[row], k)
-        return row[best], query[best], score[best], order[best]
-
-    for start in range(0, docs.num_rows, step):
-        matrix = _matrix(vectors.slice(start, step), queries.shape[1])
-        found = coarse.pairs(matrix, bar, k)
-        if found is None:
-            scores = score_matrix(matrix, queries, metric)
-            order = np.where(np.isnan(scores), -np.inf, np.round(scores, SCORE_DIGITS))
-            floor = np.maximum(bar, _kth(order, k)) if len(matrix) > k else bar
-            rows, cols = _first_k(order, floor, keys.slice(start, step), k)
-            found = rows, cols, scores[rows, cols]
-        rows, cols, scores = found
-        held.append((rows + start, cols, scores, np.round(scores, SCORE_DIGITS)))
-        waiting += len(rows)
-        if waiting >= len(queries) * k // 2 or start + step >= docs.num_rows:
-            held, waiting = [merged()], 0
-            counts = np.bincount(held[0][1], minlength=len(queries))
-            worst = np.full(len(queries), np.inf)
-            np.minimum.at(worst, held[0][1], held[0][3])
-            bar = np.where(counts >= k, worst, -np.inf)
-    return held[0]
+    if not isinstance(docs, _Docs):
+        docs = _Docs(docs, queries.shape[1], metric, key, vector)
+    tile = max(1, SCORE_CELLS // docs.step)
+    found = []
+    for start in range(0, len(queries), tile):
+        row, query, score, order = _Best(docs, queries[start : start + tile], k).found()
+        found.append((row, query + start, score, order))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+class _Best:
+    """The k best documents for so many queries as one matrix of products holds.
+
+    Pairs are held with bounds of their rounded scores. The k-th of the lower bounds is the ``bar`` below
+    which a pair is dropped unscored. Where too many lie within the bounds of the k-th, such as copies of
+    a document, these are scored at once, so at most some times k pairs per query are held.
+    """
+
+    def __init__(self, docs: _Docs, queries: np.ndarray, k: int):
+        self.docs, self.queries, self.k = docs, queries, k
+        self.coarse = _Coarse(queries, docs.metric)
+        self.bar = np.full(len(queries), -np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []  # row, query, bounds of the score, score or NaN
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score, rounded score), by query."""
+        waiting = 0
+        for step, part in enumerate(self.docs.parts()):
+            sifted = self.coarse.pairs(self.docs, step, part, self.bar, self.k)
+            if sifted is None:
+                self.held.append(self._whole(part))
+            else:
+                self.held.append((*sifted, np.full(len(sifted[0]), np.nan)))
+            waiting += len(self.held[-1][0])
+            if waiting >= len(self.queries) * self.k // 2:
+                self._raise_bar()
+                waiting = 0
+        if waiting:
+            self._raise_bar()
+        self._score()
+        row, query, order, _, score = self.held[0]
+        return row, query, score, order
+
+    def _whole(self, part: slice) -> tuple[np.ndarray, ...]:
+        """Pairs of some documents from the matrix of all scores."""
+        scores = score_matrix(self.docs.matrix(part), self.queries, self.docs.metric)
+        order = np.where(np.isnan(scores), -np.inf, np.round(scores, SCORE_DIGITS))
+        floor = np.maximum(self.bar, _kth(order, self.k)) if len(scores) > self.k else self.bar
+        rows, cols = _first_k(order, floor, self.docs.keys.slice(part.start, len(scores)), self.k)
+        return rows + part.start, cols, order[rows, cols], order[rows, cols], scores[rows, cols]
+
+    def _raise_bar(self) -> None:
+        row, query, least, most, score = (np.concatenate(c) for c in zip(*self.held))
+        best = np.lexsort((-least, query))
+        counts = np.bincount(query, minlength=len(self.queries))
+        full = counts >= self.k
+        self.bar[full] = least[best[(np.cumsum(counts) - counts + self.k - 1)[full]]]
+        kept = most >= self.bar[query]
+        self.held = [(row[kept], query[kept], least[kept], most[kept], score[kept])]
+        if np.count_nonzero(kept) > 2 * self.k * len(self.queries):
+            self._score()
+
+    def _score(self) -> None:
+        """Hold the k best only, with their scores."""
+        row, query, least, most, score = (np.concatenate(c) for c in zip(*self.held))
+        open_ = np.flatnonzero(np.isnan(score))
+        score[open_] = self.coarse.scores(self.docs, row[open_], query[open_])
+        order = np.where(np.isnan(score), least, np.round(score, SCORE_DIGITS))
+        best = _best(query, order, self.docs.place[row], self.k)
+        row, query, order = row[best], query[best], order[best]
+        self.held = [(row, query, order, order, score[best])]
 
 
 def topk_per_query(
@@ -322,16 +436,28 @@ def knn_exact(
         folder = scratch_dir(docs.sparkSession, "searched")
         lean.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
         whole = docs.sparkSession.read.schema(StructType([*lean.schema.fields, StructField("_row", LongType())])).parquet(folder)
-        lean = whole.select(key, "_row", vector)
+        tasks = _even_tasks(docs.sparkSession, whole.count() * (4 * stored.dim + 64))
+        lean = whole.select(key, "_row", vector).repartition(tasks, "_row")
     found = score_stored(lean, stored, k, metric, key, vector)
     hits = topk_per_query(found, k, stored.label, key, score=F.desc("_order"))
     if metric == "l2":
         hits = hits.withColumn("score", -F.col("score"))
+    hits = stored.named(hits)  # before the texts come, so that these move once
     if whole is not None:
         hits = hits.join(whole.drop(key, vector), "_row")
     if filter_mode == "post":
         hits = filter_terms(hits, filters)
-    return stored.named(hits).select(query, "rank", key, "score", *shown)
+    return hits.select(query, "rank", key, "score", *shown)
+
+
+def _even_tasks(spark: SparkSession, size: int) -> int:
+    """Tasks that hold one buffer each at most, as many for every core.
+
+    Each task reads all queries and sends its k best: splits of some megabytes do that often, and one split
+    more than there are cores makes all others wait.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, -(-size // (DOC_BYTES * cores))) * cores
 
 
 def _no_hits(docs: DataFrame, vector: str, query: str, queries: DataFrame) -> DataFrame:
@@ -372,12 +498,13 @@ def score_stored(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches):
+            ready = None if pairs else _Docs(buffer, stored.dim, metric, key, vector)
             for ids, matrix in stored.blocks():
                 met = pairs(buffer, matrix) if pairs else [(buffer, np.arange(len(matrix)))]
                 for part, asked in met:
                     if not part.num_rows:
                         continue
-                    row, query, score, order = _local_topk(part, matrix[asked], k, metric, key, vector)
+                    row, query, score, order = _local_topk(ready or part, matrix[asked], k, metric, key, vector)
                     labels = ids.take(pa.array(asked[query]))
                     payload = part.select(names).take(pa.array(row)).columns
                     hits = pa.table([labels, *payload, pa.array(score), pa.array(order)], [stored.label, *names, "score", "_order"])

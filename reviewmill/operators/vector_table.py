@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +74,10 @@ class VectorTable:
             return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        """Current rows. Keys are unique inside a version."""
+        """Current rows. Keys are unique inside a version, so the rows of a single one are all current."""
         rows = self.versions()
+        if len({os.path.dirname(f) for f in rows.inputFiles()}) <= 1:
+            return rows.filter(F.col("version").isNotNull()).drop("version")
         newest = rows.groupBy(F.col(self.key).alias(f"_{self.key}")).agg(F.max("version").alias("_version"))
         current = _same(rows, newest, self.key) & (rows["version"] == newest["_version"])
         return rows.join(newest, current, "left_semi").drop("version")

@@ -365,3 +365,93 @@ def test_embedder_takes_bucket_and_sign_from_hex_digits():
         digest = hashlib.md5(word.encode()).hexdigest()
         assert np.flatnonzero(row).tolist() == [int(digest[:8], 16) % 64]
         assert row.sum() == (1.0 if digest[8] < "8" else -1.0)
+
+
+def buffer_of(rows, keys):
+    kind = search.pa.list_(search.pa.float32())
+    return search.pa.table({"vec_id": search.pa.array(keys), "embedding": search.pa.array(list(rows), kind)})
+
+
+def test_only_the_best_of_a_buffer_are_scored_in_double(monkeypatch):
+    """Pairs that a later document of the buffer beats were scored as well, about four times as many."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(8000, 32)).astype(np.float32)
+    asked = rng.normal(size=(40, 32))
+    monkeypatch.setattr(search, "BATCH_ROWS", 250)
+    scored, plain = [], np.einsum
+
+    def counted(form, left, right):
+        scored.append(len(left))
+        return plain(form, left, right)
+
+    monkeypatch.setattr(search.np, "einsum", counted)
+    row, query, _, _ = search._local_topk(buffer_of(rows, range(8000)), asked, 6, "cosine", "vec_id", "embedding")
+    for i, q in enumerate(asked):
+        assert row[query == i].tolist() == truth(rows.astype(np.float64), q, 6, "cosine")
+    assert 0 < sum(scored) < 40 * 6 * 1.5
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_copies_within_the_bounds_are_not_piled_up(metric, monkeypatch):
+    """Thousands of copies are the best of one query; the smallest keys win and few pairs are held."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(6000, 32)).astype(np.float32)
+    rows[rng.permutation(6000)[:4000]] = rows[0]
+    keys = rng.permutation(6000)
+    asked = np.concatenate([rows[:1], rng.normal(size=(63, 32))]).astype(np.float64)
+    monkeypatch.setattr(search, "BATCH_ROWS", 200)
+    held, plain = [], search._Best._raise_bar
+
+    def noted(self):
+        plain(self)
+        held.append(sum(len(h[0]) for h in self.held))
+
+    monkeypatch.setattr(search._Best, "_raise_bar", noted)
+    row, query, _, _ = search._local_topk(buffer_of(rows, keys), asked, 6, metric, "vec_id", "embedding")
+    for i, q in enumerate(asked):
+        exact = search.score_matrix(rows.astype(np.float64), q[None], metric)[:, 0]
+        wanted = sorted(range(6000), key=lambda d: (-round(exact[d], 9), keys[d]))[:6]
+        assert row[query == i].tolist() == wanted
+    assert max(held) <= 2 * 6 * len(asked)
+
+
+def test_flags_are_found_at_any_size():
+    rng = np.random.default_rng(7)
+    for shape in [(1, 1), (3, 7), (64, 64), (100, 33), (257, 129)]:
+        able = rng.random(shape) < 0.05
+        assert search._flagged(able, able.size).tolist() == np.flatnonzero(able).tolist()
+        assert search._flagged(np.ones(shape, bool), able.size // 16) is None
+        assert search._flagged(np.zeros(shape, bool), 0).tolist() == []
+
+
+def test_vectors_are_dealt_out_evenly_and_texts_move_once(spark, tmp_path):
+    """Splits of the stored table made the tasks; the shown fields were joined before long ids and moved again."""
+    rows, docs, queries = make(spark)
+    docs.withColumn("text", F.concat(F.lit("text of "), "vec_id")).repartition(37).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    long = queries.withColumn("query_id", F.concat(F.lit("x" * 40), "query_id"))
+    hits = search.knn_exact(docs, long, 6, keep=("text",))
+    cores = spark.sparkContext.defaultParallelism
+    plan = optimized(hits)
+    assert f"], {cores}" in next(line for line in plan.splitlines() if "RepartitionByExpression [_row" in line)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert [("_row" in j, "_query" in j) for j in joins] == [(True, False), (False, True)]
+    assert {q[40:]: ids for q, ids in ranked(hits).items()} == {f"q{i}": truth(rows, rows[i * 3], 6, "cosine") for i in range(20)}
+    assert search._even_tasks(spark, 0) == search._even_tasks(spark, 1) == cores
+    assert search._even_tasks(spark, cores * search.DOC_BYTES + 1) == 2 * cores
+
+
+def test_a_single_version_is_read_without_a_join(spark, tmp_path):
+    store = VectorTable(spark, str(tmp_path / "lone"), dim=8)
+    rows = spark.createDataFrame(
+        [(k, 1, "x", "r", 1.0, f"text {k}") for k in ("a", "b", None)],
+        "review_id string, seq int, location string, restaurant_name string, rating float, text string",
+    )
+    store.upsert(rows, 1, embedder=HashingEmbedder(8))
+    lone = store.read()
+    assert "Join" not in optimized(lone) and "version" not in lone.columns
+    assert {r["review_id"]: r["text"] for r in lone.collect()} == {"a": "text a", "b": "text b", None: "text None"}
+    store.upsert(rows.filter("review_id = 'a'").withColumn("text", F.lit("new")), 2, embedder=HashingEmbedder(8))
+    both = store.read()
+    assert "Join" in optimized(both)
+    assert {r["review_id"]: r["text"] for r in both.collect()} == {"a": "new", "b": "text b", None: "text None"}
