@@ -454,10 +454,11 @@ def _even_tasks(spark: SparkSession, size: int) -> int:
     """Tasks that hold one buffer each at most, as many for every core.
 
     Each task reads all queries and sends its k best: splits of some megabytes do that often, and one split
-    more than there are cores makes all others wait.
+    more than there are cores makes all others wait. An eighth is left for long keys and uneven parts, as the
+    few rows of a second buffer would meet all queries again.
     """
     cores = spark.sparkContext.defaultParallelism
-    return max(1, -(-size // (DOC_BYTES * cores))) * cores
+    return max(1, -(-size // (DOC_BYTES * 7 // 8 * cores))) * cores
 
 
 def _no_hits(docs: DataFrame, vector: str, query: str, queries: DataFrame) -> DataFrame:
